@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, secrets
 
-MODULES = (media, mixing)
+MODULES = (media, mixing, secrets)
 
 
 def queries() -> dict:
