@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, mixing, secrets
+from . import html, language, media, mixing, secrets
 
-MODULES = (media, mixing, secrets)
+MODULES = (html, language, media, mixing, secrets)
 
 
 def queries() -> dict:
