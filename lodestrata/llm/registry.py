@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html, language, media, mixing, secrets
+from . import html, language, media, mixing, packing, secrets
 
-MODULES = (html, language, media, mixing, secrets)
+MODULES = (html, language, media, mixing, packing, secrets)
 
 
 def queries() -> dict:
