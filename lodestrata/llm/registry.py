@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html, language, media, mixing, packing, secrets, urls
+from . import fingerprints, html, language, media, mixing, packing, secrets, urls
 
-MODULES = (html, language, media, mixing, packing, secrets, urls)
+MODULES = (fingerprints, html, language, media, mixing, packing, secrets, urls)
 
 
 def queries() -> dict:
