@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedup, fingerprints, html, language, media, mixing, packing, secrets, urls
+from . import dedup, fingerprints, html, language, lm, media, mixing, packing, secrets, urls
 
-MODULES = (dedup, fingerprints, html, language, media, mixing, packing, secrets, urls)
+MODULES = (dedup, fingerprints, html, language, lm, media, mixing, packing, secrets, urls)
 
 
 def queries() -> dict:
