@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python at once: bounds a batch of long texts. Set where the session has the default of 10,000.
 ARROW_ROWS = "500"
+#: Rows of ids alone (16 bytes or so) that may be broadcast; they are counted first.
+MOST_BROADCAST = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -37,7 +37,6 @@ BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
 CHUNK = 1500
 FEW, GROWTH = 4, 8
-MOST_BROADCAST = 1_000_000
 
 
 def least_matches(n: int, threshold: float, miss: float = MISS) -> list[int]:
@@ -105,7 +104,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = wanted.count() <= MOST_BROADCAST
+    few = wanted.count() <= common.MOST_BROADCAST
     texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +271,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def unique(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those that have a near-duplicate of a smaller id in their component; of several rows that bear one id, the least text's."""
+    found = common.stored(near_duplicates(docs, words, percent))
+    out = found.filter("not kept").select("doc_id").distinct()
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    few = F.broadcast(out) if out.count() <= common.MOST_BROADCAST else out
+    kept = docs.join(few, "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    from pyspark.sql import Window as W
+
+    first = kept.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_nth = 1")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(first.select(docs.columns))
+
+
 def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents: four-word shingles, similarity 0.8. Edge cases: see the module."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=4)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -187,22 +188,31 @@ def detected(texts: pa.Array, filters: Filters) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def detect(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score in place of columns of these names."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def detect(docs: DataFrame, filters: Filters, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score in place of columns of the outputs' names."""
+    keep = [c for c in docs.columns if c not in outputs]
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS x words x 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text", 4 << 20):
             names, scores = detected(batch.column("text").cast(pa.string()), shared.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, *outputs])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(outputs[0], T.StringType()), T.StructField(outputs[1], T.DoubleType())])
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+LEAST_SCORE = 0.25
+
+
+def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs with a detected language, learned from the lang of those outside the held-out fold. Rejected are
+    texts without letters and those of whose n-grams less than least_score are known to the language found."""
+    filters = fit(docs.filter(common.remainder("doc_id", FOLDS) != HELD).select("text", "lang"))
+    found = detect(docs, filters, ("_language", "_language_score"))
+    return found.filter((F.col("_language") != "und") & (F.col("_language_score") >= least_score)).select(docs.columns)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those outside the held-out fold. Edge cases: see the module."""
     docs = common.table(spark, sf_dir, "documents")

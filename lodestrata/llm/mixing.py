@@ -89,16 +89,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows with one id are told apart by their text."""
-    plan = mixed(docs, weights, most, seed)
-    per_id = plan.groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    found = docs.alias("d").join(per_id.alias("p"), F.expr("d.doc_id <=> p.doc_id"))
-    nth = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.row_number().over(W.partitionBy(F.col("d.doc_id")).orderBy(F.col("d.text"))) - 1)
-    if plan.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        nth = F.lit(0)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    times = found.withColumn("_times", share.cast("int")).filter("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("d.*")
+    """The rows of docs, each as often as the mix takes it. The copies planned for rows of one id are dealt to them in the
+    order of their texts. The plan (an id and a number) is broadcast if its counted rows are few."""
+    plan = common.stored(mixed(docs, weights, most, seed).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    few = F.broadcast(plan) if plan.count() <= common.MOST_BROADCAST else plan
+    found = docs.join(few.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    single = found.filter("_rows = 1").withColumn("_times", F.col("_copies"))
+    shared = found.filter("_rows > 1").withColumn("_nth", F.row_number().over(W.partitionBy("_id").orderBy("text")) - 1)
+    dealt = shared.withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") < F.col("_copies") % F.col("_rows"), 1).otherwise(0))
+    every = single.select(*docs.columns, "_times")
+    if not plan.filter("_rows > 1").isEmpty():
+        every = every.union(dealt.select(*docs.columns, "_times"))
+    return every.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
