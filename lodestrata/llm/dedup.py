@@ -36,6 +36,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
 CHUNK = 1500
+#: Pairs compared at once.
+PORTION = 200_000
 FEW, GROWTH = 4, 8
 
 
@@ -60,7 +62,8 @@ def likely(a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray,
 
 
 def read_signatures(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_py(), np.uint16) for x in column]) if len(column) else np.zeros((0, BANDS * ROWS), np.uint16)
+    """uint16[rows, minima]; every value of the column has the same length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BANDS * ROWS)
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -144,65 +147,71 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(after.select(F.col("v"), F.col("v")).distinct())
 
 
+def paired(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions p < q of all pairs within each run of equal values, in portions of bounded size."""
+    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+    sizes = np.diff(np.append(starts, len(groups)))
+    for size in np.unique(sizes[sizes > 1]):
+        own = starts[sizes == size]
+        if size <= 64:
+            x, y = np.triu_indices(size, 1)
+            step = max(1, PORTION // len(x))
+            for k in range(0, len(own), step):
+                some = own[k : k + step, None]
+                yield (some + x).ravel(), (some + y).ravel()
+        else:
+            for start in own:
+                step = max(1, PORTION // size)
+                for k in range(0, size - 1, step):
+                    x, y = np.triu_indices(min(step, size - k), 1, size - k)
+                    yield start + k + x, start + k + y
+
+
 def crossing(nodes: DataFrame, labels: DataFrame, failed: DataFrame, least: list[int], few: int) -> DataFrame:
-    """a, b: candidates of different components in one bucket, each member's likest few per other component."""
+    """a, b: candidates of different components in one bucket, each member's likest few per other component. Buckets of two
+    were decided by their star."""
     placed = banded(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "signature"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     member = placed.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = dealt.select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "signature")
+    i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
     # unequal chunks meet in their own cell; equal ones in theirs
-    n = common.fan_out(nodes)
-    sorted_cells = cells.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "component", "node")
-
-    def group(band: int, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        node, part, chunk, sign = rows["node"], rows["component"], rows["chunk"], rows["signature"]
-        ends = []
-        for x in np.unique(part):
-            own, rest = np.flatnonzero(part == x), np.flatnonzero(part > x)
-            if not len(rest):
-                continue
-            for start in range(0, len(own), max(1, 200_000 // len(rest))):
-                some = own[start : start + max(1, 200_000 // len(rest))]
-                p, q = np.repeat(some, len(rest)), np.tile(rest, len(some))
-                if rows["i"] != rows["j"]:
-                    keep = chunk[p] != chunk[q]
-                    p, q = p[keep], q[keep]
-                # a pair is told in the first band that it shares only
-                earlier = np.zeros(len(p), bool)
-                for e in range(band):
-                    s = slice(e * ROWS, (e + 1) * ROWS)
-                    earlier |= (sign[p, s] == sign[q, s]).all(1)
-                p, q = p[~earlier], q[~earlier]
-                kept, matches = likely(sign[p], sign[q], least)
-                ends.append((p[kept], q[kept], matches))
-        if not ends:
-            return (np.zeros(0, np.int64),) * 4
-        p, q, m = (np.concatenate(x) for x in zip(*ends, strict=True))
-        return node[p], node[q], m, np.stack([part[p], part[q]], 1) if len(p) else np.zeros((0, 2), np.int64)
+    cells = dealt.select(F.xxhash64("band", "key", i, j).alias("cell"), "band", (i == j).alias("same"), "chunk", "node", "component", "signature")
+    sorted_cells = cells.repartition(common.fan_out(nodes), "cell").sortWithinPartitions("cell", "node")
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sign = read_signatures(rows.column("signature").combine_chunks())
+        cell, band, same, chunk, node, part = (rows.column(c).to_numpy() for c in ("cell", "band", "same", "chunk", "node", "component"))
+        for p, q in paired(cell):
+            use = (part[p] != part[q]) & (same[p] | (chunk[p] != chunk[q]))
+            p, q = p[use], q[use]
+            first = (sign[p, :BATCH] == sign[q, :BATCH]).sum(1) >= least[0]
+            p, q = p[first], q[first]
+            kept, matches = likely(sign[p], sign[q], least)
+            p, q = p[kept], q[kept]
+            # a pair is told in the first band that it shares only
+            shared = (sign[p] == sign[q]).reshape(len(p), BANDS, ROWS).all(2)
+            own = shared.argmax(1) == band[p]
+            if own.any():
+                p, q = p[own], q[own]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[p], node[q], matches[own], part[p], part[q])], names=["a", "b", "matches", "pa", "pb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            sign = read_signatures(rows.column("signature").combine_chunks())
-            plain = {c: rows.column(c).to_numpy() for c in ("node", "component", "chunk")}
-            a, b, m, parts = group(rows.column("band")[0].as_py(), plain | {"signature": sign, "i": rows.column("i")[0].as_py(), "j": rows.column("j")[0].as_py()})
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m), pa.array(parts[:, 0]), pa.array(parts[:, 1])], names=["a", "b", "matches", "pa", "pb"])
-
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            keys = list(zip(*(rows.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True))
-            start = 0
-            for at in range(1, len(keys)):
-                if keys[at] != keys[at - 1]:
-                    if at - start > 1:
-                        yield from told(rows.slice(start, at - start))
-                    start = at
-            held = rows.slice(start)
-        if held is not None and held.num_rows > 1:
-            yield from told(held)
+            held.append(batch)
+            rows += batch.num_rows
+            last = batch.column("cell")[batch.num_rows - 1].as_py()
+            if rows < 20_000 or held[0].column("cell")[0].as_py() == last:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            open_at = int(np.searchsorted(whole.column("cell").to_numpy(), last))  # its cell may go on
+            yield from told(whole.slice(0, open_at))
+            held = whole.slice(open_at).combine_chunks().to_batches()
+            rows = whole.num_rows - open_at
+        if rows:
+            yield from told(pa.Table.from_batches(held))
 
     found = sorted_cells.mapInArrow(run, "a long, b long, matches long, pa long, pb long").join(failed, ["a", "b"], "left_anti")
     from pyspark.sql import Window as W
