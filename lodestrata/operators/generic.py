@@ -58,12 +58,13 @@ def islands(df: DataFrame, hit: Column, order: Sequence[str], keys: Sequence[str
     return runs.groupBy(*keys, "_run").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= least).drop("_run")
 
 
-def longest_prefix(df: DataFrame, path: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Each row's longest prefix that is the path or one of its ancestors, by equi-joins on exploded ancestors; null if none."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    up = keyed.select("_row", F.explode(F.array_append(ancestors(F.col(path)), F.col(path))).alias(prefix))
-    best = up.join(prefixes.select(prefix).distinct(), prefix).groupBy("_row").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return keyed.join(best, "_row", "left").drop("_row")
+def longest_prefix(df: DataFrame, path: str, prefixes: DataFrame, prefix: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Each row's longest prefix that is the path or one of its ancestors, by equi-joins on exploded ancestors; null if none.
+    Found once for each distinct path."""
+    paths = df.select(*keys, path).distinct()
+    up = paths.select(*keys, path, F.explode(F.array_append(ancestors(F.col(path)), F.col(path))).alias(prefix))
+    best = up.join(prefixes.select(*keys, prefix).distinct(), [*keys, prefix]).groupBy(*keys, path).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    return df.join(best, [*keys, path], "left")
 
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
