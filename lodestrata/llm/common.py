@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = "500"
 #: Rows of ids alone (16 bytes or so) that may be broadcast; they are counted first.
 MOST_BROADCAST = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,11 +51,17 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors. Once the table is
+    written, the shuffle files that made it are of no use, and Spark is asked to remove them."""
     spark = df.sparkSession
     path = scratch(spark)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._lodestrata_path = path
     return back
