@@ -82,10 +82,10 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """nodes(node, ...) with a row a band: band and its minima as key (8 bytes)."""
+    """nodes(node, signature, ...) with a row a band, without the signature: band and its minima as key (8 bytes)."""
     size = ROWS * 2
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("signature"), i * size + 1, F.lit(size)))
-    return nodes.select("*", F.posexplode(keys).alias("band", "key"))
+    return nodes.select("*", F.posexplode(keys).alias("band", "key")).drop("signature")
 
 
 def surviving(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
@@ -173,7 +173,8 @@ def crossing(nodes: DataFrame, labels: DataFrame, failed: DataFrame, least: list
     placed = banded(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "signature"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     member = placed.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # signatures join only members of such buckets
+    dealt = member.join(nodes.select("node", "signature"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
     # unequal chunks meet in their own cell; equal ones in theirs
     cells = dealt.select(F.xxhash64("band", "key", i, j).alias("cell"), "band", (i == j).alias("same"), "chunk", "node", "component", "signature")
