@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -133,6 +134,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their text has about least_bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= least_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size or held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece's text has about most_bytes at most (one row at least)."""
     for batch in batches:
@@ -144,3 +159,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             # a copy: string kernels of pyarrow misread some arrays with an offset
             yield batch if (start, stop) == (0, batch.num_rows) else batch.take(pa.array(np.arange(start, stop)))
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is no longer used back to the system: Python workers live on for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

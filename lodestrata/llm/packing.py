@@ -13,6 +13,8 @@ piece being the shorter one; repeated rows are packed each on its own; an empty
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,22 +44,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def byte_pairs(path: str):  # noqa: ANN201
+    """The byte-level vocabulary of a tokenizer file as an encoder that returns arrays, and each token's length in bytes.
+
+    The file's ids are the ranks of its merges, so the same pairs are merged in the same order; tests hold the ids against
+    those of `tokenizers`.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    others = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+    return tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+
+
 class Encoder:
-    """Token ids by `tokenizers`, each distinct chunk of a batch encoded once.
+    """Token ids of texts, each distinct chunk of a batch encoded once.
 
     A chunk is what lies between two single spaces, with the space before it. The vocabulary's pre-tokenizer never joins a
     space to what precedes it, so chunks can be encoded apart wherever the next one begins with neither white space nor the
-    text's end; texts where this doesn't hold are encoded whole.
+    text's end; texts where this doesn't hold are encoded whole. For the same reason all chunks with a space are encoded in
+    one go and told apart by the tokens' lengths in bytes.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.pairs, self.sizes = byte_pairs(path)
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(self.pairs.encode_ordinary(t), np.uint32) for t in texts]
+
+    def chunked(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, starts) of chunks that begin with a space."""
+        ids = self.pairs.encode_to_numpy("".join(chunks.to_pylist())).astype(np.uint32) if len(chunks) else np.zeros(0, np.uint32)
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy().astype(np.int64))
+        return ids, np.concatenate(([0], np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row starts)."""
@@ -69,23 +97,20 @@ class Encoder:
         first[starts[:-1]] = True
         odd = pc.match_substring_regex(flat, r"^(?:$|[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])").to_numpy(zero_copy_only=False) & ~first
         whole = np.add.reduceat(odd, starts[:-1]) > 0 if len(flat) else np.zeros(len(texts), bool)
-        chunks = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string()).cast(pa.large_string())))
-        use = ~np.repeat(whole, np.diff(starts))
-        words = chunks.filter(pa.array(use)).dictionary_encode()
-        ids = self.encoded(words.dictionary.to_pylist())
-        index = words.indices.to_numpy().astype(np.int64)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        all_ids, at = (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[index]
-        ends = np.cumsum(n)
-        gathered = all_ids[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - at[index], n)]
-        if not whole.any():
-            return gathered, np.concatenate(([0], ends))[starts]
+        inner = flat.filter(pa.array(~first & ~np.repeat(whole, np.diff(starts)))).dictionary_encode()
+        ids, at = self.chunked(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), inner.dictionary, pa.scalar(" ", pa.large_string())))
+        heads = iter(self.encoded([t.as_py() for t in flat.take(pa.array(starts[:-1][~whole]))]))
         slow = iter(self.encoded([texts[i].as_py() for i in np.flatnonzero(whole)]))
-        kept = np.concatenate(([0], np.cumsum(use)))[starts]
-        cuts = np.concatenate(([0], ends))[kept]
-        rows = [next(slow) if whole[i] else gathered[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
-        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        index = inner.indices.to_numpy().astype(np.int64)
+        n = at[index + 1] - at[index]
+        ends = np.cumsum(n)
+        gathered = ids[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - at[index], n)]
+        per_text = np.where(whole, 0, np.diff(starts) - 1)
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
+        rows = [x for i in range(len(texts)) for x in ((next(slow),) if whole[i] else (next(heads), gathered[cuts[i] : cuts[i + 1]]))]
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        parts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.where(whole, 1, 2))))]
+        return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), parts
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, crc: bool = True) -> DataFrame:
@@ -93,7 +118,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, cr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in common.pieces(batches, "text", 4 << 20):
+        for batch in common.pieces(common.gathered(batches, "text", 8 << 20), "text", 8 << 20):
             ids, starts = encoder.batch(batch.column("text"))
             rows = []
             for i, key in enumerate(batch.column("doc_id").to_pylist()):
@@ -257,7 +282,7 @@ def ranked(cuts: DataFrame) -> DataFrame:
     counted = rows.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     starts = counted.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     nth = F.row_number().over(W.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return rows.withColumn("_nth", nth).join(F.broadcast(starts), ["length", "_slice"]).withColumn("rank", F.col("_start") + F.col("_nth")).drop("_slice", "_start", "_nth")
+    return rows.withColumn("_nth", nth).join(starts, ["length", "_slice"]).withColumn("rank", F.col("_start") + F.col("_nth")).drop("_slice", "_start", "_nth")
 
 
 def packed(cuts: DataFrame, capacity: int = CAPACITY, solver: Callable[..., list] = plan) -> DataFrame:
