@@ -239,7 +239,10 @@ def layered(file_edges: DataFrame, graph_nodes: DataFrame, per_row: int = 6) ->
             y += -(-len(row) // per_row)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
 
-    return graph_nodes.groupBy("repo_id").cogroup(file_edges.select("repo_id", "src", "dst").groupBy("repo_id")).applyInPandas(run, LAYOUT)
+    # new names: both may stem from one table
+    names = graph_nodes.select(F.col("repo_id").alias("repo"), "node")
+    links = file_edges.select(F.col("repo_id").alias("of"), "src", "dst")
+    return names.groupBy("repo").cogroup(links.groupBy("of")).applyInPandas(run, LAYOUT)
 
 
 def neighbours(file_edges: DataFrame, node: str) -> DataFrame:

@@ -265,3 +265,104 @@ def s08_budget_fold(spark, sf):
     docs = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows"))
     rows = F.transform("rows", lambda r: F.struct(r["doc_id"].alias("id"), r["n_chars"].alias("size")))
     return docs.select("source", F.explode(G.budget_fold(rows, BUDGET)).alias("doc_id"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+SELECT user_id, event_id, i, [sec] AS hits, TRUE AS allowed, CAST(NULL AS BIGINT) AS retry_after FROM e WHERE i = 1
+UNION ALL
+SELECT user_id, event_id, i, CASE WHEN len(h) < 3 THEN list_append(h, sec) ELSE h END, len(h) < 3, CASE WHEN len(h) < 3 THEN NULL ELSE CAST(greatest(1, ceil(43200 - (sec - h[1]))) AS BIGINT) END
+FROM (SELECT e.user_id, e.event_id, e.i, e.sec, list_filter(r.hits, lambda x: e.sec - x < 43200) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, allowed, coalesce(retry_after, 0) AS retry_after FROM r""")
+def w11_sliding_limit(spark, sf):
+    """Three events a user in twelve hours; those denied don't count."""
+    from ..streaming import limiter
+
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), F.col("event_id").alias("seq"))
+    return limiter.limited(events, 3, 43200.0).select(F.col("seq").alias("event_id"), "allowed", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
+@query()
+def r05_ttl_lru(spark, sf):
+    """Each user's events as requests of a cache of three entries that live for a day."""
+    from ..streaming import limiter
+
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("shard"), F.col("event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), F.col("event_id").alias("seq"))
+    return limiter.cache_replay(events, 3, 86_400.0)
+
+
+@query()
+def r06_single_flight(spark, sf):
+    """Events of a type as requests of an hour; those that start while one runs join it."""
+    from ..streaming import limiter
+
+    day = F.to_date("ts").cast("string")
+    events = table(spark, sf, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), day).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), (F.unix_micros(F.col("ts").cast("timestamp")) + 3_600_000_000).alias("end"), "event_id")
+    return limiter.coalesced(events)
+
+
+@query("""SELECT doc_id, CAST(len(ls) AS BIGINT) AS total, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(len(list_filter(ls, lambda x: trim(x) = '')) AS BIGINT) AS blank
+FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+def f10_line_counts(spark, sf):
+    """The line counter over documents, as prose without comments."""
+    from ..operators.languages import count_lines
+
+    return table(spark, sf, "documents").select("doc_id", count_lines(F.col("text"), F.lit("Markdown")).alias("n")).select("doc_id", "n.*")
+
+
+PATH = r"regexp_extract(url, '^https?://[^/?#]*/([^?#]*)', 1)"
+
+
+@query(rf"SELECT page_id, CASE WHEN ends_with({PATH}, '.html') THEN 'HTML' END AS language, CASE WHEN ends_with({PATH}, '.html') THEN 'source' ELSE 'other' END AS category FROM pages")
+def p07_classify(spark, sf):
+    """Categories and languages of pages' paths."""
+    from ..functions import paths as P
+
+    path = F.regexp_extract("url", "^https?://[^/?#]*/([^?#]*)", 1)
+    return table(spark, sf, "pages").select("page_id", path.alias("path")).select("page_id", P.classified_language(F.col("path")).alias("language"), P.category(F.col("path")).alias("category"))
+
+
+@query(rf"SELECT page_id, {PATH} <> '' AND len(list_filter(string_split({PATH}, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe FROM pages")
+def p01_safe_path(spark, sf):
+    from ..functions import paths as P
+
+    return table(spark, sf, "pages").select("page_id", P.is_safe(F.regexp_extract("url", "^https?://[^/?#]*/([^?#]*)", 1)).alias("safe"))
+
+
+@query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1")
+def w04_first_match(spark, sf):
+    return G.cap_per_group(table(spark, sf, "embeddings").select("vec_id", "label"), ["label"], ["vec_id"], 1)
+
+
+@query("SELECT event_id, 'k' || CAST(json_extract(props, '$.n') AS VARCHAR) AS said, concat(CASE WHEN length(props) > 8 THEN left(props, 4) ELSE '' END, '********(', length(props), ' chars)') AS redacted FROM events")
+def f11_redact(spark, sf):
+    k = F.concat(F.lit("k"), F.get_json_object("props", "$.n"))
+    return table(spark, sf, "events").select("event_id", k.alias("said"), T.redact(F.col("props")).alias("redacted"))
+
+
+SOURCES = {
+    "plain.py": "def f():\n    return 1\n",
+    "branchy.py": "def g(a, b):\n    if a and b or a:\n        return [x for x in a if x]\n    for i in b:\n        while i:\n            try:\n                i -= 1\n            except ValueError:\n                pass\n",
+    "nested.py": "class C:\n    def m(self):\n        def inner():\n            if self: pass\n        return inner\n",
+    "broken.py": "def (",
+}
+
+
+@query()
+def v13_mccabe(spark, sf):
+    """Complexity of functions in literal sources."""
+    from ..operators.quality import python_facts
+
+    contents = spark.createDataFrame([("r", p, t) for p, t in SOURCES.items()], "repo_id string, path string, text string")
+    return python_facts(contents).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.line", "f.complexity", "f.length")
+
+
+@query()
+def g10_layering(spark, sf):
+    """Layers of the heaviest edges between nations."""
+    from ..operators.graph import layered
+
+    edges = a22_module_edges(spark, sf).orderBy(F.desc("weight"), "src", "dst").limit(30)
+    named = edges.select(F.lit("r").alias("repo_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    nodes = named.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return layered(named, nodes)
