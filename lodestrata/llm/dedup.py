@@ -7,10 +7,10 @@ Survivors are verified on full shingle sets, made anew from whole texts.
 
 No pairs are made within a bucket as such. First each member meets the bucket's smallest one (a star: as many pairs as
 rows). Links so found are joined into components; a bucket within one component is done. In the others, members of
-different components are compared by signature only, in chunks of CHUNK members so that no task holds a large bucket, and
-of the survivors each member sends its likest few per other component to verification. Failed pairs are remembered and the
-few grow eightfold with each round until nothing is left over, so every banded pair across components is decided; a pair
-within one needs no decision, as it can't change the components.
+different components are compared by signature in cells of at most two chunks of CHUNK members, so no task holds a large
+bucket. What leaves a cell is not pairs but its members that have a candidate; their texts are sent to the cell, where all
+candidates are verified at once on full sets, and a link for each two components joined is told. A pair within a component
+needs no decision, as it can't change the components.
 
 The signature's chance to miss a pair is (1 - s^ROWS)^BANDS, 3e-6 at a similarity of 0.8, plus at most MISS.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,9 @@ from . import common, minhash
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
-CHUNK = 1500
+CHUNK = 1000
 #: Pairs compared at once.
 PORTION = 200_000
-FEW, GROWTH = 4, 8
 
 
 def least_matches(n: int, threshold: float, miss: float = MISS) -> list[int]:
@@ -100,15 +98,19 @@ def surviving(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in wanted(doc_id), which is broadcast if its counted rows are few."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = wanted.count() <= common.MOST_BROADCAST
+    return texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """pairs(a, b) with common and united, the sizes of intersection and union, and near: whether they are linked.
 
-    Only texts of documents in pairs are shuffled; the list of their ids is broadcast if its counted rows are few.
+    Only texts of documents in pairs are shuffled.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = wanted.count() <= common.MOST_BROADCAST
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "tb", 4 << 20):
@@ -167,9 +169,47 @@ def paired(groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     yield start + k + x, start + k + y
 
 
-def crossing(nodes: DataFrame, labels: DataFrame, failed: DataFrame, least: list[int], few: int) -> DataFrame:
-    """a, b: candidates of different components in one bucket, each member's likest few per other component. Buckets of two
-    were decided by their star."""
+def whole_cells(batches: Iterator[pa.RecordBatch], least_rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by cell, put together so that no cell is cut."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        last = batch.column("cell")[batch.num_rows - 1].as_py()
+        if rows < least_rows or held[0].column("cell")[0].as_py() == last:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        open_at = int(np.searchsorted(whole.column("cell").to_numpy(), last))  # its cell may go on
+        yield whole.slice(0, open_at)
+        held = whole.slice(open_at).combine_chunks().to_batches()
+        rows = whole.num_rows - open_at
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def open_pairs(rows: pa.Table, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of different components in rows' cells that the Bayesian bounds leave, each in the first band
+    that the pair shares."""
+    sign = read_signatures(rows.column("signature").combine_chunks())
+    cell, band, same, chunk, part = (rows.column(c).to_numpy() for c in ("cell", "band", "same", "chunk", "component"))
+    for p, q in paired(cell):
+        use = (part[p] != part[q]) & (same[p] | (chunk[p] != chunk[q]))
+        p, q = p[use], q[use]
+        first = (sign[p, :BATCH] == sign[q, :BATCH]).sum(1) >= least[0]
+        p, q = p[first], q[first]
+        kept, _ = likely(sign[p], sign[q], least)
+        p, q = p[kept], q[kept]
+        own = (sign[p] == sign[q]).reshape(len(p), BANDS, ROWS).all(2).argmax(1) == band[p]
+        yield p[own], q[own]
+
+
+CELL = "cell long, band int, same boolean, chunk int, node long, component long, signature binary"
+
+
+def crossing(nodes: DataFrame, labels: DataFrame, least: list[int]) -> DataFrame:
+    """Rows of CELL: the members of buckets that have a candidate of another component there. A bucket's members are dealt to
+    cells of two chunks at most. Buckets of two were decided by their star."""
     placed = banded(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "signature"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     member = placed.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -178,48 +218,62 @@ def crossing(nodes: DataFrame, labels: DataFrame, failed: DataFrame, least: list
     i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
     # unequal chunks meet in their own cell; equal ones in theirs
     cells = dealt.select(F.xxhash64("band", "key", i, j).alias("cell"), "band", (i == j).alias("same"), "chunk", "node", "component", "signature")
-    sorted_cells = cells.repartition(common.fan_out(nodes), "cell").sortWithinPartitions("cell", "node")
-
-    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sign = read_signatures(rows.column("signature").combine_chunks())
-        cell, band, same, chunk, node, part = (rows.column(c).to_numpy() for c in ("cell", "band", "same", "chunk", "node", "component"))
-        for p, q in paired(cell):
-            use = (part[p] != part[q]) & (same[p] | (chunk[p] != chunk[q]))
-            p, q = p[use], q[use]
-            first = (sign[p, :BATCH] == sign[q, :BATCH]).sum(1) >= least[0]
-            p, q = p[first], q[first]
-            kept, matches = likely(sign[p], sign[q], least)
-            p, q = p[kept], q[kept]
-            # a pair is told in the first band that it shares only
-            shared = (sign[p] == sign[q]).reshape(len(p), BANDS, ROWS).all(2)
-            own = shared.argmax(1) == band[p]
-            if own.any():
-                p, q = p[own], q[own]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[p], node[q], matches[own], part[p], part[q])], names=["a", "b", "matches", "pa", "pb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            last = batch.column("cell")[batch.num_rows - 1].as_py()
-            if rows < 20_000 or held[0].column("cell")[0].as_py() == last:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            open_at = int(np.searchsorted(whole.column("cell").to_numpy(), last))  # its cell may go on
-            yield from told(whole.slice(0, open_at))
-            held = whole.slice(open_at).combine_chunks().to_batches()
-            rows = whole.num_rows - open_at
-        if rows:
-            yield from told(pa.Table.from_batches(held))
-
-    found = sorted_cells.mapInArrow(run, "a long, b long, matches long, pa long, pb long").join(failed, ["a", "b"], "left_anti")
-    from pyspark.sql import Window as W
+        for rows in whole_cells(batches, 20_000):
+            has = np.zeros(rows.num_rows, bool)
+            for p, q in open_pairs(rows, least):
+                has[p] = has[q] = True
+            if has.any():
+                yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
+
+    return cells.repartition(common.fan_out(nodes), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, CELL)
+
+
+def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[p] and sets[q]: as bit rows where they fit, else one by one."""
+    ids = np.unique(np.concatenate([p, q]))
+    every, place = np.unique(np.concatenate([sets[i] for i in ids]), return_inverse=True)
+    width = -(-len(every) // 64)
+    if len(ids) * width * 8 > 64 << 20:
+        return np.array([np.isin(sets[y], sets[x], assume_unique=True, kind="sort").sum() for x, y in zip(p, q, strict=True)], np.int64)
+    bits = np.zeros((len(ids), width), np.uint64)
+    row = np.repeat(np.arange(len(ids)), [len(sets[i]) for i in ids])
+    np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    x, y = np.searchsorted(ids, p), np.searchsorted(ids, q)
+    step = max(1, (16 << 20) // (width * 8))
+    return np.concatenate([np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(x), step)])
+
+
+def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int]) -> DataFrame:
+    """a, b, common, united: links that join different components within cells, verified on full sets. All candidates are
+    verified; of the links of two components in a cell the first is enough."""
+    texts = texts_of(docs, members.select(F.col("node").alias("doc_id")).distinct())
+    rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").select(*[c.split()[0] for c in CELL.split(", ")], "text")
 
-    sides = found.select(F.col("a").alias("x"), F.col("pb").alias("to"), "*").union(found.select(F.col("b").alias("x"), F.col("pa").alias("to"), "*"))
-    ranked = sides.withColumn("nth", F.row_number().over(W.partitionBy("x", "to").orderBy(F.desc("matches"), "a", "b")))
-    return ranked.filter(F.col("nth") <= few).select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches, 500):
+            h, starts = minhash.shingled(table.column("text").combine_chunks(), words)
+            sets = [minhash.distinct(h[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            node, part, cell = (table.column(c).to_numpy() for c in ("node", "component", "cell"))
+            seen: set[tuple[int, int, int]] = set()
+            for p, q in open_pairs(table.drop_columns(["text"]), least):
+                for k in range(0, len(p), PORTION):
+                    x, y = p[k : k + PORTION], q[k : k + PORTION]
+                    shared = shared_counts(sets, x, y)
+                    united = sizes[x] + sizes[y] - shared
+                    near = np.flatnonzero((100 * shared >= percent * united) & (united > 0))
+                    keep = []
+                    for i in near:
+                        key = (int(cell[x[i]]), *sorted((int(part[x[i]]), int(part[y[i]]))))
+                        if key not in seen:
+                            seen.add(key)
+                            keep.append(i)
+                    if keep:
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x[keep]], node[y[keep]], shared[keep], united[keep])], names=["a", "b", "common", "united"])
+
+    return rows.repartition(common.fan_out(docs), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long, common long, united long")
 
 
 @dataclass
@@ -246,29 +300,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Clas
     pairs = keyed.join(stars, ["band", "key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     # rows that share an id but no set are one document
     same = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").join(full.select("doc_id", "set_key").distinct(), "doc_id").join(by_set.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    decided = [common.stored(verified(common.stored(surviving(pairs, nodes, least)), docs, words, percent))]
-    edges = common.stored(decided[0].filter("near").select("a", "b").union(same))
-    labels = common.stored(components(edges))
-    few = FEW
-    while True:
-        failed = reduce(DataFrame.union, [d.filter("not near").select("a", "b") for d in decided])
-        candidates = common.stored(crossing(nodes, labels, failed, least, few))
-        if candidates.isEmpty():
-            break
-        found = common.stored(verified(candidates, docs, words, percent))
-        decided.append(found)
-        near = found.filter("near").select("a", "b")
-        if not near.isEmpty():
-            known = lambda x: near.select("a", "b").alias("e").join(labels.alias("l"), F.col(f"e.{x}") == F.col("l.node"), "left")
-            once = known("a").select(F.coalesce("l.component", "e.a").alias("a"), "b")
-            merged = once.alias("e").join(labels.alias("l"), F.col("e.b") == F.col("l.node"), "left").select("a", F.coalesce("l.component", "e.b").alias("b"))
-            lifted = common.stored(components(merged))
-            old = labels.alias("l").join(lifted.alias("m"), F.col("l.component") == F.col("m.node"), "left").select(F.col("l.node").alias("node"), F.coalesce("m.component", "l.component").alias("component"))
-            new = lifted.join(labels.select("node"), "node", "left_anti")
-            labels = common.stored(old.union(new))
-        few *= GROWTH
-    links = reduce(DataFrame.union, [d.filter("near").select("a", "b", "common", "united") for d in decided])
-    owned = rows.join(by_set.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", "node")
+    found = common.stored(verified(common.stored(surviving(pairs, nodes, least)), docs, words, percent)).filter("near").drop("near")
+    labels = common.stored(components(found.select("a", "b").union(same)))
+    members = common.stored(crossing(nodes, labels, least))
+    more = common.stored(crossing_links(members, docs, words, percent, least))
+    labels = common.stored(components(found.select("a", "b").union(same).union(more.select("a", "b"))))
+    links = found.union(more).distinct()
+    owned = rows.join(by_set.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     common.release(spark)
     return Classes(owned, labels, links)
 
