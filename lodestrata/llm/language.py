@@ -35,6 +35,8 @@ LEAST_SHARE = 2e-5
 #: Against the share in the language that uses an n-gram most.
 LEAST_RATIO = 0.2
 PER_WORD = 63
+#: Distinct words whose n-grams are held at once.
+PORTION = 1 << 14
 FOLDS, HELD = 5, 0
 
 _LETTERS: np.ndarray | None = None
@@ -99,9 +101,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 _, index, words = common.flat_words(lowered(texts), lower=False)
-                if len(words):
-                    h, owner = grams(words.to_pylist())
-                    part = summed(h, np.bincount(index, minlength=len(words))[owner].astype(np.int64))
+                times = np.bincount(index, minlength=len(words))
+                for start in range(0, len(words), PORTION):
+                    h, owner = grams(words[start : start + PORTION].to_pylist())
+                    part = summed(h, times[start : start + PORTION][owner].astype(np.int64))
                     held.setdefault(lang, []).append(part)
                     size += len(part[0])
                     if len(held[lang]) > 8:
@@ -161,14 +164,17 @@ def fit(docs: DataFrame, slots: int = SLOTS, least_share: float = LEAST_SHARE, l
 
 def hits(words: list[str], filters: Filters) -> tuple[np.ndarray, np.ndarray]:
     """Per word: its n-grams, and how many of them each language may contain."""
-    h, owner = grams(words)
-    n = np.bincount(owner, minlength=len(words))
-    masks = filters.array[(p := places(h, len(filters.array)))[0]]
-    for q in p[1:]:
-        masks = masks & filters.array[q]
-    out = np.zeros((len(words), len(filters.langs)))
-    for j in range(len(filters.langs)):
-        out[:, j] = np.bincount(owner, weights=(masks[:, j // PER_WORD] >> (j % PER_WORD)) & 1, minlength=len(words))
+    n, out = np.zeros(len(words)), np.zeros((len(words), len(filters.langs)))
+    for start in range(0, len(words), PORTION):
+        part = words[start : start + PORTION]
+        h, owner = grams(part)
+        here = slice(start, start + len(part))
+        n[here] = np.bincount(owner, minlength=len(part))
+        masks = filters.array[(p := places(h, len(filters.array)))[0]]
+        for q in p[1:]:
+            masks = masks & filters.array[q]
+        for j in range(len(filters.langs)):
+            out[here, j] = np.bincount(owner, weights=(masks[:, j // PER_WORD] >> (j % PER_WORD)) & 1, minlength=len(part))
     return n, out
 
 
