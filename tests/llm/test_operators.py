@@ -246,7 +246,6 @@ def test_op5_against_all_pairs(spark, folder, texts):
 def test_op5_chains_beyond_the_bucket_star(spark, monkeypatch):
     """Texts that drift: each is near its neighbours only, so components need links that no star holds."""
     monkeypatch.setattr(dedup, "CHUNK", 3)
-    monkeypatch.setattr(dedup, "FEW", 1)
     base = [f"w{k}" for k in range(120)]
     texts = {}
     for i in range(14):
