@@ -34,8 +34,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 # Weak parts: an identifier that is named, an unnamed secret of mixed letters and digits, an endpoint.
-IDENTIFIER = re.compile(r"""\b(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:[_-]?name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:(?<!secret[._-])access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:[_-]?name)?|login|account(?:[_-]?name)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::\d+)?|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", re.A)
 #: RE2; what no weak or base pattern could match without.
 MAYBE = r"""(?i:password|passwd|secret|token|api_?key|access[_-]?key|client[_-]?id|user|login|account|name|id)["']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}"""
@@ -67,14 +67,17 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak parts that overlap no base span, nor each other."""
+    """Weak parts that overlap no base span, nor each other. An identifier that would end within a secret gives way to it."""
     found = [("identifier", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
     if not found and not base:
         return []
-    found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= LEAST_ENTROPY]
+    secrets = [(m.start(), m.end()) for m in SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and entropy(m[0]) >= LEAST_ENTROPY]
+    starts = [a for a, _ in secrets]
+    cut = [(k, a, b) for k, a, b in found if (i := bisect.bisect_left(starts, b)) and secrets[i - 1][1] > b]
+    found = sorted(set(found) - set(cut)) + [("secret", a, b) for a, b in secrets]
     found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     taken, out = sorted((a, b) for _, a, b in base), []
-    for kind, a, b in ordered(found):
+    for kind, a, b in ordered(found) + cut:
         i = bisect.bisect_left(taken, (a, a))
         if (i == len(taken) or taken[i][0] >= b) and (i == 0 or max(e for _, e in taken[max(0, i - 3) : i]) <= a):
             out.append((kind, a, b))

@@ -215,6 +215,33 @@ def test_op4_links_only_complements(spark):
     assert SPELLED["secret"] not in masked[1] and SPELLED["secret"] in masked[2] and masked[6] is None and masked[1].count(secrets.MASK) == 3
 
 
+def test_op4_links_values_after_an_equals_sign(spark):
+    key = "Eby8vdM02xNOcqFlqUwJPLlmEtlCDXJ1OUzFT50uSRZ6IFsuFq2UVErCz4I6tq/K1SZFPTOtr/KBHBeksoGMGw=="
+    base64 = SPELLED["secret"]
+    cases = {
+        1: f"aws_access_key_id={SPELLED['id']}\naws_secret_access_key={base64}",
+        2: f"aws_access_key_id=ASIAQWERTYUIOPLKJHGF\naws_secret_access_key={base64}",
+        3: f"DefaultEndpointsProtocol=https;AccountName=devstore1;AccountKey={key};EndpointSuffix=x",
+        4: f"storage_account=devstore1\nstorage_access_key={key}",
+        5: f"db_user=alice\ndb_key='{base64}'",
+        6: f"aws_secret_access_key={base64}",
+        7: f"aws_access_key_id:ASIAQWERTYUIOPLKJHGF aws_secret_access_key:{base64}",
+    }
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.kind, cases[r.doc_id][s.start : s.end]) for s in r.added) for r in secrets.found_spans(docs).collect()}
+    assert got == {
+        1: [("secret", base64)],
+        2: [("identifier", "access_key_id=ASIAQWERTYUIOPLKJHGF"), ("secret", base64)],
+        3: [("identifier", "AccountName=devstore1"), ("secret", key)],
+        4: [("identifier", "account=devstore1"), ("secret", key)],
+        5: [("identifier", "user=alice"), ("secret", base64)],
+        6: [],
+        7: [("identifier", "access_key_id:ASIAQWERTYUIOPLKJHGF"), ("secret", base64)],
+    }
+    for r in secrets.redacted(docs).collect():
+        assert (base64 in r.text or key in r.text) == (r.doc_id == 6)
+
+
 def components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
