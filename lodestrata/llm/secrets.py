@@ -2,8 +2,9 @@
 
 A pass over whole texts gives base spans (strong on their own) and weak parts: identifiers, secrets and endpoints that mean
 nothing alone. Weak parts are then joined by interval: on (row, scope, bin of WINDOW code points) with a bound on their
-distance, as semi-joins, so that no pairs are made and a bin holds at most as many parts as it has code points. A weak
-identifier needs a secret nearby, a weak secret an identifier, an endpoint both. A scope is a paragraph.
+distance, as semi-joins, so that no pairs are made and a bin holds at most as many parts as it has code points. Both sides
+stand in every bin they reach, so that long parts are met at either end. A weak identifier needs a secret nearby, a weak
+secret an identifier, an endpoint both. A scope is a paragraph.
 
 Defined results: null and empty texts have no spans (their base digest is that of no bytes); rows with equal ids are kept
 apart by a row number of the scan; an empty table gives none.
@@ -126,7 +127,7 @@ def linked(scanned: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = scanned.select("row_id", F.explode("parts").alias("p")).select("row_id", "p.*")
     bin_of = lambda c: F.floor(c / F.lit(window))
     weak = parts.filter("weak").withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") - window), bin_of(F.col("end") + window))))
-    anchors = parts.select("row_id", "scope", "role", "start", "end", bin_of(F.col("start")).alias("bin"))
+    anchors = parts.select("row_id", "scope", "role", "start", "end", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))).alias("bin"))
 
     def near(left: DataFrame, role: str) -> DataFrame:
         a, b = left.alias("l"), anchors.filter(F.col("role") == role).alias("r")

@@ -242,6 +242,18 @@ def test_op4_links_values_after_an_equals_sign(spark):
         assert (base64 in r.text or key in r.text) == (r.doc_id == 6)
 
 
+@pytest.mark.parametrize("size", [500, 900, 1200])
+def test_op4_links_what_follows_a_long_base_span(spark, size):
+    after = " user=alice https://api.corp.example"
+    cases = {i: "x" * (i * 50) + " token=" + "aB3." * (size // 4) + after for i in range(9)}
+    cases[9] = "https://api.corp.example user=alice token=" + "aB3." * (size // 4)
+    cases[10] = cases[0][: -len(after)] + " word" * 100 + after
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.kind, cases[r.doc_id][s.start : s.end]) for s in r.added) for r in secrets.found_spans(docs).collect()}
+    both = [("endpoint", "https://api.corp.example"), ("identifier", "user=alice")]
+    assert got == {i: both for i in range(10)} | {10: []}
+
+
 def components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
