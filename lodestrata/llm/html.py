@@ -2,9 +2,11 @@
 
 A page is cut into blocks, each with the path of tags from the root to its leaf. Text length and punctuation are summed per
 path and divided by the path's blocks; both ratios are smoothed over neighbouring paths (alike up to their last tags), fused
-as a product, and compared with a threshold set by their spread. The paths above it mark the content: the deepest element
-that holds most of their text is the article, and its blocks are kept but for boilerplate by structure (menus, headers,
-footers, sidebars, notices, adverts, forms, comments), which is left out of the ratios too.
+as a product, and compared with a threshold set by their spread. The paths above it mark the content. The article is what
+a page marks as such (all of its outermost article and main elements, if they hold half of the content), or else the lowest
+element around the content and all headings. Every block of it is kept, and on a page without marks every block beside it
+that isn't links alone, but for boilerplate by structure (menus, headers, footers, sidebars, notices, adverts, forms,
+comments), which is left out of the ratios too.
 
 Defined results: null or empty html gives an empty text; a page with no markup is one block; unclosed and stray tags are
 taken as browsers do for paragraphs, lists and tables; repeated rows repeat; extra columns are carried along.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +47,13 @@ class Node:
     __slots__ = ("tag", "up", "path", "drop", "holds", "depth")
 
     def __init__(self, tag: str, up: Node | None, drop: int) -> None:
-        self.tag, self.up, self.drop, self.holds = tag, up, drop, False
+        self.tag, self.up, self.drop, self.holds = tag, up, drop, 0
         self.path = f"{up.path}/{tag}" if up else tag
         self.depth = up.depth + 1 if up else 0
 
 
 def boilerplate(tag: str, attributes: str) -> int:
-    """2: by its tag or role; 1: by name, unless an article lies inside; 0: not."""
+    """2: by its tag or role; 1: by name, unless an article lies inside; -1: an article named so as a whole; 0: not."""
     if tag in DROP_TAGS:
         return 2
     if tag == "header":
@@ -63,34 +65,36 @@ def boilerplate(tag: str, attributes: str) -> int:
         return 2
     if found.get("role", "").strip().lower() in DROP_ROLES:
         return 2
-    if tag in ("html", "body", "article", "main"):
-        return 0
     names = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag in ("html", "body", "article", "main"):
+        return -int(tag == "article" and not DROP_WORDS.isdisjoint(names.lower().split()))
     return int(any(w in DROP_WORDS for w in WORDS.findall(CAMEL.sub("-", names).lower())))
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     """(innermost block element, text with single spaces, code points inside links) of every block with text."""
     root = Node("", None, 0)
-    stack, out, texts, linked, links, at = [root], [], [], 0, 0, 0
+    stack, out, texts, linked, links, at, worded = [root], [], [], 0, 0, 0, False
     block = root
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, worded
         if texts:
             text = " ".join("".join(texts).split())
-            if text:
-                out.append((block, text, linked))
+            if text:  # what stands between links alone, as bars in a menu, counts as linked
+                out.append((block, text, len(text) if linked and not worded else linked))
             texts.clear()
-            linked = 0
+            linked, worded = 0, False
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, worded
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             texts.append(text)
             if links:
                 linked += len(text.strip())
+            elif not worded:
+                worded = any(map(str.isalnum, text))
 
     def close_to(i: int) -> None:
         nonlocal links, block
@@ -155,8 +159,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             flush()
             block = node
         if tag in ("article", "main") or tag == "h1" and any(n.tag in ("article", "main") for n in stack):
-            for n in stack:
-                n.holds = True
+            for n in stack:  # 2: an article, 1: only its title
+                n.holds = max(n.holds, 1 if tag == "h1" else 2)
         links += tag == "a"
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
             stack.append(node)
@@ -207,33 +211,61 @@ def main_text(page: str | None) -> str:
     mean = sum(fused.values()) / len(fused)
     spread = (sum((v - mean) ** 2 for v in fused.values()) / len(fused)) ** 0.5
     chosen = {p for p, v in fused.items() if v >= min(spread, mean)} or set(fused)
-    weight: dict[Node, int] = {}
-    total = 0
-    for node, text, linked in clean:
+    weight = weights(clean, chosen)
+    marked = [n for n in weight if n.tag in ("article", "main")]
+    if marked:
+        most = max(marked, key=lambda n: (n.tag == "article", weight[n]))
+        core = max((n for n in marked if 2 * weight[n] >= weight[most] and most in lineage(n)), key=lambda n: n.depth)
+        around = set(lineage(core))
+        kept = apart(clean, lambda n: n in around)
+        inside = [x for x in kept if any(n.tag in ("article", "main") for n in lineage(x[0]))]
+        part, total = (sum(len(text) - linked + 1 for node, text, linked in xs if node.path in chosen) for xs in (inside, kept))
+        if inside and 2 * part >= total:
+            return "\n".join(text for _, text, _ in inside)
+    half = sum(len(text) - linked + 1 for node, text, linked in clean if node.path in chosen) / 2
+    clean = apart(clean, lambda n: weight.get(n, 0) >= half)
+    content = [node for node, text, linked in clean if linked < len(text) and (node.path in chosen or node.tag in HEADINGS)]
+    article = common_ancestor(content or [x[0] for x in clean])
+    return "\n".join(text for node, text, linked in clean if linked < len(text) or node.tag in HEADINGS or article in lineage(node))
+
+
+def weights(found: list[tuple[Node, str, int]], chosen: set[str]) -> dict[Node, int]:
+    """What each node holds of the chosen paths' text."""
+    out: dict[Node, int] = {}
+    for node, text, linked in found:
         if node.path in chosen:
-            total += len(text) - linked + 1
-            up: Node | None = node
-            while up:
-                weight[up] = weight.get(up, 0) + len(text) - linked + 1
-                up = up.up
-    tops = [n for n in weight if n.tag in ("article", "main")]
-    if tops:
-        best = max(tops, key=lambda n: (weight[n], n.tag == "article"))
-        if 2 * weight[best] < total:
-            tops = []
-    if not tops:
-        best = max((n for n in weight if weight[n] >= 0.8 * total), key=lambda n: n.depth)
-        while best.tag in HEADINGS | {"p", "li", "td", "blockquote", "pre"} and best.up and best.up.tag:
-            best = best.up
-    keep = []
-    for node, text, linked in clean:
-        up = node
-        while up and up is not best:
-            up = up.up
-        # inside the article, only blocks that are links as a whole and on a path of few words are left out
-        if up and not (node.path not in chosen and linked >= len(text) > 0 and node.tag not in HEADINGS):
-            keep.append(text)
-    return "\n".join(keep)
+            for n in lineage(node):
+                out[n] = out.get(n, 0) + len(text) - linked + 1
+    return out
+
+
+def apart(found: list[tuple[Node, str, int]], stays: Callable[[Node], bool]) -> list[tuple[Node, str, int]]:
+    """Without boilerplate by name that is made of articles, as comments and related pages often are."""
+    return [x for x in found if not any((n.drop == -1 or n.drop == 1 and n.holds == 2) and not stays(n) for n in lineage(x[0]))] or found
+
+
+def lineage(node: Node | None) -> list[Node]:
+    """The node and its ancestors, from the root."""
+    out = []
+    while node:
+        out.append(node)
+        node = node.up
+    return out[::-1]
+
+
+def common_ancestor(nodes: list[Node]) -> Node:
+    """The lowest node that holds all of them, above a single paragraph or heading."""
+    low = nodes[0]
+    for node in nodes[1:]:
+        while low.depth > node.depth:
+            low = low.up
+        while node.depth > low.depth:
+            node = node.up
+        while low is not node:
+            low, node = low.up, node.up
+    while low.tag in HEADINGS | {"p", "li", "td", "blockquote", "pre"} and low.up and low.up.tag:
+        low = low.up
+    return low
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

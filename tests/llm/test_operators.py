@@ -464,6 +464,35 @@ def test_op10_extracts_the_article(spark, tmp_path):
     assert "" in got[7]
 
 
+LONG = "A long paragraph, with many words; it goes on, and on. " * 8
+BESIDE = {
+    "title and lead": f"<body><div class=post><h1>Title</h1><div class=lead>Short lead.</div><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div></body>",
+    "nested": f"<body><div><div><h1>Title</h1></div><div>By <a href=/j>Jane Doe</a></div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div></body>",
+    "sections": f"<body><div class=a><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></div><div class=b><span>A second section, shorter.</span></div></body>",
+    "articles": f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>Short.</p></article></div></body>",
+    "list of links": f"<body><article><h1>Title</h1><p>{LONG}</p><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></article></body>",
+    "references": f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><div><h2>References</h2><ul><li><a href=/1>One</a></li></ul></div></div></body>",
+    "boilerplate": f"<body><div><a href=/>Home</a> | <a href=/b>Blog</a></div><div class=menu>Menu, here.</div><div><p>{LONG}</p><p>{LONG}</p></div><div class=comments><article><p>I agree, and more.</p></article></div></body>",
+    "comments": f"<body><main><div class=has-sidebar><article><h1>Title</h1><p>{LONG}</p></article></div><section id=comments><article><p>I agree, and more.</p></article></section></main></body>",
+    "related": f"<body><article><p>{LONG}</p></article><article class='card related'><p>Another page, elsewhere.</p></article></body>",
+}
+
+
+def test_op10_keeps_what_stands_beside_the_longest_part():
+    long = LONG.strip()
+    assert {k: html.main_text(v).split("\n") for k, v in BESIDE.items()} == {
+        "title and lead": ["Title", "Short lead.", long, long],
+        "nested": ["Title", "By Jane Doe", long, long],
+        "sections": [long, long, long, "A second section, shorter."],
+        "articles": [long, long, long, "Short."],
+        "list of links": ["Title", long, "One", "Two"],
+        "references": [long, long, "References", "One"],
+        "boilerplate": [long, long],
+        "comments": ["Title", long],
+        "related": [long],
+    }
+
+
 def test_pipeline_against_its_stages(spark, folder, texts):
     import corpus_pipeline
 
