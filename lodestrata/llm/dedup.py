@@ -207,11 +207,11 @@ def open_pairs(rows: pa.Table, least: list[int]) -> Iterator[tuple[np.ndarray, n
 CELL = "cell long, band int, same boolean, chunk int, node long, component long, signature binary"
 
 
-def crossing(nodes: DataFrame, labels: DataFrame, least: list[int]) -> DataFrame:
+def crossing(nodes: DataFrame, labels: DataFrame, least: list[int], fewest: int = 3) -> DataFrame:
     """Rows of CELL: the members of buckets that have a candidate of another component there. A bucket's members are dealt to
-    cells of two chunks at most. Buckets of two were decided by their star."""
+    cells of two chunks at most. Buckets of less than fewest are left out: those of two were decided by their star."""
     placed = banded(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "signature"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter(f"low <> high and n >= {fewest}").select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     member = placed.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # signatures join only members of such buckets
     dealt = member.join(nodes.select("node", "signature"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -245,9 +245,9 @@ def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.nd
     return np.concatenate([np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(x), step)])
 
 
-def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int]) -> DataFrame:
+def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int], every: bool = False) -> DataFrame:
     """a, b, common, united: links that join different components within cells, verified on full sets. All candidates are
-    verified; of the links of two components in a cell the first is enough."""
+    verified; of the links of two components in a cell the first is enough, unless every one is asked for."""
     texts = texts_of(docs, members.select(F.col("node").alias("doc_id")).distinct())
     rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").select(*[c.split()[0] for c in CELL.split(", ")], "text")
 
@@ -264,8 +264,8 @@ def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int
                     shared = shared_counts(sets, x, y)
                     united = sizes[x] + sizes[y] - shared
                     near = np.flatnonzero((100 * shared >= percent * united) & (united > 0))
-                    keep = []
-                    for i in near:
+                    keep = near.tolist() if every else []
+                    for i in () if every else near:
                         key = (int(cell[x[i]]), *sorted((int(part[x[i]]), int(part[y[i]]))))
                         if key not in seen:
                             seen.add(key)
@@ -290,7 +290,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Clas
     spark = docs.sparkSession
     rows = common.stored(signed(docs, words))
     full = rows.filter("set_key is not null and doc_id is not null")
-    by_set = common.stored(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")))
+    by_set = common.stored(sets_of(full))
     # an id of several texts is one node, with the least of their signatures
     nodes = by_set.groupBy("node").agg(F.min("signature").alias("signature"))
     least = least_matches(BANDS * ROWS, percent / 100)
@@ -311,6 +311,22 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Clas
     return Classes(owned, labels, links)
 
 
+def sets_of(full: DataFrame) -> DataFrame:
+    """set_key, node (its smallest id) and signature of every class of rows with one shingle set."""
+    return full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
+
+
+def every_link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """a < b, common, united: all candidate pairs of classes that are near, each once. Each class is a component by itself, so
+    that all pairs of a bucket are compared and verified in its cells."""
+    full = signed(docs, words).filter("set_key is not null and doc_id is not null")
+    nodes = common.stored(sets_of(full).groupBy("node").agg(F.min("signature").alias("signature")))
+    least = least_matches(BANDS * ROWS, percent / 100)
+    alone = docs.sparkSession.createDataFrame([], "node long, component long")
+    members = common.stored(crossing(nodes, alone, least, 2))
+    return crossing_links(members, docs, words, percent, least, every=True)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     found = classes(docs, words, percent)

@@ -2,7 +2,7 @@
 
 A fingerprint is FUNCTIONS minima of universal hash functions over a text's shingles of WORDS words, 16 bits each, as
 hexadecimal digits; the share of equal minima estimates the Jaccard similarity. ``links`` joins signature bands in Spark and
-verifies the similarity of what meets on full shingle sets.
+verifies the similarity of what meets on full shingle sets; it tells every link, so a group of n near texts has n^2 / 2.
 
 The query needs each document's successor by id: ids are cut into ranges at approximate quantiles, each range gets the
 first document of the next one as a ghost row, and each range is streamed in order, so texts are shuffled once and there is
@@ -52,11 +52,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, functions: int = FUNCTIONS
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """a, b, common, united: verified pairs of near-equal texts, each class of equal shingle sets standing for itself by its
-    smallest id. See dedup for how pairs within large groups are avoided."""
+    """a < b, common, united: all verified pairs of near-equal texts, each class of equal shingle sets standing for itself by its
+    smallest id. See dedup for how a large bucket is dealt to cells."""
     from . import dedup
 
-    return dedup.classes(docs, words, percent).links
+    return dedup.every_link(docs, words, percent)
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -124,5 +124,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_fingerprints": op2_fingerprints}
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-equal documents. Edge cases: see the module."""
+    return links(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op2_links": op2_links}
 ORACLE: dict[str, str] = {}

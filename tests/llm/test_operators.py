@@ -315,6 +315,23 @@ def test_op5_bounds_keep_what_is_near():
     assert alive.mean() > 0.995
 
 
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_op2_links_against_all_pairs(spark, texts, chunk, monkeypatch):
+    """Every pair of a group of near copies is told, once, also where the group is one component."""
+    monkeypatch.setattr(dedup, "CHUNK", chunk)
+    base = [f"w{k}" for k in range(300)]
+    copies = {1000 + i: " ".join([*base[: 7 * i], f"z{i}", *base[7 * i + 1 :]]) for i in range(16)}
+    every = copies | texts | {2000: copies[1003].upper(), 2001: None}
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    got = [tuple(r) for r in fingerprints.links(docs).collect()]
+    first = {}
+    for i, t in sorted(every.items()):
+        w = words(t)
+        first.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset(), i)
+    want = {(i, j, len(x & y), len(x | y)) for x, i in first.items() for y, j in first.items() if i < j and x and y and 100 * len(x & y) >= 80 * len(x | y)}
+    assert sum(a >= 1000 for a, *_ in want) == 120 and sorted(got) == sorted(want)
+
+
 def test_minhash_agrees_with_sets():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(60, 360))
     h, starts = minhash.shingled(pa.array([a, b, "", "w1", None]), 1)
