@@ -49,3 +49,12 @@ def test_cap_is_applied_before_the_shuffle(spark):
     from lodestrata.plans import queries
 
     assert "WindowGroupLimit" in queries.QUERIES["w01_cap_per_group"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layering_takes_every_edge(spark):
+    from lodestrata.plans import queries
+
+    edges = [(r.src, r.dst) for r in queries.a22_module_edges(spark, SF).collect()]
+    layer = {r.node: r.layer for r in queries.g10_layering(spark, SF).collect()}
+    assert len(edges) > 30 and layer.keys() == {str(n) for e in edges for n in e}
+    assert all(layer[str(s)] != layer[str(d)] for s, d in edges if s != d)
