@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -43,6 +45,8 @@ MAYBE = r"""(?i:password|passwd|secret|token|api_?key|access[_-]?key|client[_-]?
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 WINDOW = 400
+#: Bytes of text taken at once.
+PIECE = 4 << 20
 LEAST_ENTROPY = 3.5
 
 
@@ -77,12 +81,15 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     cut = [(k, a, b) for k, a, b in found if (i := bisect.bisect_left(starts, b)) and secrets[i - 1][1] > b]
     found = sorted(set(found) - set(cut)) + [("secret", a, b) for a, b in secrets]
     found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    taken, out = sorted((a, b) for _, a, b in base), []
+    base_starts = [a for _, a, _ in sorted(base, key=lambda s: s[1])]
+    base_ends = list(itertools.accumulate((b for _, _, b in sorted(base, key=lambda s: s[1])), max))
+    own: list[tuple[int, int]] = []  # apart from each other, so the last one before a place ends last
+    out = []
     for kind, a, b in ordered(found) + cut:
-        i = bisect.bisect_left(taken, (a, a))
-        if (i == len(taken) or taken[i][0] >= b) and (i == 0 or max(e for _, e in taken[max(0, i - 3) : i]) <= a):
+        i, j = bisect.bisect_left(base_starts, b), bisect.bisect_left(own, (b, b))
+        if (i == 0 or base_ends[i - 1] <= a) and (j == 0 or own[j - 1][1] <= a):
             out.append((kind, a, b))
-            bisect.insort(taken, (a, b))
+            own.insert(j, (a, b))
     return out
 
 
@@ -113,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in common.pieces(batches, "text", 8 << 20):
+        for batch in common.pieces(batches, "text", PIECE):
             base_col, part_col = parts_of(pc.fill_null(batch.column("text"), ""))
             ids = pa.array(range(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
@@ -150,41 +157,54 @@ def found_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 MASK = "[secret]"
+#: Texts with linked parts, counted first, whose digests and spans (some hundred bytes a text) may be broadcast.
+MOST_LINKED = 100_000
 
 
 def redacted(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every found span of text replaced by MASK, and n_chars, if there, set anew. Rows are never dropped.
 
-    Base spans are masked where they are found. Only rows with parts that may link meet in a join, by the digest of their
-    text: spans depend on the text alone.
+    Spans depend on the text alone. A first pass keeps the parts of texts where some may link, by the text's digest, as a
+    narrow table; in the second, texts meet the linked parts by that digest, and base spans are found where they are masked.
     """
-    names, parts = docs.columns, "array<struct<kind string, role string, weak boolean, start long, end long, scope long>>"
-    shape = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _base array<struct<kind string, start long, end long>>, _key string, _parts {parts}"
+    names = docs.columns
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    kept = "row_id string, parts array<struct<kind string, role string, weak boolean, start long, end long, scope long>>"
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "text", 8 << 20):
-            base_col, part_col = parts_of(pc.fill_null(batch.column("text"), ""))
-            keys = [hashlib.sha256(batch.column("text")[i].as_py().encode()).hexdigest() if p else None for i, p in enumerate(part_col)]
-            columns = [*batch.columns, pa.array(base_col, pa.list_(SPAN)), pa.array(keys, pa.string()), pa.array(part_col, pa.list_(PART))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_base", "_key", "_parts"])
+    def scan_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches, "text", PIECE):
+            column = pc.fill_null(batch.column("text"), "")
+            found = [(i, p) for i, p in enumerate(parts_of(column)[1]) if p]
+            keys = [hashlib.sha256(column[i].as_py().encode()).hexdigest() for i, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([p for _, p in found], pa.list_(PART))], names=["row_id", "parts"])
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column("text").to_pylist(), [a + b for a, b in zip(batch.column("_base").to_pylist(), batch.column("_added").to_pylist(), strict=True)]
+        for batch in common.pieces(batches, "text", PIECE):
+            column = batch.column("text")
+            filled = pc.fill_null(column, "")
+            added = batch.column("_added")
+            hit = pc.or_(pc.match_substring_regex(filled, MAYBE), pc.is_valid(added)).to_numpy(zero_copy_only=False)
+            changed, new = [], []
+            for i in hit.nonzero()[0].tolist():
+                text = filled[i].as_py()
+                spans = [{"start": a, "end": b} for _, a, b in base_spans(text)] + (added[i].as_py() or [])
+                if spans:
+                    changed.append(i)
+                    new.append(masked(text, spans))
+            rows = np.zeros(batch.num_rows, bool)
+            rows[changed] = True
             columns = {c: batch.column(c) for c in names}
-            texts = [masked(t, h) if h else t for t, h in zip(texts, hits, strict=True)]
-            columns["text"] = pa.array(texts, pa.string())
+            columns["text"] = pc.replace_with_mask(column, pa.array(rows), pa.array(new, column.type))
             if "n_chars" in columns:
                 old = columns["n_chars"]
-                columns["n_chars"] = pc.if_else(pa.array([bool(h) for h in hits], pa.bool_()), pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(old.type), old)
+                columns["n_chars"] = pc.replace_with_mask(old, pa.array(rows), pa.array([len(t) for t in new], pa.int64()).cast(old.type))
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    marked = docs.mapInArrow(mark, shape)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    scanned = common.stored(marked.filter("_key is not null").select(F.col("_key").alias("row_id"), F.col("_parts").alias("parts")).dropDuplicates(["row_id"]))
-    alone = marked.filter("_key is null").select(*names, "_base", none.alias("_added"))
-    both = marked.filter("_key is not null").join(linked(scanned, window), F.col("_key") == F.col("row_id"), "left")
-    return alone.union(both.select(*names, "_base", F.coalesce("added", none).alias("_added"))).mapInArrow(mask, docs.schema)
+    scanned = common.stored(texts.mapInArrow(scan_parts, kept).dropDuplicates(["row_id"]))
+    added = common.stored(linked(scanned, window).withColumnRenamed("row_id", "_key").withColumnRenamed("added", "_added"))
+    few = F.broadcast(added) if added.count() <= MOST_LINKED else added
+    both = docs.withColumn("_key", F.sha2(F.col("text").cast("string").cast("binary"), 256)).join(few, "_key", "left")
+    return both.select(*names, "_added").mapInArrow(mask, docs.schema)
 
 
 def masked(text: str, spans: list) -> str:
