@@ -1,11 +1,16 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 The histogram has at most `capacity` lengths whatever the input's size, so the program is solved on the driver: minimise
-the number of sequences, a configuration being a multiset of lengths that fits into one. Multiplicative weights price the
-lengths; a knapsack dynamic program over the capacity finds for every length the most valuable configuration that holds it;
-their average over the rounds is scaled to the demand. Rounding takes whole multiples of the configurations, fullest first,
-and gives what is left to best fit on the histogram, again in whole multiples, so no step depends on how many pieces there
-are. Pieces are then dealt to places by their rank within their length; ranks come from counts per (length, slice).
+the number of sequences, a configuration being a multiset of lengths that fits into one. Columns start with those of best
+fit; in every round a knapsack dynamic program over the capacity finds, at the current prices, the most valuable
+configuration that holds each length, and these join the columns. Multiplicative weights then scale each column's use by what
+a sequence of it is worth: the sum over its tokens of how much their length still lacks, 1 where demand is met exactly. So
+columns with gaps shrink, and lengths in want raise both their columns' use and, by their price, the next round's columns.
+
+Rounding takes whole multiples of all columns, fullest first, and solves the program again for what is left; best fit packs
+the rest. The result is the best of these and best fit alone, so it is never worse than that; `least` gives a lower bound
+from the knapsack's prices and from the lengths above half of the capacity. No step depends on how many pieces there are.
+Pieces are then dealt to places by their rank within their length; ranks come from counts per (length, slice).
 
 Defined results: null and empty texts are one piece of the end id alone; documents longer than a sequence are cut, the first
 piece being the shorter one; repeated rows are packed each on its own; an empty table gives no sequence.
@@ -16,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,10 +36,14 @@ from . import common
 
 CAPACITY = 2048
 END = 0
-ROUNDS, STEP = 40, 0.5
-#: Shares of the program's use that rounding tries: the rest gives best fit room to close gaps.
-ROUNDED = (1.0, 0.75, 0.5)
-SLICES = 64
+#: Rounds of pricing, of weights after each, and programs solved one after another for what rounding leaves.
+ROUNDS, UPDATES, PROGRAMS = 8, 60, 3
+#: How much more than in proportion a long piece is worth at first; the power of a length's want in its price and in weights.
+TILT, WANT, STEP = 0.02, 0.5, 1.5
+#: Slices of a length, at least; beyond so many rows of one length there are more.
+SLICES, SLICE_ROWS = 64, 1 << 18
+#: Bytes of text encoded at once.
+PIECE = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,7 +56,7 @@ def tokenizer_path() -> str:
 
 @functools.cache
 def byte_pairs(path: str):  # noqa: ANN201
-    """The byte-level vocabulary of a tokenizer file as an encoder that returns arrays, and each token's length in bytes.
+    """The byte-level vocabulary of a tokenizer file as an encoder with the file's added tokens, and each token's length in bytes.
 
     The file's ids are the ranks of its merges, so the same pairs are merged in the same order; tests hold the ids against
     those of `tokenizers`.
@@ -55,15 +65,16 @@ def byte_pairs(path: str):  # noqa: ANN201
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     others = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if token not in added and all(c in byte_of for c in token)}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    return tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), sizes
 
 
 class Encoder:
@@ -71,7 +82,7 @@ class Encoder:
 
     A chunk is what lies between two single spaces, with the space before it. The vocabulary's pre-tokenizer never joins a
     space to what precedes it, so chunks can be encoded apart wherever the next one begins with neither white space nor the
-    text's end; texts where this doesn't hold are encoded whole. For the same reason all chunks with a space are encoded in
+    text's end; texts where this doesn't hold, and those with an added token's string, are encoded whole. For the same reason all chunks with a space are encoded in
     one go and told apart by the tokens' lengths in bytes.
     """
 
@@ -79,7 +90,7 @@ class Encoder:
         self.pairs, self.sizes = byte_pairs(path)
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.pairs.encode_ordinary(t), np.uint32) for t in texts]
+        return [np.array(self.pairs.encode(t, allowed_special="all"), np.uint32) for t in texts]
 
     def chunked(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts) of chunks that begin with a space."""
@@ -97,6 +108,8 @@ class Encoder:
         first[starts[:-1]] = True
         odd = pc.match_substring_regex(flat, r"^(?:$|[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])").to_numpy(zero_copy_only=False) & ~first
         whole = np.add.reduceat(odd, starts[:-1]) > 0 if len(flat) else np.zeros(len(texts), bool)
+        for token in self.pairs.special_tokens_set:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         inner = flat.filter(pa.array(~first & ~np.repeat(whole, np.diff(starts)))).dictionary_encode()
         ids, at = self.chunked(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), inner.dictionary, pa.scalar(" ", pa.large_string())))
         heads = iter(self.encoded([t.as_py() for t in flat.take(pa.array(starts[:-1][~whole]))]))
@@ -118,7 +131,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, cr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in common.pieces(common.gathered(batches, "text", 8 << 20), "text", 8 << 20):
+        for batch in common.pieces(common.gathered(batches, "text", PIECE), "text", PIECE):
             ids, starts = encoder.batch(batch.column("text"))
             rows = []
             for i, key in enumerate(batch.column("doc_id").to_pylist()):
@@ -132,30 +145,25 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, cr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def knapsack(value: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: the greatest value that fits into c, and the length added last (0: none)."""
+def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best[c]: the greatest value of lengths that fits into c; last[c]: the length added to reach it, at[c] <= c."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(most[: capacity + 1])
+    worth, upto = value[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        own = lengths[: np.searchsorted(lengths, c, side="right")]
-        if len(own):
-            v = value[own] + best[c - own]
-            k = int(v.argmax())
-            if v[k] > best[c - 1] + 1e-15:
-                best[c], last[c] = v[k], own[k]
-                continue
         best[c] = best[c - 1]
-    return best, last
+        if n := upto[c]:
+            v = worth[:n] + best[c - lengths[:n]]
+            k = int(v.argmax())
+            if v[k] > best[c] + 1e-12:
+                best[c], last[c] = v[k], lengths[k]
+    return best, last, np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
 
 
-def traced(last: np.ndarray, c: int) -> list[int]:
+def traced(last: np.ndarray, at: np.ndarray, c: int) -> list[int]:
     out = []
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
-        else:
-            c -= 1
+    while c := int(at[c]):
+        out.append(int(last[c]))
+        c -= int(last[c])
     return out
 
 
@@ -163,49 +171,63 @@ Config = tuple[tuple[int, int], ...]
 
 
 def shape(lengths: list[int]) -> Config:
-    found: dict[int, int] = {}
-    for x in lengths:
-        found[x] = found.get(x, 0) + 1
-    return tuple(sorted(found.items(), reverse=True))
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[Config, float]:
-    """The linear program's configurations and how often each is used, by multiplicative weights."""
-    need = np.zeros(capacity + 1)
-    for length, n in counts.items():
-        need[length] = n
-    live = np.flatnonzero(need)
-    total: dict[Config, float] = {}
-    price = np.zeros(capacity + 1)
-    price[live] = live / capacity
-    for _ in range(rounds):
-        best, last = knapsack(price, need, capacity)
-        covered = np.zeros(capacity + 1)
-        used: list[tuple[Config, float]] = []
-        for length in live[::-1]:  # every length, longest first, asks for what it still lacks this round
-            lack = need[length] - covered[length]
-            if lack <= 1e-9:
-                continue
-            config = shape([int(length), *traced(last, capacity - int(length))])
-            times = lack / dict(config)[int(length)]
-            for x, a in config:
-                if x != length:
-                    times = min(times, max(need[x] - covered[x], 0.25 * lack) / a)
-            times = max(times, 0.5 * lack / dict(config)[int(length)])
-            used.append((config, times))
-            for x, a in config:
-                covered[x] += a * times
-            rest = need[length] - covered[length]
-            if rest > 1e-9:  # the rest of it goes with the best of its own kind
-                alone = shape([int(length)] * max(1, capacity // int(length)))
-                used.append((alone, rest / dict(alone)[int(length)]))
-                covered[length] = need[length]
-        for config, times in used:
-            total[config] = total.get(config, 0.0) + times / rounds
-        share = covered[live] / need[live]
-        price[live] *= np.exp(STEP * np.clip(1 - share, -1, 1))
-        price[live] = np.clip(price[live], live / capacity * 0.5, live / capacity * 2)
-    return total
+    return tuple(sorted(Counter(lengths).items(), reverse=True))
+
+
+def gap(config: Config, capacity: int) -> int:
+    return capacity - sum(length * a for length, a in config)
+
+
+class Columns:
+    """The program's columns as (length, column, times) triples, and how often each is used."""
+
+    def __init__(self) -> None:
+        self.place: dict[Config, int] = {}
+        self.uses: list[float] = []
+        self.length: list[int] = []
+        self.column: list[int] = []
+        self.times: list[int] = []
+
+    def add(self, config: Config, use: float) -> None:
+        if config not in self.place:
+            self.place[config] = len(self.uses)
+            self.uses.append(use)
+            for length, a in config:
+                self.length.append(length)
+                self.column.append(self.place[config])
+                self.times.append(a)
+
+    def weighed(self, need: np.ndarray, capacity: int, updates: int) -> np.ndarray:
+        """Updates the uses by multiplicative weights; what each length lacks then: its demand by what covers it."""
+        length, column, times = np.array(self.length), np.array(self.column), np.array(self.times, float)
+        uses = np.array(self.uses)
+
+        def lack() -> np.ndarray:
+            covered = np.bincount(length, times * uses[column], capacity + 1)
+            return np.where(need > 0, need / np.maximum(covered, 1e-9), 1.0)
+
+        for _ in range(updates):
+            uses *= np.bincount(column, times * length / capacity * lack()[length], len(uses)) ** STEP
+        self.uses = uses.tolist()
+        return lack()
+
+
+def solve(left: np.ndarray, capacity: int, start: list[tuple[Config, int]], rounds: int = ROUNDS) -> tuple[Columns, float]:
+    """The program's columns with their uses, and a lower bound for the number of sequences from the rounds' prices."""
+    need, live = left.astype(float), np.flatnonzero(left)
+    size = np.arange(capacity + 1) / capacity
+    columns, bound, price = Columns(), 0.0, size * (1 + TILT * size)
+    for config, times in start:
+        columns.add(config, float(times))
+    for n in range(1, rounds + 1):
+        best, last, at = knapsack(price, live, capacity)
+        bound = max(bound, float(need @ price) / best[capacity])
+        for length in live[::-1].tolist():
+            config = shape([length, *traced(last, at, capacity - length)])
+            columns.add(config, 0.2 * need[length] / dict(config)[length] / n)
+        lack = columns.weighed(need, capacity, UPDATES)
+        price = size * (1 + TILT * size) * np.clip(lack, 0.5, 2.0) ** WANT
+    return columns, bound
 
 
 def fill(left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
@@ -237,27 +259,52 @@ def fill(left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
-    """Whole configurations that hold every piece exactly once."""
+def histogram(counts: dict[int, int], capacity: int) -> np.ndarray:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    used = sorted(solve(counts, capacity, rounds).items(), key=lambda x: (-sum(k * a for k, a in x[0]), -x[0][0][0], x[0]))
-    return min((rounded(used, left.copy(), share, capacity) for share in ROUNDED), key=lambda p: sum(n for _, n in p))
+    return left
+
+
+def least(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound for the number of sequences: for each k, pieces above capacity - k are alone, other ones above half of it
+    each need a sequence of their own, and those from k to half fill at best the room that these leave."""
+    n = histogram(counts, capacity)
+    size = n * np.arange(capacity + 1)
+    half, out = capacity // 2, 0
+    for k in range(half + 1):
+        middle = n[half + 1 : capacity - k + 1].sum()
+        small = size[max(k, 1) : half + 1].sum() - (middle * capacity - size[half + 1 : capacity - k + 1].sum())
+        out = max(out, int(n[capacity - k + 1 :].sum() + middle + max(0, -(-small // capacity))))
+    return out
 
 
-def rounded(used: list[tuple[Config, float]], left: np.ndarray, share: float, capacity: int) -> list[tuple[Config, int]]:
-    """Whole multiples of a share of each full configuration's use, then best fit for what is left."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
+    """Whole configurations that hold every piece exactly once."""
+    left = histogram(counts, capacity)
+    best = start = fill(left.copy(), capacity)
+    number = lambda configs: sum(n for _, n in configs)
+    out: list[tuple[Config, int]] = []
+    for _ in range(PROGRAMS):
+        if number(best) <= least(counts, capacity):
+            break
+        columns, _ = solve(left, capacity, start, rounds)
+        out += rounded(columns, left, capacity)
+        start = fill(left.copy(), capacity)
+        best = min(best, out + start, key=number)
+    return best
+
+
+def rounded(columns: Columns, left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """Whole multiples of the columns' uses, fullest first, taken off left."""
     out = []
-    for config, times in used:
-        if sum(k * a for k, a in config) < capacity:  # what leaves a gap waits for best fit
-            continue
-        whole = int(min(share * times + 0.5, *(left[x] // a for x, a in config)))
+    for config, use in sorted(zip(columns.place, columns.uses, strict=True), key=lambda x: (gap(x[0], capacity), -x[0][0][0], x[0])):
+        whole = int(min(use, *(left[x] // a for x, a in config)))
         if whole > 0:
             out.append((config, whole))
             for x, a in config:
                 left[x] -= a * whole
-    return out + fill(left, capacity)
+    return out
 
 
 def places(configs: list[tuple[Config, int]]) -> pd.DataFrame:
@@ -276,9 +323,9 @@ def places(configs: list[tuple[Config, int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "upto", "sequence", "offset"])
 
 
-def ranked(cuts: DataFrame) -> DataFrame:
+def ranked(cuts: DataFrame, slices: int = SLICES) -> DataFrame:
     """cuts with rank (from 0) within their length, a window never spanning more than a slice of a length."""
-    rows = cuts.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)))
+    rows = cuts.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)))
     counted = rows.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     starts = counted.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     nth = F.row_number().over(W.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")) - 1
@@ -292,6 +339,7 @@ def packed(cuts: DataFrame, capacity: int = CAPACITY, solver: Callable[..., list
     by_length: dict[int, tuple[np.ndarray, ...]] = {int(k): tuple(g.sort_values("first")[c].to_numpy() for c in ("first", "sequence", "offset")) for k, g in table.groupby("length")}
     shared = cuts.sparkSession.sparkContext.broadcast(by_length)  # as many rows as configurations: by capacity, not by pieces
     keep = [c for c in cuts.columns if c not in ("sequence_id", "offset")]
+    slices = max(SLICES, -(-max(counts.values(), default=0) // SLICE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +353,7 @@ def packed(cuts: DataFrame, capacity: int = CAPACITY, solver: Callable[..., list
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     shape_of = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cuts.schema if f.name in keep)
-    return ranked(cuts).select(*keep, "rank").mapInArrow(run, f"{shape_of}, sequence_id long, offset long")
+    return ranked(cuts, slices).select(*keep, "rank").mapInArrow(run, f"{shape_of}, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
