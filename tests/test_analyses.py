@@ -101,6 +101,9 @@ MANIFESTS = {
     "Cargo.toml": ('[dependencies]\na = "1"\nb = {workspace = true}\n[dev-dependencies]\nc = {git = "u"}\n', {("a", "1", "production", "registry"), ("b", None, "production", "workspace"), ("c", None, "development", "git")}),
     "go.mod": ("module m\nrequire (\n a.b/c v1.0.0\n d v2 // indirect\n)\nrequire e v3\n", {("a.b/c", "v1.0.0", "production", "registry"), ("d", "v2", "production", "registry"), ("e", "v3", "production", "registry")}),
     "composer.json": ('{"require": {"php": ">8", "a/b": "1"}, "require-dev": {"ext-x": "*", "c/d": "2"}}', {("a/b", "1", "production", "registry"), ("c/d", "2", "development", "registry")}),
+    "q/Gemfile": ("group :test do\n  platforms :ruby do\n    gem 'a' # x\n  end\n  group :production do\n    gem 'b', '1.0', '< 2'\n  end\n  gem 'c'\nend\nsource 's' do |x|\n  gem 'd', github: 'u/r'\nend\ngem 'e', groups: [:test, :default]\n", {("a", None, "development", "registry"), ("b", "1.0, < 2", "production", "registry"), ("c", None, "development", "registry"), ("d", None, "production", "git"), ("e", None, "production", "registry")}),
+    "q/build.gradle.kts": ('api(platform("g:a:1"))\nkapt("h:b:$v")\nimplementation(project(":x"))\nruntime group: \'i\', name: \'c\'\n', {("g:a", "1", "production", "registry"), ("h:b", "$v", "build", "registry"), ("i:c", None, "production", "registry")}),
+    "test/requirements-dev.txt": ("# a\n\nz @ git+https://h/z\nhttps://h/y.whl\n-e ./local\n", {("z", None, "development", "git"), ("https://h/y.whl", None, "development", "url"), ("./local", None, "development", "path")}),
     "Gemfile": ("gem 'a', '~> 1'\ngroup :test do\n  gem 'b', path: 'x'\nend\ngem 'c', group: :development\n", {("a", "~> 1", "production", "registry"), ("b", None, "development", "path"), ("c", None, "development", "registry")}),
 }
 
