@@ -1,21 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks, each with the path of tags from the root to its leaf. Text length and punctuation are summed per
-path and divided by the path's blocks; both ratios are smoothed over neighbouring paths (alike up to their last tags), fused
-as a product, and compared with a threshold set by their spread. The paths above it mark the content. The article is what
-a page marks as such (all of its outermost article and main elements, if they hold half of the content), or else the lowest
-element around the content and all headings. Every block of it is kept, and on a page without marks every block beside it
-that isn't links alone, but for boilerplate by structure (menus, headers, footers, sidebars, notices, adverts, forms,
-comments), which is left out of the ratios too.
+A page is cut into blocks, each with the path of tags (and first class names) from the root to its leaf. Text length outside
+links and punctuation are summed per path and divided by the path's blocks; both ratios are smoothed over sibling paths and
+fused as a product. What markup says of an element is a prior that this is multiplied by: small below menus, footers, forms,
+comments and the like, smaller than one below names that such parts often bear, and outside of article and main elements
+where a page has them. Paths that reach the ratios' mean or spread, whichever is less, are chosen; their blocks are the content nodes.
+
+The article is the lowest element around the content nodes and the headings. All of its blocks stay that no prior speaks
+against, such as short ones and lists of links, whose own ratios are low; elsewhere, and where a prior does, blocks stay by
+their path alone. A page is read in time and memory linear in its size, however deeply it nests.
 
 Defined results: null or empty html gives an empty text; a page with no markup is one block; unclosed and stray tags are
-taken as browsers do for paragraphs, lists and tables; repeated rows repeat; extra columns are carried along.
+taken as browsers do for paragraphs, lists and tables; repeated rows repeat; extra columns are carried along, and one that is
+named like an output gives way to it; very long pages are read whole; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,9 +38,13 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
-DROP_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video", "head", "fieldset", "search", "label", "input"}
-DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status", "note"}
-DROP_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "aside", "rail", "footer", "header", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "social", "share", "sharing", "comment", "comments", "commentlist", "disqus", "discussion", "responses", "replies", "reply", "related", "recommended", "recommendations", "pagination", "pager", "widget", "skip", "legal", "copyright", "search", "searchform", "tags", "outbrain", "taboola"}
+# What markup says against an element: its tag, its role, names of parts that aren't the article, names that some have.
+DROP_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "svg", "canvas", "audio", "video", "head", "search", "input"}
+DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status"}
+DROP_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "comment", "comments", "commentlist", "disqus", "discussion", "responses", "replies", "reply", "pagination", "pager", "searchform", "outbrain", "taboola", "notice", "banner"}
+DOUBT_WORDS = {"promo", "promoted", "promotion", "rail", "notification", "alert", "overlay", "social", "share", "sharing", "related", "recommended", "recommendations", "widget", "skip", "legal", "copyright", "search", "tags"}
+#: Factors of the fused ratio: where markup speaks against an element, where its name does so weakly, beside a page's article.
+AGAINST, DOUBTED, BESIDE = 1e-6, 0.1, 0.25
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
@@ -44,37 +52,51 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "up", "path", "drop", "holds", "depth")
+    """An element: path numbers its tag path, block is the block element that it is or stands in, drop what boilerplate() says,
+    holds 2 if it is or holds an article, 1 if the title of one. A node's number is less than those inside it."""
+
+    __slots__ = ("tag", "up", "path", "drop", "holds", "block", "number")
+
+    def __init__(self, tag: str, up: Node | None, path: int, drop: int, number: int) -> None:
+        self.tag, self.up, self.path, self.drop, self.holds, self.number = tag, up, path, drop, 0, number
+        self.block = self if up is None or tag in BLOCK or drop else up.block
+
 
-    def __init__(self, tag: str, up: Node | None, drop: int) -> None:
-        self.tag, self.up, self.drop, self.holds = tag, up, drop, 0
-        self.path = f"{up.path}/{tag}" if up else tag
-        self.depth = up.depth + 1 if up else 0
+def names_of(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
 
 
-def boilerplate(tag: str, attributes: str) -> int:
-    """2: by its tag or role; 1: by name, unless an article lies inside; -1: an article named so as a whole; 0: not."""
+def boilerplate(tag: str, found: dict[str, str]) -> int:
+    """2: by its tag or role, 1: by name, unless an article lies inside; 3: doubtful by name; -1: an article named so as a
+    whole; 0: not."""
     if tag in DROP_TAGS:
         return 2
     if tag == "header":
         return 1
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+    if not found:
         return 0
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return 2
     if found.get("role", "").strip().lower() in DROP_ROLES:
         return 2
     names = f"{found.get('class', '')} {found.get('id', '')}"
     if tag in ("html", "body", "article", "main"):
-        return -int(tag == "article" and not DROP_WORDS.isdisjoint(names.lower().split()))
-    return int(any(w in DROP_WORDS for w in WORDS.findall(CAMEL.sub("-", names).lower())))
+        whole = names.lower().split()
+        return -int(tag == "article" and not (DROP_WORDS.isdisjoint(whole) and DOUBT_WORDS.isdisjoint(whole)))
+    words = WORDS.findall(CAMEL.sub("-", names).lower())
+    return 0 if not words else 1 if not DROP_WORDS.isdisjoint(words) else 3 if not DOUBT_WORDS.isdisjoint(words) else 0
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(innermost block element, text with single spaces, code points inside links) of every block with text."""
-    root = Node("", None, 0)
-    stack, out, texts, linked, links, at, worded = [root], [], [], 0, 0, 0, False
+Block = tuple[Node, str, int]
+
+
+def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
+    """All elements, outer ones first, and (block element, text with single spaces, code points inside links) of every block
+    with text."""
+    root = Node("", None, 0, 0, 0)
+    nodes, stack, out, texts, linked, links, at, worded = [root], [root], [], [], 0, 0, 0, False
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
     block = root
 
     def flush() -> None:
@@ -98,11 +120,13 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
 
     def close_to(i: int) -> None:
         nonlocal links, block
-        if any(n.tag in BLOCK or n.drop for n in stack[i:]):
+        if any(n.block is n for n in stack[i:]):
             flush()
-        links -= sum(n.tag == "a" for n in stack[i:])
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+            links -= n.tag == "a"
         del stack[i:]
-        block = next(n for n in reversed(stack) if n.tag in BLOCK or n.drop or n is root)
+        block = stack[-1].block
 
     while m := TOKEN.search(page, at):
         say(page[at : m.start()])
@@ -115,15 +139,15 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close_to(i)
+                        break
+                    if tag not in BLOCK and stack[i].tag in BLOCK:
+                        break
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -137,14 +161,14 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag in VOID:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
                 if stack[i].tag == "p":
                     close_to(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
             ends, until = CLOSES[tag]
             last = None
             for i in range(len(stack) - 1, 0, -1):
@@ -154,115 +178,122 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                     last = i
             if last:
                 close_to(last)
-        node = Node(tag, stack[-1], boilerplate(tag, attributes))
-        if tag in BLOCK or node.drop:
+        found = names_of(attributes)
+        label = f"{tag}.{' '.join(found.get('class', '').split()[:1])}"
+        node = Node(tag, stack[-1], paths.setdefault((stack[-1].path, label), len(paths) + 1), boilerplate(tag, found), len(nodes))
+        nodes.append(node)
+        if node.block is node:
             flush()
             block = node
-        if tag in ("article", "main") or tag == "h1" and any(n.tag in ("article", "main") for n in stack):
-            for n in stack:  # 2: an article, 1: only its title
-                n.holds = max(n.holds, 1 if tag == "h1" else 2)
+        inside = opened["article"] + opened["main"]
+        node.holds = 2 if tag in ("article", "main") else int(tag == "h1" and inside > 0)
         links += tag == "a"
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
             stack.append(node)
+            opened[tag] += 1
     say(page[at:])
     flush()
+    for n in reversed(nodes[1:]):
+        n.up.holds = max(n.up.holds, n.holds)
+    return nodes, out
+
+
+def summed(nodes: list[Node], found: list[Block], values: list[float]) -> list[float]:
+    """By number of node: the values of the blocks inside it."""
+    out = [0.0] * len(nodes)
+    for (node, _, _), v in zip(found, values, strict=True):
+        out[node.number] += v
+    for n in reversed(nodes[1:]):
+        out[n.up.number] += out[n.number]
+    return out
+
+
+def inherited(nodes: list[Node], own: Callable[[Node], float]) -> list[float]:
+    """By number of node: the least factor of it and the elements around it."""
+    out = [own(nodes[0])]
+    for n in nodes[1:]:
+        out.append(min(out[n.up.number], own(n)))
     return out
 
 
-def dropped(node: Node | None, by_name: bool) -> bool:
-    while node:
-        if node.drop == 2 or node.drop == 1 and by_name and not node.holds:
-            return True
-        node = node.up
-    return False
+def priors(nodes: list[Node], found: list[Block], by_name: bool) -> list[float]:
+    """By number of node: what markup says, 1 where it says nothing."""
 
+    def own(n: Node) -> float:
+        if n.drop == 2:
+            return AGAINST
+        return {1: AGAINST, 3: DOUBTED}.get(n.drop, 1.0) if by_name and not n.holds else 1.0
 
-def ratios(found: list[tuple[Node, str, int]]) -> dict[str, float]:
+    out = inherited(nodes, own)
+    # parts named as boilerplate that are made of articles, as comments and related pages often are, unless most text is there
+    held = summed(nodes, found, [(len(text) - linked) * (out[node.number] == 1.0) for node, text, linked in found])
+    apart = inherited(nodes, lambda n: AGAINST if (n.drop == -1 or n.drop in (1, 3) and n.holds == 2) and 2 * held[n.number] < held[0] else 1.0)
+    marked = [False] * len(nodes)
+    for n in nodes[1:]:
+        marked[n.number] = marked[n.up.number] or n.tag in ("article", "main")
+    within = sum(held[n.number] for n in nodes if n.tag in ("article", "main") and not marked[n.up.number])
+    beside = BESIDE if 2 * within >= held[0] > 0 else 1.0
+    return [min(x, y) * (1.0 if m else beside) for x, y, m in zip(out, apart, marked, strict=True)]
+
+
+def ratios(found: list[Block], nodes: list[Node]) -> dict[int, float]:
     """Fused, smoothed ratio of each path: text length per block by punctuation per block."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
+    above = {}
     for node, text, linked in found:
         s = sums.setdefault(node.path, [0, 0, 0])
         s[0] += 1
         s[1] += max(0, len(text) - linked)
         s[2] += len(PUNCTUATION.findall(text))
+        above[node.path] = node.up.path if node.up else -1
     raw = {p: (length / n, marks / n) for p, (n, length, marks) in sums.items()}
-    near: dict[str, list[str]] = {}
-    for p in raw:
-        near.setdefault(p.rpartition("/")[0], []).append(p)
+    near: dict[int, tuple[int, float, float]] = {}
+    for p, (a, b) in raw.items():
+        n, total_a, total_b = near.get(above[p], (0, 0.0, 0.0))
+        near[above[p]] = (n + 1, total_a + a, total_b + b)
     out = {}
     for p, (a, b) in raw.items():
-        others = [raw[q] for q in near[p.rpartition("/")[0]] if q != p]
-        if others:  # siblings in the tree of paths: half the weight of the path itself, together
-            a = (2 * a + sum(x for x, _ in others) / len(others)) / 3
-            b = (2 * b + sum(y for _, y in others) / len(others)) / 3
+        n, total_a, total_b = near[above[p]]
+        if n > 1:  # siblings in the tree of paths: half the weight of the path itself, together
+            a, b = (2 * a + (total_a - a) / (n - 1)) / 3, (2 * b + (total_b - b) / (n - 1)) / 3
         out[p] = a * (b + 0.1)
     return out
 
 
+def chosen(found: list[Block], fused: dict[int, float], prior: list[float]) -> list[bool]:
+    """Whether each block's path, with its prior, reaches the threshold."""
+    values = [fused[node.path] * prior[node.number] for node, _, _ in found]
+    by_path = {(node.path, prior[node.number]): v for (node, _, _), v in zip(found, values, strict=True)}
+    mean = sum(by_path.values()) / len(by_path)
+    spread = (sum((v - mean) ** 2 for v in by_path.values()) / len(by_path)) ** 0.5
+    return [v >= min(mean, spread) for v in values]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines."""
     if not page:
         return ""
-    found = blocks_of(page)
-    clean = [x for x in found if not dropped(x[0], True)] or [x for x in found if not dropped(x[0], False)]
-    if not clean:
-        return ""
-    fused = ratios(clean)
-    mean = sum(fused.values()) / len(fused)
-    spread = (sum((v - mean) ** 2 for v in fused.values()) / len(fused)) ** 0.5
-    chosen = {p for p, v in fused.items() if v >= min(spread, mean)} or set(fused)
-    weight = weights(clean, chosen)
-    marked = [n for n in weight if n.tag in ("article", "main")]
-    if marked:
-        most = max(marked, key=lambda n: (n.tag == "article", weight[n]))
-        core = max((n for n in marked if 2 * weight[n] >= weight[most] and most in lineage(n)), key=lambda n: n.depth)
-        around = set(lineage(core))
-        kept = apart(clean, lambda n: n in around)
-        inside = [x for x in kept if any(n.tag in ("article", "main") for n in lineage(x[0]))]
-        part, total = (sum(len(text) - linked + 1 for node, text, linked in xs if node.path in chosen) for xs in (inside, kept))
-        if inside and 2 * part >= total:
-            return "\n".join(text for _, text, _ in inside)
-    half = sum(len(text) - linked + 1 for node, text, linked in clean if node.path in chosen) / 2
-    clean = apart(clean, lambda n: weight.get(n, 0) >= half)
-    content = [node for node, text, linked in clean if linked < len(text) and (node.path in chosen or node.tag in HEADINGS)]
-    article = common_ancestor(content or [x[0] for x in clean])
-    return "\n".join(text for node, text, linked in clean if linked < len(text) or node.tag in HEADINGS or article in lineage(node))
-
-
-def weights(found: list[tuple[Node, str, int]], chosen: set[str]) -> dict[Node, int]:
-    """What each node holds of the chosen paths' text."""
-    out: dict[Node, int] = {}
-    for node, text, linked in found:
-        if node.path in chosen:
-            for n in lineage(node):
-                out[n] = out.get(n, 0) + len(text) - linked + 1
-    return out
-
-
-def apart(found: list[tuple[Node, str, int]], stays: Callable[[Node], bool]) -> list[tuple[Node, str, int]]:
-    """Without boilerplate by name that is made of articles, as comments and related pages often are."""
-    return [x for x in found if not any((n.drop == -1 or n.drop == 1 and n.holds == 2) and not stays(n) for n in lineage(x[0]))] or found
-
-
-def lineage(node: Node | None) -> list[Node]:
-    """The node and its ancestors, from the root."""
-    out = []
-    while node:
-        out.append(node)
-        node = node.up
-    return out[::-1]
-
-
-def common_ancestor(nodes: list[Node]) -> Node:
-    """The lowest node that holds all of them, above a single paragraph or heading."""
-    low = nodes[0]
-    for node in nodes[1:]:
-        while low.depth > node.depth:
-            low = low.up
-        while node.depth > low.depth:
-            node = node.up
-        while low is not node:
-            low, node = low.up, node.up
+    nodes, found = blocks_of(page)
+    prior = priors(nodes, found, True)
+    if not any(prior[node.number] > AGAINST for node, _, _ in found):
+        prior = priors(nodes, found, False)
+        if not any(prior[node.number] > AGAINST for node, _, _ in found):
+            return ""
+    content = chosen(found, ratios(found, nodes), prior)
+    free = [prior[node.number] > DOUBTED for node, _, _ in found]
+    heads = [ok and node.tag in HEADINGS for (node, _, _), ok in zip(found, free, strict=True)]
+    around = [c or h for c, h in zip(content, heads, strict=True)]
+    article = common_ancestor(nodes, found, around if any(around) else free)
+    inside = [False] * len(nodes)
+    for n in nodes:
+        inside[n.number] = n is article or n.up is not None and inside[n.up.number]
+    return "\n".join(text for (node, text, _), c, h, ok in zip(found, content, heads, free, strict=True) if c or h or ok and inside[node.number])
+
+
+def common_ancestor(nodes: list[Node], found: list[Block], wanted: list[bool]) -> Node:
+    """The lowest node that holds all wanted blocks, above a single paragraph or heading."""
+    held = summed(nodes, found, [float(w) for w in wanted])
+    low = max((n for n in nodes if held[n.number] == held[0]), key=lambda n: n.number)
     while low.tag in HEADINGS | {"p", "li", "td", "blockquote", "pre"} and low.up and low.up.tag:
         low = low.up
     return low

@@ -485,7 +485,7 @@ LONG = "A long paragraph, with many words; it goes on, and on. " * 8
 BESIDE = {
     "title and lead": f"<body><div class=post><h1>Title</h1><div class=lead>Short lead.</div><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div></body>",
     "nested": f"<body><div><div><h1>Title</h1></div><div>By <a href=/j>Jane Doe</a></div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div></body>",
-    "sections": f"<body><div class=a><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></div><div class=b><span>A second section, shorter.</span></div></body>",
+    "sections": f"<body><div class=a><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></div><div class=b><span>{LONG[:330]}</span></div></body>",
     "articles": f"<body><div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article><article><p>Short.</p></article></div></body>",
     "list of links": f"<body><article><h1>Title</h1><p>{LONG}</p><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></article></body>",
     "references": f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><div><h2>References</h2><ul><li><a href=/1>One</a></li></ul></div></div></body>",
@@ -500,7 +500,7 @@ def test_op10_keeps_what_stands_beside_the_longest_part():
     assert {k: html.main_text(v).split("\n") for k, v in BESIDE.items()} == {
         "title and lead": ["Title", "Short lead.", long, long],
         "nested": ["Title", "By Jane Doe", long, long],
-        "sections": [long, long, long, "A second section, shorter."],
+        "sections": [long, long, long, LONG[:330].strip()],
         "articles": [long, long, long, "Short."],
         "list of links": ["Title", long, "One", "Two"],
         "references": [long, long, "References", "One"],
@@ -510,6 +510,51 @@ def test_op10_keeps_what_stands_beside_the_longest_part():
     }
 
 
+def test_op10_ratios_against_sums():
+    page = f"<div class='a b'><p>{LONG}</p><p>One, two.</p><ul><li><a href=/>x y</a> z</li></ul></div><div class=c><p>Q!</p></div>"
+    nodes, found = html.blocks_of(page)
+    label = lambda n: "" if n.up is None else f"{label(n.up)}/{n.tag}"
+    paths = [("/div.a/p", LONG.strip(), 0), ("/div.a/p", "One, two.", 0), ("/div.a/ul/li", "x y z", 3), ("/div.c/p", "Q!", 0)]
+    assert [(label(n), t, x) for n, t, x in found] == [(p.replace(".a", "").replace(".c", ""), t, x) for p, t, x in paths]
+    raw = {}
+    for p in {p for p, _, _ in paths}:
+        own = [(t, x) for q, t, x in paths if q == p]
+        raw[p] = (sum(len(t) - x for t, x in own) / len(own), sum(sum(c in ".,;:!?" for c in t) for t, _ in own) / len(own))
+    for (n, _, _), (p, _, _) in zip(found, paths, strict=True):
+        a, b = raw[p]
+        others = [v for q, v in raw.items() if q != p and q.rpartition("/")[0] == p.rpartition("/")[0]]
+        if others:
+            a, b = ((2 * v + sum(o[i] for o in others) / len(others)) / 3 for i, v in enumerate((a, b)))
+        assert html.ratios(found, nodes)[n.path] == pytest.approx(a * (b + 0.1))
+    assert html.main_text(page) == f"{LONG.strip()}\nOne, two.\nx y z"
+
+
+def test_op10_ratios_choose_where_markup_is_silent(monkeypatch):
+    plain = f"<body><div><a href=/>Home</a> <a href=/b>Blog</a></div><div>Buy it now.</div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div>All rights, 2024.</div></body>"
+    assert html.main_text(plain).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+    monkeypatch.setattr(html, "ratios", lambda found, nodes: {n.path: 1.0 for n, _, _ in found})
+    assert "Buy it now." in html.main_text(plain)
+
+
+def test_op10_keeps_formulas_objects_and_labels():
+    page = "<article><p>Formula <math>a<mi>x</mi></math> is given.</p><object>Drawn, as text.</object><label>A label.</label><fieldset>A set.</fieldset></article>"
+    assert html.main_text(page) == "Formula ax is given.\nDrawn, as text.A label.\nA set."
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "deep, text.", "<div>x, y." * 30_000, "<b>" * 50_000 + "</i>" * 50_000 + "z.", "<b>" * 50_000 + "<div>q.</div>" * 50_000, "<article>" * 30_000 + "a.", "<ul><li>" * 30_000 + "a."])
+def test_op10_reads_deep_pages_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_op10_carries_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>a, b.", "old", 3)], "page_id long, html string, text string, n_chars int")
+    assert [r.asDict() for r in html.extract(pages).collect()] == [{"page_id": 1, "n_chars": 3, "text": "a, b."}]
+
+
 def test_pipeline_against_its_stages(spark, folder, texts):
     import corpus_pipeline
 
