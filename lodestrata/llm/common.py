@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,16 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session without other machines (tests)
+    gets a new folder; on a cluster that would be one of the driver's own, so it is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediate(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables stored within, but for those whose paths are taken off the list."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A path for a table in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
@@ -48,9 +64,16 @@ def scratch(spark: SparkSession) -> str:
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(where)
+    if _made:
+        _made[-1].append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors. Once the table is
     written, the shuffle files that made it are of no use, and Spark is asked to remove them."""
@@ -71,11 +94,8 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Removes the files of stored() tables that are no longer read."""
     for df in frames:
-        path = getattr(df, "_lodestrata_path", None)
-        if path:
-            spark = df.sparkSession
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(df, "_lodestrata_path", None):
+            remove(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

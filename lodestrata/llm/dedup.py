@@ -12,7 +12,9 @@ bucket. What leaves a cell is not pairs but its members that have a candidate; t
 candidates are verified at once on full sets, and a link for each two components joined is told. A pair within a component
 needs no decision, as it can't change the components.
 
-The signature's chance to miss a pair is (1 - s^ROWS)^BANDS, 3e-6 at a similarity of 0.8, plus at most MISS.
+A star's smallest member, which may have as many partners as there are rows, is sent once to each few hundred of them.
+
+The signature's chance to miss a pair is (1 - s^ROWS)^BANDS, 3e-6 at a similarity of 0.8, plus at most MISS over all batches.
 
 Defined results: null texts and texts without words have empty sets, are linked with nothing and are kept; rows that bear
 one id count as one document; a null id is linked with nothing, has a null component and is kept; an empty table gives none.
@@ -21,7 +23,7 @@ one id count as one document; a null id is linked with nothing, has a null compo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,21 +36,39 @@ from . import common, minhash
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
-CHUNK = 1000
+CHUNK = 400
 #: Pairs compared at once.
 PORTION = 200_000
 
 
-def least_matches(n: int, threshold: float, miss: float = MISS) -> list[int]:
-    """For each multiple of BATCH up to n minima compared, the fewest equal ones with P(similarity >= threshold) >= miss
+def bounds(n: int, threshold: float, tail: float) -> list[int]:
+    """For each multiple of BATCH up to n minima compared, the fewest equal ones with P(similarity >= threshold) >= tail
     under a uniform prior: the posterior is Beta(1 + m, 1 + k - m), whose upper tail is a binomial sum."""
     out = []
     for k in range(BATCH, n + 1, BATCH):
         terms = [math.comb(k + 1, j) * threshold**j * (1 - threshold) ** (k + 1 - j) for j in range(k + 2)]
-        out.append(next(m for m in range(k + 1) if sum(terms[: m + 1]) >= miss))
+        out.append(next(m for m in range(k + 1) if sum(terms[: m + 1]) >= tail))
     return out
 
 
+def missed(least: list[int], similarity: float) -> float:
+    """The probability that a pair of this similarity falls below one of the bounds, minima being independent."""
+    step = np.array([math.comb(BATCH, j) * similarity**j * (1 - similarity) ** (BATCH - j) for j in range(BATCH + 1)])
+    alive = np.ones(1)
+    for m in least:
+        alive = np.convolve(alive, step)
+        alive[:m] = 0
+    return 1 - float(alive.sum())
+
+
+def least_matches(n: int, threshold: float, miss: float = MISS) -> list[int]:
+    """The tightest bounds, the tail being halved from miss on, that lose a pair at the threshold with at most miss in all."""
+    tail = miss
+    while missed(found := bounds(n, threshold, tail), threshold) > miss:
+        tail /= 2
+    return found
+
+
 def likely(a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and b (uint16 signatures) that no batch rules out, and their equal minima."""
     left, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
@@ -86,16 +106,39 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", F.posexplode(keys).alias("band", "key")).drop("signature")
 
 
+def beside_hubs(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Rows (a, salt, own, node, value): each a of pairs(a, b) and then its partners. An a with many partners is dealt to
+    salts of some CHUNK partners, with its own value sent once to each, so no key is hot. Pass stored pairs."""
+    salts = max(1, -(-pairs.count() // CHUNK))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    hubs = salted.select("a", "salt", F.lit(True).alias("own"), F.col("a").alias("node")).distinct()
+    rows = hubs.union(salted.select("a", "salt", F.lit(False), "b")).join(values.select("node", value), "node")
+    return rows.select("a", "salt", "own", "node", value).repartition(common.fan_out(pairs), "a", "salt").sortWithinPartitions("a", "salt", F.desc("own"), "node")
+
+
+def with_hub(batch: pa.RecordBatch, last: int) -> np.ndarray:
+    """For each row the position of its hub: the last row with own, or `last` before the first."""
+    own = batch.column("own").to_numpy(zero_copy_only=False)
+    return np.maximum.accumulate(np.where(own, np.arange(len(own)), last))
+
+
 def surviving(pairs: DataFrame, nodes: DataFrame, least: list[int]) -> DataFrame:
-    """pairs(a, b) that the Bayesian bounds leave."""
+    """Stored pairs(a, b) that the Bayesian bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((1, BANDS * ROWS), np.uint16)  # the signature of the last hub of what came before
         for batch in batches:
-            kept, _ = likely(read_signatures(batch.column("sa")), read_signatures(batch.column("sb")), least)
-            yield batch.select(["a", "b"]).take(pa.array(kept))
+            if not batch.num_rows:
+                continue
+            sign = np.concatenate([held, read_signatures(batch.column("signature"))])
+            hub = with_hub(batch, -1) + 1
+            rows = np.flatnonzero(~batch.column("own").to_numpy(zero_copy_only=False))
+            kept, _ = likely(sign[hub[rows]], sign[rows + 1], least)
+            held = sign[hub[-1]][None]
+            take = pa.array(rows[kept])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("node").take(take)], names=["a", "b"])
 
-    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return beside_hubs(pairs, nodes, "signature").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,27 +149,29 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs(a, b) with common and united, the sizes of intersection and union, and near: whether they are linked.
+    """Stored pairs(a, b) with common and united, the sizes of intersection and union, and near: whether they are linked.
 
     Only texts of documents in pairs are shuffled.
     """
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "tb", 4 << 20):
-            sets = []
-            for name in ("ta", "tb"):
-                column = batch.column(name).dictionary_encode()
-                h, starts = minhash.shingled(column.dictionary, words)
-                own = [minhash.distinct(h[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
-                sets.append([own[i] for i in column.indices.to_pylist()])
-            shared = np.array([np.isin(y, x, assume_unique=True, kind="sort").sum() if len(x) and len(y) else 0 for x, y in zip(*sets, strict=True)], np.int64)
-            united = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - shared
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared), pa.array(united)], names=["a", "b", "common", "united"])
-
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    out = both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, united long")
+        held = np.zeros(0, np.uint64)
+        for batch in common.pieces(batches, "text", 4 << 20):
+            if not batch.num_rows:
+                continue
+            h, starts = minhash.shingled(batch.column("text"), words)
+            sets = [minhash.distinct(h[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+            sets.append(held)  # at position -1
+            hub = with_hub(batch, -1)
+            rows = np.flatnonzero(~batch.column("own").to_numpy(zero_copy_only=False))
+            shared = np.array([np.isin(sets[i], sets[hub[i]], assume_unique=True, kind="sort").sum() if len(sets[i]) else 0 for i in rows], np.int64)
+            united = np.array([len(sets[i]) + len(sets[hub[i]]) for i in rows], np.int64) - shared
+            held = sets[hub[-1]]
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("node").take(take), pa.array(shared), pa.array(united)], names=["a", "b", "common", "united"])
+
+    out = beside_hubs(pairs, texts, "text").mapInArrow(run, "a long, b long, common long, united long")
     return out.withColumn("near", (100 * F.col("common") >= percent * F.col("united")) & (F.col("united") > 0))
 
 
@@ -245,35 +290,69 @@ def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.nd
     return np.concatenate([np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(x), step)])
 
 
-def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int], every: bool = False) -> DataFrame:
-    """a, b, common, united: links that join different components within cells, verified on full sets. All candidates are
-    verified; of the links of two components in a cell the first is enough, unless every one is asked for."""
+def verified_cells(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int], out: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
+    """out(rows, p, q, shared, united) for the links p, q, verified on full sets, of each portion of candidates in a cell."""
     texts = texts_of(docs, members.select(F.col("node").alias("doc_id")).distinct())
     rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").select(*[c.split()[0] for c in CELL.split(", ")], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, 500):
+            cell, node = table.column("cell").to_numpy(), table.column("node").to_numpy()
+            again = np.concatenate(([False], (cell[1:] == cell[:-1]) & (node[1:] == node[:-1])))  # rows of one id
+            table = table.filter(pa.array(~again)) if again.any() else table
             h, starts = minhash.shingled(table.column("text").combine_chunks(), words)
             sets = [minhash.distinct(h[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
             sizes = np.array([len(x) for x in sets], np.int64)
-            node, part, cell = (table.column(c).to_numpy() for c in ("node", "component", "cell"))
-            seen: set[tuple[int, int, int]] = set()
-            for p, q in open_pairs(table.drop_columns(["text"]), least):
+            table = table.drop_columns(["text"])
+            tell = out(table)
+            for p, q in open_pairs(table, least):
                 for k in range(0, len(p), PORTION):
                     x, y = p[k : k + PORTION], q[k : k + PORTION]
                     shared = shared_counts(sets, x, y)
                     united = sizes[x] + sizes[y] - shared
                     near = np.flatnonzero((100 * shared >= percent * united) & (united > 0))
-                    keep = near.tolist() if every else []
-                    for i in () if every else near:
-                        key = (int(cell[x[i]]), *sorted((int(part[x[i]]), int(part[y[i]]))))
-                        if key not in seen:
-                            seen.add(key)
-                            keep.append(i)
-                    if keep:
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x[keep]], node[y[keep]], shared[keep], united[keep])], names=["a", "b", "common", "united"])
+                    if len(near) and (batch := tell(x[near], y[near], shared[near], united[near])):
+                        yield batch
+
+    return rows.repartition(common.fan_out(docs), "cell").sortWithinPartitions("cell", "node", F.xxhash64("text")).mapInArrow(run, schema)
+
+
+def crossing_links(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int], every: bool = False) -> DataFrame:
+    """a, b, common, united: links that join different components within cells. Of the links of two components in a cell the
+    first is enough, unless every one is asked for."""
 
-    return rows.repartition(common.fan_out(docs), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long, common long, united long")
+    def out(rows: pa.Table) -> Callable[..., pa.RecordBatch | None]:
+        node, part, cell = (rows.column(c).to_numpy() for c in ("node", "component", "cell"))
+        seen: set[tuple[int, int, int]] = set()
+
+        def tell(p: np.ndarray, q: np.ndarray, shared: np.ndarray, united: np.ndarray) -> pa.RecordBatch | None:
+            keep = np.arange(len(p)) if every else []
+            for i in () if every else range(len(p)):
+                key = (int(cell[p[i]]), *sorted((int(part[p[i]]), int(part[q[i]]))))
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (node[p[keep]], node[q[keep]], shared[keep], united[keep])], names=["a", "b", "common", "united"]) if len(keep) else None
+
+        return tell
+
+    return verified_cells(members, docs, words, percent, least, out, "a long, b long, common long, united long")
+
+
+def link_counts(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int]) -> DataFrame:
+    """node, n_links: with how many others each member is linked, added up over cells; no pair leaves its cell."""
+
+    def out(rows: pa.Table) -> Callable[..., pa.RecordBatch]:
+        node = rows.column("node").to_numpy()
+
+        def tell(p: np.ndarray, q: np.ndarray, shared: np.ndarray, united: np.ndarray) -> pa.RecordBatch:
+            n = np.bincount(np.concatenate([p, q]), minlength=len(node))
+            return pa.RecordBatch.from_arrays([pa.array(node[n > 0]), pa.array(n[n > 0])], names=["node", "n_links"])
+
+        return tell
+
+    counts = verified_cells(members, docs, words, percent, least, out, "node long, n_links long")
+    return counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 @dataclass
@@ -300,7 +379,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Clas
     pairs = keyed.join(stars, ["band", "key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     # rows that share an id but no set are one document
     same = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").join(full.select("doc_id", "set_key").distinct(), "doc_id").join(by_set.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = common.stored(verified(common.stored(surviving(pairs, nodes, least)), docs, words, percent)).filter("near").drop("near")
+    found = common.stored(verified(common.stored(surviving(common.stored(pairs), nodes, least)), docs, words, percent)).filter("near").drop("near")
     labels = common.stored(components(found.select("a", "b").union(same)))
     members = common.stored(crossing(nodes, labels, least))
     more = common.stored(crossing_links(members, docs, words, percent, least))
@@ -316,17 +395,32 @@ def sets_of(full: DataFrame) -> DataFrame:
     return full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
 
 
-def every_link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a < b, common, united: all candidate pairs of classes that are near, each once. Each class is a component by itself, so
-    that all pairs of a bucket are compared and verified in its cells."""
-    full = signed(docs, words).filter("set_key is not null and doc_id is not null")
-    nodes = common.stored(sets_of(full).groupBy("node").agg(F.min("signature").alias("signature")))
+def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(classes of stored signed rows, their members of buckets with a candidate, bounds), each class a component by itself, so
+    that all pairs of a bucket are compared in its cells."""
+    by_set = common.stored(sets_of(rows.filter("set_key is not null and doc_id is not null")))
+    nodes = by_set.groupBy("node").agg(F.min("signature").alias("signature"))
     least = least_matches(BANDS * ROWS, percent / 100)
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
-    members = common.stored(crossing(nodes, alone, least, 2))
+    return by_set, common.stored(crossing(nodes, alone, least, 2)), least
+
+
+def every_link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """a < b, common, united: all pairs of classes that are near, each once, by their smallest ids."""
+    _, members, least = candidates(docs, common.stored(signed(docs, words)), percent)
     return crossing_links(members, docs, words, percent, least, every=True)
 
 
+def linked_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, class_id and n_links of every row: the smallest id with the same shingle set (null without one), and with how
+    many other sets it is linked."""
+    rows = common.stored(signed(docs, words))
+    by_set, members, least = candidates(docs, rows, percent)
+    counts = link_counts(members, docs, words, percent, least)
+    named = rows.join(by_set.select("set_key", "node"), "set_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    return named.join(counts, "node", "left").select("doc_id", F.col("node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     found = classes(docs, words, percent)

@@ -3,6 +3,7 @@
 A fingerprint is FUNCTIONS minima of universal hash functions over a text's shingles of WORDS words, 16 bits each, as
 hexadecimal digits; the share of equal minima estimates the Jaccard similarity. ``links`` joins signature bands in Spark and
 verifies the similarity of what meets on full shingle sets; it tells every link, so a group of n near texts has n^2 / 2.
+``link_numbers``, which the query of links uses, tells each document's class of equal sets and its number of links instead.
 
 The query needs each document's successor by id: ids are cut into ranges at approximate quantiles, each range gets the
 first document of the next one as a ghost row, and each range is streamed in order, so texts are shuffled once and there is
@@ -59,6 +60,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     return dedup.every_link(docs, words, percent)
 
 
+def link_numbers(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """doc_id, class_id, n_links of every row: no link is lost, and none is a row."""
+    from . import dedup
+
+    return dedup.linked_classes(docs, words, percent)
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """Ranges of ids in descending order: rows (part, ghost, key, doc_id, text); a ghost is the next range's first row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -81,7 +89,7 @@ def successors(docs: DataFrame) -> DataFrame:
     ghosts = rows.join(F.broadcast(wanted), "key").groupBy("part", "key").agg(F.max("text").alias("text"))
     shape = ["part", "ghost", "key", "doc_id", "text"]
     whole = placed.withColumn("ghost", F.lit(0)).select(shape).union(ghosts.select("part", F.lit(1), "key", F.lit(None).cast("long"), "text"))
-    return whole.repartition(n, "part").sortWithinPartitions("part", "ghost", F.desc("key"), F.desc("text"))
+    return whole.repartitionByRange(max(1, len(heads)), "part").sortWithinPartitions("part", "ghost", F.desc("key"), F.desc("text"))
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, functions: int = FUNCTIONS) -> DataFrame:
@@ -125,8 +133,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-equal documents. Edge cases: see the module."""
-    return links(common.table(spark, sf_dir, "documents"))
+    """Every document's class and number of links, by banded signatures and verified similarity. Edge cases: see the module."""
+    return link_numbers(common.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op2_fingerprints": op2_fingerprints, "op2_links": op2_links}

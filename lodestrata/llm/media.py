@@ -7,12 +7,15 @@ by the query: text bytes as 8-bit mono PCM in a RIFF/WAVE container, read back t
 Defined results: a null blob is of type ``application/x-empty`` with no embedded media, as is an empty one; a blob that
 no validator accepts at offset 0 keeps a declared type that has no signature here, and else is
 ``application/octet-stream``. Repeated rows give repeated results; extra columns are carried along unless they bear an
-output's name, in which case the output wins.
+output's name, in which case the output wins. Very long blobs are read whole: end marks are found once a blob, so many heads
+without an end cost no more than one. An empty table gives none.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,6 +44,8 @@ MAGIC: list[tuple[bytes, str]] = [
 ]
 
 WAV_HEADER, RATE = 44, 8000
+#: Bytes inflated at once.
+WINDOW = 1 << 16
 
 
 def _png(b: bytes, at: int) -> tuple[str, int] | None:
@@ -136,43 +141,124 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", n) if struct.unpack_from("<I", b, at + 30)[0] or start + rows <= n else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    if not b[at + 5 : at + 6].isdigit() or end < 0 or b.find(b"startxref", at, end) < 0:
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """Up to the last end mark before the next document's head: an update appends to what it changes."""
+    if not b[at + 5 : at + 6].isdigit():
         return None
-    return "application/pdf", end + 5 - at
+    after = bisect.bisect_right(marks.heads, at)
+    upto = marks.heads[after] if after < len(marks.heads) else len(b)
+    first, last = bisect.bisect_left(marks.eofs, at), bisect.bisect_left(marks.eofs, upto)
+    if first == last:  # a document may hold others: its own end then lies beyond their heads
+        first, last = first, first + 1
+    if last > len(marks.eofs) or first == len(marks.eofs):
+        return None
+    end = marks.eofs[last - 1]
+    cross = bisect.bisect_left(marks.crosses, at)
+    return ("application/pdf", end + 5 - at) if cross < len(marks.crosses) and marks.crosses[cross] < end else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    whole = end + 22 + note - at
-    return ("application/zip", whole) if start + size == end - at and at + whole <= len(b) else None
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """The end record whose offsets count from here, not that of an archive stored inside."""
+    whole = marks.archives.get(at)
+    return ("application/zip", whole) if whole else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+    view, pos = memoryview(b), at
     try:
         inflate = zlib.decompressobj(31)
-        rest = b[at:]
-        while rest and not inflate.eof:  # a bounded window at a time: the content is only checked
-            inflate.decompress(rest, 1 << 20)
-            rest = inflate.unconsumed_tail
+        while pos < len(b) and not inflate.eof:  # a bounded window at a time: the content is only checked
+            inflate.decompress(view[pos : pos + WINDOW], 1 << 20)
+            pos += WINDOW
+            while inflate.unconsumed_tail:
+                inflate.decompress(inflate.unconsumed_tail, 1 << 20)
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(inflate.unused_data)) if inflate.eof else None
+    return ("application/gzip", min(pos, len(b)) - at - len(inflate.unused_data)) if inflate.eof else None
+
+
+class Marks:
+    """Places of the end marks of a blob, each found once: %%EOF, startxref and heads of PDF; archives[start] is the length
+    of a zip by its last end record whose directory and offsets are consistent with that start."""
+
+    def __init__(self, b: bytes) -> None:
+        every = lambda mark: [m.start() for m in re.finditer(re.escape(mark), b)]
+        self.eofs, self.crosses, self.heads = every(b"%%EOF"), every(b"startxref"), every(b"%PDF-")
+        self.archives: dict[int, int] = {}
+        for end in every(b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                at, whole = end - size - start, size + start + 22 + note
+                if at >= 0 and at + whole <= len(b) and (b[at + start : at + start + 4] == b"PK\x01\x02" or size == 0):
+                    self.archives[at] = whole
+
+
+def _crc(polynomial: int, bits: int) -> list[int]:
+    """A table of 256 remainders, most significant bit first."""
+    out, top, mask = [], 1 << bits - 1, (1 << bits) - 1
+    for i in range(256):
+        r = i << bits - 8
+        for _ in range(8):
+            r = (r << 1 ^ polynomial) & mask if r & top else r << 1 & mask
+        out.append(r)
+    return out
+
+
+CRC8, CRC16 = _crc(0x07, 8), _crc(0x8005, 16)
+FRAME = re.compile(rb"\xff[\xf8\xf9]")
+#: Samples of a frame by their code; codes 6 and 7 are followed by the number less one.
+BLOCK_SIZES = {1: 192} | {k: 144 << k for k in range(2, 6)} | {k: 1 << k for k in range(8, 16)}
+
+
+def _frame(b: bytes, at: int) -> tuple[int, int] | None:
+    """(samples, length of the header) of a FLAC frame whose header's checksum is right."""
+    if at + 6 > len(b) or b[at + 2] >> 4 == 0 or b[at + 3] & 1 or b[at + 3] >> 4 > 10 or b[at + 4] >> 6 == 2:
+        return None
+    code, rate = b[at + 2] >> 4, b[at + 2] & 15
+    ones = 8 - (~b[at + 4] & 0xFF).bit_length()  # the number's bytes are told as in UTF-8
+    pos = at + 4 + (ones or 1)
+    extra = {6: 1, 7: 2}.get(code, 0)
+    samples = int.from_bytes(b[pos : pos + extra], "big") + 1 if extra else BLOCK_SIZES.get(code, 0)
+    pos += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if rate == 15 or not samples or pos >= len(b):
+        return None
+    r = 0
+    for x in b[at:pos]:
+        r = CRC8[r ^ x]
+    return (samples, pos + 1 - at) if r == b[pos] else None
 
 
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    """Metadata blocks are validated; frames carry no lengths, so the stream reaches to the blob's end."""
-    pos, last, first = at + 4, False, True
+    """Metadata blocks, then frames until all samples are there; a frame ends where its checksum is right. Without a number
+    of samples the last frame is the one after which none begins."""
+    pos, last, first, left, most = at + 4, False, True, 0, 0
     while not last and pos + 4 <= len(b):
         last, kind, n = bool(b[pos] & 0x80), b[pos] & 0x7F, int.from_bytes(b[pos + 1 : pos + 4], "big")
         if first and (kind, n) != (0, 34) or kind == 127:
             return None
+        if first and pos + 38 <= len(b):
+            most = int.from_bytes(b[pos + 11 : pos + 14], "big")
+            left = int.from_bytes(b[pos + 17 : pos + 22], "big") & (1 << 36) - 1
         pos, first = pos + 4 + n, False
-    return ("audio/flac", len(b) - at) if last and pos <= len(b) else None
+    if not last or pos > len(b):
+        return None
+    known, found = left, 0
+    while pos < len(b) and (not known or found < known):
+        head = _frame(b, pos) if FRAME.match(b, pos) else None
+        if not head:
+            break
+        r, end, upto = 0, 0, min(len(b), pos + most) if most else len(b)
+        for k in range(pos, upto):
+            r = (r << 8 & 0xFFFF) ^ CRC16[r >> 8 ^ b[k]]
+            if r == 0 and k + 1 - pos > head[1] + 2:
+                after = k + 1
+                if known and found + head[0] >= known or after == len(b) or FRAME.match(b, after) and _frame(b, after):
+                    end = after
+                    break
+        if not end:
+            return None
+        found, pos = found + head[0], end
+    return ("audio/flac", pos - at) if found >= known else None
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
@@ -189,7 +275,7 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], tuple[str, int] | None]] = {
+VALIDATORS: dict[str, Callable[..., tuple[str, int] | None]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "riff": _riff, "image/bmp": _bmp, "application/pdf": _pdf,
     "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg,
 }
@@ -208,10 +294,17 @@ def automaton() -> ahocorasick.Automaton:
 def sniffed(blob: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Confirmed media as (type, offset, length), in order of offset; the content of a raw container is searched too,
     that of a compressed one isn't, and a hit inside a compressed one already confirmed is passed over."""
-    out, closed = [], 0
+    out, closed, marks = [], 0, None
     for last, (n, kind) in find.iter(blob.decode("latin-1")):
         at = last + 1 - n
-        if at >= closed and (found := VALIDATORS[kind](blob, at)):
+        if at < closed:
+            continue
+        if kind in ("application/pdf", "application/zip"):
+            marks = marks or Marks(blob)
+            found = VALIDATORS[kind](blob, at, marks)
+        else:
+            found = VALIDATORS[kind](blob, at)
+        if found:
             out.append((found[0], at, found[1]))
             if found[0] not in ("audio/wav", "image/bmp"):
                 closed = at + found[1]

@@ -8,10 +8,11 @@ difference of log-likelihoods, in whole micronats, so sums are exact in any orde
 separates labelled URLs of a fold kept out of the models.
 
 Models are tables of distinct grams; a third of all rows on one host makes grams frequent, which partial sums absorb. The
-table is broadcast only where its counted rows are few, and else joined by shuffle.
+table is broadcast only where its counted rows are few; else its frequent grams are, and the rest is joined by shuffle.
 
 Defined results: without an URL, or one without ://, host and path are empty and the URL is blocked if no rule fits; with
-no accepted or no rejected URL to learn from everything else is allowed; repeated rows repeat; other columns are ignored.
+no accepted or no rejected URL to learn from everything else is allowed; repeated rows repeat; other columns are ignored;
+very long URLs are scored whole; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ ORDER = 5
 STRENGTH = 1.5
 ALPHABET = 256
 FOLDS, HELD = 5, 0
-MOST_BROADCAST = 200_000
+MOST_BROADCAST, HOT = 200_000, 1e-5
 START, STOP = "\u0002", "\u0003"
 
 
@@ -91,10 +92,19 @@ def scored(rows: DataFrame, order: int = ORDER, strength: float = STRENGTH) -> D
     learn = lambda ruling: F.sum(F.when((F.col("ruling") == ruling) & (F.col("fold") != HELD), 1).otherwise(0))
     placed = common.stored(placed.withColumn("row_id", F.monotonically_increasing_id()))
     each = placed.withColumn("gram", F.explode(characters(order)))
-    grams = common.stored(each.groupBy("gram").agg(learn("allow").alias("a"), learn("block").alias("r")))
+    grams = common.stored(each.groupBy("gram").agg(learn("allow").alias("a"), learn("block").alias("r"), F.count(F.lit(1)).alias("n")))
     model = common.stored(ratios(grams, order, strength))
-    table = F.broadcast(model) if model.count() <= MOST_BROADCAST else model
-    return each.join(table, "gram").groupBy("row_id", *rows.columns, "fold").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    return with_ratios(each, model, grams).groupBy("row_id", *rows.columns, "fold").agg((F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+
+
+def with_ratios(each: DataFrame, model: DataFrame, grams: DataFrame) -> DataFrame:
+    """each(gram, ...) with its ratio. Beyond MOST_BROADCAST grams, those with a HOT share of all occurrences, of which
+    there are at most 1 / HOT, are broadcast, and only the others, none of which is frequent, are shuffled."""
+    if model.count() <= MOST_BROADCAST:
+        return each.join(F.broadcast(model), "gram")
+    total = grams.agg(F.sum("n")).first()[0]
+    hot = common.stored(model.join(grams.filter(F.col("n") >= HOT * total).select("gram"), "gram", "left_semi"))
+    return each.join(F.broadcast(hot), "gram").unionByName(each.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(model, "gram"))
 
 
 def threshold(rows: DataFrame) -> float | None:

@@ -120,7 +120,6 @@ def test_op3_round_trip(spark, folder, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     rows = packing.op3_packing(spark, folder).collect()
     bins, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -148,7 +147,6 @@ def test_op3_same_ids_as_the_tokenizer_library():
 
     odd = ["", " ", "a  b", "a \nb", "\n x", "tail ", "x  y \u3000z", "don't  stop", None, "a\n\n b", "\n \n b", "a\x1c \x1db", "<|endoftext|> x <|endoftext|>", "x" * 300, " lead", "é à ß", "1 2 3", "it's we'll", "a \u00a0b", "\u2028 x", "tab\t y"]
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ids, starts = packing.Encoder(packing.tokenizer_path()).batch(pa.array(odd, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
 
