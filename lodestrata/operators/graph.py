@@ -186,12 +186,13 @@ def hubs(file_edges: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
     return G.cap_per_group(into, ["repo_id"], [F.desc("fan_in"), "path"], most)
 
 
-LAYOUT = "repo_id string, node string, layer int, row int, position int, x double, y double"
+LAYOUT = "repo_id string, node string, layer int, row int, position int, x double, y double, cut array<string>"
 
 
 def layered(file_edges: DataFrame, graph_nodes: DataFrame, per_row: int = 6) -> DataFrame:
     """graph_nodes(repo_id, node) in layers by longest path, cycles cut at back edges of a depth-first walk in order of names,
-    rows ordered by the mean place of a node's predecessors and wrapped at per_row. A drawn graph is small; one meets in a task."""
+    rows ordered by the mean place of a node's predecessors and wrapped at per_row; cut lists the ends of a node's back edges. A
+    drawn graph is small; one meets in a task."""
 
     def run(key: tuple, names: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         order = sorted(names["node"])
@@ -218,24 +219,35 @@ def layered(file_edges: DataFrame, graph_nodes: DataFrame, per_row: int = 6) ->
                 else:
                     state[node] = 2
                     walk.pop()
-        before = {n: [s for s in order if n in after[s] and (s, n) not in back] for n in order}
-        layer: dict[str, int] = {}
-
-        def level(n: str) -> int:
-            if n not in layer:
-                layer[n] = 1 + max((level(p) for p in before[n]), default=-1)
-            return layer[n]
+        before: dict[str, list[str]] = {n: [] for n in order}
+        cut: dict[str, list[str]] = {n: [] for n in order}
+        for s in order:
+            for d in dict.fromkeys(after[s]):
+                if (s, d) in back:
+                    cut[s].append(d)
+                else:
+                    before[d].append(s)
+        waits = {n: len(before[n]) for n in order}
+        layer = {n: 0 for n in order}
+        ready = [n for n in order if not waits[n]]
+        for n in ready:  # grows as nodes become ready
+            for d in dict.fromkeys(after[n]):
+                if (n, d) not in back:
+                    layer[d] = max(layer[d], layer[n] + 1)
+                    waits[d] -= 1
+                    if not waits[d]:
+                        ready.append(d)
 
         rows, y, place = [], 0.0, {}
         by_layer: dict[int, list[str]] = {}
         for n in order:
-            by_layer.setdefault(level(n), []).append(n)
+            by_layer.setdefault(layer[n], []).append(n)
         for i in sorted(by_layer):
             mean = lambda n: sum(place[p] for p in before[n]) / len(before[n]) if before[n] else 0.0
             row = sorted(by_layer[i], key=lambda n: (mean(n), n))
             for k, n in enumerate(row):
                 place[n] = float(k % per_row)
-                rows.append((key[0], n, i, k // per_row, k % per_row, float(k % per_row), y + k // per_row))
+                rows.append((key[0], n, i, k // per_row, k % per_row, float(k % per_row), y + k // per_row, cut[n]))
             y += -(-len(row) // per_row)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
 

@@ -173,3 +173,9 @@ def long_files(tree: DataFrame, contents: DataFrame) -> DataFrame:
     lines = F.coalesce("exact", F.expr(f"size div {C.BYTES_PER_LINE}"))
     long = rows.select("repo_id", "path", lines.alias("lines"), F.col("exact").isNull().alias("estimated")).filter(F.col("lines") > C.LONG_FILE)
     return G.cap_per_group(long, ["repo_id"], [F.desc("lines"), "path"], C.MAX_LONG)
+
+
+def largest_source_files(tree: DataFrame, most: int = 15) -> DataFrame:
+    """repo_id, path, size of each repository's largest source files."""
+    files = analyzed_files(classified(tree)).filter("category = 'source'").select("repo_id", "path", "size")
+    return G.cap_per_group(files, ["repo_id"], [F.desc("size"), "path"], most)

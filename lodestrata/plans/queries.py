@@ -33,17 +33,6 @@ def n(name: str = "n"):  # noqa: ANN201
     return F.count(F.lit(1)).alias(name)
 
 
-@query("SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, sum(n_chars) * 100.0::DOUBLE / sum(sum(n_chars)) OVER () AS percent FROM documents GROUP BY lang")
-def a06_language_share(spark, sf):
-    docs = table(spark, sf, "documents").groupBy("lang").agg(n("files"), F.sum("n_chars").alias("bytes"))
-    return G.share_of_total(docs, "bytes")
-
-
-@query("SELECT event_type, count(*) AS files, CAST(sum(value) AS BIGINT) AS total FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS value FROM events) GROUP BY 1")
-def a02_category_stats(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(n("files"), F.sum(F.floor("value")).alias("total"))
-
-
 @query(r"""SELECT array_to_string(parts[1:i], '/') AS dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
 FROM (SELECT parts, size, unnest(range(1, len(parts))) AS i FROM (SELECT string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/') AS parts, length(html) AS size FROM pages)) GROUP BY 1""")
 def a03_ancestor_rollup(spark, sf):
@@ -51,34 +40,12 @@ def a03_ancestor_rollup(spark, sf):
     return G.ancestor_rollup(pages, "path", "size")
 
 
-@query(r"""SELECT coalesce(nullif(lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]+(\.[^./]+)$', 1)), ''), '(none)') AS extension, count(*) AS files FROM pages GROUP BY 1""")
-def a07_extension_hist(spark, sf):
-    path = F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)
-    ext = F.lower(F.regexp_extract(path, r"[^/]+(\.[^./]+)$", 1))
-    return table(spark, sf, "pages").groupBy(F.when(ext == "", "(none)").otherwise(ext).alias("extension")).agg(n("files"))
-
-
-@query("SELECT count(*) AS total, count(DISTINCT (c_mktsegment, c_nationkey)) AS unique_pairs FROM customer")
-def a09_distinct_pairs(spark, sf):
-    pairs = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(n())
-    return pairs.agg(F.sum("n").alias("total"), n("unique_pairs"))
-
-
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_values, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS versions FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 def a11_version_conflicts(spark, sf):
     items = table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("version"))
     return G.conflicts(items, ["l_partkey"], "version").withColumn("versions", F.array_join("versions", ","))
 
 
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-
-
-@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{e}') AS n_{e}" for e in EVENT_TYPES) + " FROM events GROUP BY user_id")
-def a13_marker_pivot(spark, sf):
-    wide = table(spark, sf, "events").groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.count(F.lit(1)))
-    return wide.select("user_id", *[F.coalesce(F.col(e), F.lit(0)).alias(f"n_{e}") for e in EVENT_TYPES])
-
-
 def _nation_edges(spark, sf):
     """Supplier's nation to customer's, a row an order line. Small sides first; Spark broadcasts them by their sizes."""
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
@@ -96,17 +63,6 @@ def a22_module_edges(spark, sf):
     return G.contracted(_nation_edges(spark, sf))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS fan_in FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def a23_hubs(spark, sf):
-    edges = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return edges.groupBy("l_partkey").agg(n("fan_in")).orderBy(F.desc("fan_in"), "l_partkey").limit(10)
-
-
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
-def t13_largest(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(15)
-
-
 @query("SELECT user_id, event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INTEGER) AS nth FROM events QUALIFY nth <= 5")
 def w01_cap_per_group(spark, sf):
     return G.cap_per_group(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"], 5, "nth").drop("ts")
@@ -126,22 +82,6 @@ def w06_islands(spark, sf):
     return G.islands(events, F.col("event_type") == "error", ["ts", "event_id"], ["day"])
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def j03_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS labelled FROM documents d")
-def j04_semi_flag(spark, sf):
-    flags = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("labelled")).distinct()
-    return table(spark, sf, "documents").select("doc_id").join(flags, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
-
-
-@query("SELECT doc_id, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def j01_left_outer(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
-
-
 PREFIXES = ("/en", "/fr", "/de", "/es", "/en/1", "/en/2")
 
 
@@ -153,68 +93,18 @@ def j13_longest_prefix(spark, sf):
     return G.longest_prefix(pages, "path", prefixes, "prefix").select("page_id", "prefix")
 
 
-@query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '/(en|fr)/[0-9]+') AND NOT regexp_matches(url, '\.html|utm_source')")
-def j16_glob_include_exclude(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    return pages.filter(F.col("url").rlike("/(en|fr)/[0-9]+") & ~F.col("url").rlike(r"\.html|utm_source")).select("page_id")
-
-
 @query("""SELECT event_id, round(-sum(p * log2(p)), 6) AS entropy FROM (
 SELECT event_id, c, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY event_id) AS p FROM (SELECT event_id, unnest(string_split(props, '')) AS c FROM events) WHERE c <> '' GROUP BY 1, 2) GROUP BY 1""")
 def f12_entropy(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(T.entropy(F.col("props")), 6).alias("entropy"))
 
 
-SAFE_HOSTS = r"^(localhost|127\.0\.0\.1|.*\.local|.*\.test|schemas\..*|www\.w3\.org)$"
-
-
-@query(rf"SELECT page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host FROM pages WHERE starts_with(url, 'http://') AND NOT regexp_matches(regexp_extract(url, '^https?://([^/?#:]*)', 1), '{SAFE_HOSTS}')")
-def f18_insecure_http(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", "url", T.host(F.col("url")).alias("host"))
-    return found.filter(F.col("url").startswith("http://") & ~F.col("host").rlike(SAFE_HOSTS)).select("page_id", "host")
-
-
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9][\p{L}\p{N}_''-]*')) AS BIGINT) AS words, len(regexp_extract_all(text, '[A-Za-z0-9][\p{L}\p{N}_''-]*')) / 200.0::DOUBLE AS minutes FROM documents")
 def f21_word_count(spark, sf):
     words = T.word_count(F.col("text")).cast("long")
     return table(spark, sf, "documents").select("doc_id", words.alias("words"), (words / F.lit(200.0)).alias("minutes"))
 
 
-LINK = r"""<a\s[^>]*href="([^"]*)\""""
-
-
-@query(rf"""SELECT page_id, CAST(len(links) AS BIGINT) AS links, CAST(len(list_filter(links, lambda x: starts_with(x, '/'))) AS BIGINT) AS internal, CAST(len(list_filter(links, lambda x: regexp_matches(x, '^https?://'))) AS BIGINT) AS absolute
-FROM (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS links FROM pages)""")
-def f22_links(spark, sf):
-    links = table(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit(LINK), 1).alias("links"))
-    return links.select("page_id", F.size("links").cast("long").alias("links"), F.size(F.filter("links", lambda x: x.startswith("/"))).cast("long").alias("internal"), F.size(F.filter("links", lambda x: x.rlike("^https?://"))).cast("long").alias("absolute"))
-
-
-@query(r"""SELECT doc_id, min(i) AS line_no, count(*) AS n_lines FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(line, '(?i)licen[sc]e') GROUP BY 1""")
-def f05_license_lines(spark, sf):
-    found = table(spark, sf, "documents").filter(F.col("text").rlike("(?i)licen[sc]e")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
-    return found.filter(F.col("line").rlike("(?i)licen[sc]e")).groupBy("doc_id").agg((F.min("i") + 1).cast("long").alias("line_no"), n("n_lines"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN d <= 30 THEN 1.0::DOUBLE WHEN d <= 90 THEN 0.8::DOUBLE WHEN d <= 365 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS credit
-FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-15') AS d FROM orders)""")
-def f27_recency_credit(spark, sf):
-    days = F.datediff(F.lit("2001-08-15").cast("date"), F.to_date("o_orderdate"))
-    credit = F.when(days <= 30, 1.0).when(days <= 90, 0.8).when(days <= 365, 0.4).otherwise(0.0)
-    return table(spark, sf, "orders").select("o_orderkey", credit.alias("credit"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 'none' WHEN p_type LIKE 'PROMO%' THEN 'external' WHEN p_size % 7 = 0 THEN 'exact' WHEN p_name LIKE '%*%' THEN 'none' ELSE 'range' END AS kind FROM part")
-def p13_decision_list(spark, sf):
-    kind = F.when(F.col("p_size") == 0, "none").when(F.col("p_type").startswith("PROMO"), "external").when(F.col("p_size") % 7 == 0, "exact").when(F.col("p_name").contains("*"), "none").otherwise("range")
-    return table(spark, sf, "part").select("p_partkey", kind.alias("kind"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'strong' WHEN p_retailprice >= 1200 THEN 'moderate' ELSE 'weak' END AS band FROM part")
-def p27_band(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_retailprice") >= 1500, "strong").when(F.col("p_retailprice") >= 1200, "moderate").otherwise("weak").alias("band"))
-
-
 @query("""WITH c AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_discount <= 0.05) AS d, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY 1),
 s AS (SELECT l_suppkey, 100.0::DOUBLE * (30 * (1 - r * 1.0::DOUBLE / n) + 20 * (d * 1.0::DOUBLE / n)) / 50 AS quality, 100.0::DOUBLE * (40 * least(1.0::DOUBLE, p / 100.0::DOUBLE)) / 40 AS breadth FROM c)
 SELECT l_suppkey, round(quality, 6) AS quality, round(breadth, 6) AS breadth, round((quality + breadth) / 2, 6) AS overall FROM s""")
@@ -229,21 +119,6 @@ def h_weighted_score(spark, sf):
     return wide.select("l_suppkey", F.round("quality", 6).alias("quality"), F.round("breadth", 6).alias("breadth"), F.round((F.col("quality") + F.col("breadth")) / 2, 6).alias("overall"))
 
 
-@query("SELECT s_nationkey AS nation FROM supplier UNION ALL SELECT c_nationkey FROM customer")
-def u06_union_all(spark, sf):
-    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")).unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")))
-
-
-@query("SELECT s_nationkey AS nation FROM supplier UNION SELECT c_nationkey FROM customer")
-def u01_union_distinct(spark, sf):
-    return u06_union_all(spark, sf).distinct()
-
-
-@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
-def u04_except(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").exceptAll(table(spark, sf, "labels").select("doc_id")).distinct()
-
-
 @query(f"""WITH e AS (SELECT src, dst, count(*) AS weight FROM ({EDGES_SQL}) WHERE src <> dst GROUP BY 1, 2),
 t AS (SELECT node FROM (SELECT src AS node, sum(weight) AS w FROM e GROUP BY 1 ORDER BY w DESC, node LIMIT 10))
 SELECT src, dst, weight FROM e WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)""")
@@ -282,34 +157,6 @@ def w11_sliding_limit(spark, sf):
     return limiter.limited(events, 3, 43200.0).select(F.col("seq").alias("event_id"), "allowed", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
 
 
-@query()
-def r05_ttl_lru(spark, sf):
-    """Each user's events as requests of a cache of three entries that live for a day."""
-    from ..streaming import limiter
-
-    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("shard"), F.col("event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), F.col("event_id").alias("seq"))
-    return limiter.cache_replay(events, 3, 86_400.0)
-
-
-@query()
-def r06_single_flight(spark, sf):
-    """Events of a type as requests of an hour; those that start while one runs join it."""
-    from ..streaming import limiter
-
-    day = F.to_date("ts").cast("string")
-    events = table(spark, sf, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), day).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), (F.unix_micros(F.col("ts").cast("timestamp")) + 3_600_000_000).alias("end"), "event_id")
-    return limiter.coalesced(events)
-
-
-@query("""SELECT doc_id, CAST(len(ls) AS BIGINT) AS total, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(len(list_filter(ls, lambda x: trim(x) = '')) AS BIGINT) AS blank
-FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
-def f10_line_counts(spark, sf):
-    """The line counter over documents, as prose without comments."""
-    from ..operators.languages import count_lines
-
-    return table(spark, sf, "documents").select("doc_id", count_lines(F.col("text"), F.lit("Markdown")).alias("n")).select("doc_id", "n.*")
-
-
 PATH = r"regexp_extract(url, '^https?://[^/?#]*/([^?#]*)', 1)"
 
 
@@ -338,31 +185,3 @@ def w04_first_match(spark, sf):
 def f11_redact(spark, sf):
     k = F.concat(F.lit("k"), F.get_json_object("props", "$.n"))
     return table(spark, sf, "events").select("event_id", k.alias("said"), T.redact(F.col("props")).alias("redacted"))
-
-
-SOURCES = {
-    "plain.py": "def f():\n    return 1\n",
-    "branchy.py": "def g(a, b):\n    if a and b or a:\n        return [x for x in a if x]\n    for i in b:\n        while i:\n            try:\n                i -= 1\n            except ValueError:\n                pass\n",
-    "nested.py": "class C:\n    def m(self):\n        def inner():\n            if self: pass\n        return inner\n",
-    "broken.py": "def (",
-}
-
-
-@query()
-def v13_mccabe(spark, sf):
-    """Complexity of functions in literal sources."""
-    from ..operators.quality import python_facts
-
-    contents = spark.createDataFrame([("r", p, t) for p, t in SOURCES.items()], "repo_id string, path string, text string")
-    return python_facts(contents).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.line", "f.complexity", "f.length")
-
-
-@query()
-def g10_layering(spark, sf):
-    """Layers of all edges between nations, whose number bounds the graph."""
-    from ..operators.graph import layered
-
-    edges = a22_module_edges(spark, sf)
-    named = edges.select(F.lit("r").alias("repo_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    nodes = named.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return layered(named, nodes)

@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 
 
 def plain():
-    from lodestrata.plans import queries
+    from lodestrata.plans import analyses, queries  # noqa: F401  analyses registers its queries
 
     return queries.ORACLE
 
@@ -51,10 +51,12 @@ def test_cap_is_applied_before_the_shuffle(spark):
     assert "WindowGroupLimit" in queries.QUERIES["w01_cap_per_group"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_layering_takes_every_edge(spark):
-    from lodestrata.plans import queries
+def test_layering_of_a_long_chain(spark):
+    """Named against its direction, and deeper than a recursion goes."""
+    from lodestrata.operators.graph import layered
 
-    edges = [(r.src, r.dst) for r in queries.a22_module_edges(spark, SF).collect()]
-    layer = {r.node: r.layer for r in queries.g10_layering(spark, SF).collect()}
-    assert len(edges) > 30 and layer.keys() == {str(n) for e in edges for n in e}
-    assert all(layer[str(s)] != layer[str(d)] for s, d in edges if s != d)
+    names = [f"n{9999 - i}" for i in range(3000)]
+    edges = spark.createDataFrame([("r", a, b) for a, b in zip(names, names[1:])] + [("r", names[-1], names[0])], "repo_id string, src string, dst string")
+    nodes = spark.createDataFrame([("r", n) for n in names], "repo_id string, node string")
+    got = {r.node: (r.layer, r.cut) for r in layered(edges, nodes).collect()}
+    assert max(layer for layer, _ in got.values()) == 2999 and sum(len(cut) for _, cut in got.values()) == 1
