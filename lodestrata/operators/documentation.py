@@ -47,6 +47,12 @@ MD_LINK = r'(!?)\[([^\[\]]*)\]\(\s*<?([^)\s>]+)>?(?:\s+"[^"]*")?\s*\)'
 HTML_IMAGE = r"""(?i)<img\s[^>]*src=["']([^"']+)["']"""
 HTML_LINK = r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""
 RST_UNDERLINE = r"""^([=\-~^"'`#*+])\1{2,}\s*$"""
+#: Files at the root or in the documentation's directory that tell its generator, in order of priority.
+SITE_GENERATORS = {
+    "mkdocs.yml": "MkDocs", "mkdocs.yaml": "MkDocs", "docusaurus.config.js": "Docusaurus", "docusaurus.config.ts": "Docusaurus", "book.toml": "mdBook",
+    ".readthedocs.yaml": "Read the Docs", ".readthedocs.yml": "Read the Docs", "antora.yml": "Antora", "_config.yml": "Jekyll",
+    ".vitepress/config.ts": "VitePress", ".vitepress/config.js": "VitePress", "astro.config.mjs": "Astro/Starlight", "conf.py": "Sphinx",
+}
 MAX_HEADINGS, MAX_BROKEN = 40, 30
 
 
@@ -152,6 +158,18 @@ def directory_info(tree: DataFrame, candidates: tuple[str, ...] = DOC_DIRS) -> D
     return chosen.join(inside, ["repo_id", "path"], "left").fillna(0, ["files", "doc_files"])
 
 
+def site_generators(tree: DataFrame) -> DataFrame:
+    """repo_id, path (the documentation's directory) and generator of repositories whose documentation has one."""
+    info = directory_info(tree).select("repo_id", F.col("path").alias("folder"))
+    files = known_paths(tree).filter("kind <> 'dir'").join(info, "repo_id")
+    inside = F.when(F.startswith(F.col("path"), F.concat("folder", F.lit("/"))), F.substring(F.col("path"), F.length("folder") + 2, F.length("path")))
+    rank = F.array_position(F.array(*map(F.lit, SITE_GENERATORS)), F.coalesce(inside, F.col("path")))
+    # a file at the root may lie in a folder of the same name as well
+    told = files.withColumn("rank", F.when(rank > 0, rank).otherwise(F.array_position(F.array(*map(F.lit, SITE_GENERATORS)), F.col("path")))).filter("rank > 0")
+    first = G.cap_per_group(told, ["repo_id"], ["rank"], 1)
+    return first.select("repo_id", F.col("folder").alias("path"), F.element_at(F.array(*map(F.lit, SITE_GENERATORS.values())), F.col("rank").cast("int")).alias("generator"))
+
+
 def comment_density(contents: DataFrame) -> DataFrame:
     """Comment lines over comment and code lines of source files; null without either."""
     path = F.col("path")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -27,6 +28,7 @@ JS_IMPORTS = (
     r"""\brequire\(\s*['"]([^'"\n]{1,300})['"]\s*\)""",
     r"""\bimport\(\s*['"]([^'"\n]{1,300})['"]\s*\)""",
 )
+SCRIPTS = ("JavaScript", "TypeScript", "Vue", "Svelte")
 GO_SINGLE = r"""(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)\""""
 GO_BLOCK = r"(?ms)^import\s*\((.*?)^\)"
 GO_LINE = r"""(?m)^\s*(?:[\w.]+\s+)?"([^"]+)\""""
@@ -45,7 +47,7 @@ def imports(contents: DataFrame) -> DataFrame:
     text = F.col("text")
     all_of = lambda p, g=1: F.regexp_extract_all(text, F.lit(p), F.lit(g))
     go = F.concat(all_of(GO_SINGLE), F.flatten(F.transform(all_of(GO_BLOCK), lambda b: F.regexp_extract_all(b, F.lit(GO_LINE), F.lit(1)))))
-    specs = F.when(lang.isin("JavaScript", "TypeScript", "Vue", "Svelte"), F.flatten(F.array(*[all_of(p) for p in JS_IMPORTS]))).when(lang == "Go", go).when(lang == "Rust", all_of(RUST_USE)).when(lang.isin("Java", "Kotlin", "Scala"), all_of(JVM_IMPORT))
+    specs = F.when(lang.isin(*SCRIPTS), F.flatten(F.array(*[all_of(p) for p in JS_IMPORTS]))).when(lang == "Go", go).when(lang == "Rust", all_of(RUST_USE)).when(lang.isin("Java", "Kotlin", "Scala"), all_of(JVM_IMPORT))
     others = contents.select("repo_id", "path", lang.alias("language"), F.explode(specs).alias("spec")).withColumn("level", F.lit(0))
     return python.unionByName(others)
 
@@ -74,6 +76,12 @@ def up(path: Column, level: Column) -> Column:
     return F.array_join(F.slice(dirs, F.lit(1), F.greatest(F.lit(0), F.size(dirs) - level + 1)), "/")
 
 
+def script_places(path: Column) -> Column:
+    """Files that a script's import of path may mean, in order."""
+    short = F.regexp_replace(path, r"\.(js|jsx|mjs|cjs)$", "")
+    return F.concat(F.array(path), F.array(*[F.concat(short, F.lit(e)) for e in JS_EXTENSIONS]), F.array(*[F.concat(path, F.lit("/index" + e)) for e in JS_EXTENSIONS]))
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """found with priority and target, for imports whose place is told by the importer's or the root's."""
     spec, path = F.col("spec"), F.col("path")
@@ -82,13 +90,11 @@ def candidates(found: DataFrame) -> DataFrame:
     places = F.concat(F.transform(prefixes(parts), lambda p: joined(base, F.array_join(p, "/"))), F.array(base))
     relative = F.flatten(F.transform(places, lambda p: F.array(F.concat(p, F.lit(".py")), joined(p, F.lit("__init__.py")), p)))
     bare = F.element_at(F.split(spec, r"\?", 2), 1)
-    js = joined(P.parent(path), bare)
-    short = F.regexp_replace(js, r"\.(js|jsx|mjs|cjs)$", "")
-    script = F.concat(F.array(js), F.array(*[F.concat(short, F.lit(e)) for e in JS_EXTENSIONS]), F.array(*[F.concat(js, F.lit("/index" + e)) for e in JS_EXTENSIONS]))
+    script = script_places(joined(P.parent(path), bare))
     dirs = P.directories(path)
     source = F.array_join(F.slice(dirs, F.lit(1), F.size(dirs) - F.array_position(F.reverse(dirs), "src") + 1), "/")
     rust = F.flatten(F.transform(prefixes(F.split(spec, "::")), lambda p: F.array(F.concat(joined(source, F.array_join(p, "/")), F.lit(".rs")), joined(source, F.array_join(p, "/"), F.lit("mod.rs")))))
-    every = F.when((F.col("language") == "Python") & (F.col("level") > 0), relative).when(F.col("language").isin("JavaScript", "TypeScript", "Vue", "Svelte") & bare.startswith("."), script).when((F.col("language") == "Rust") & F.array_contains(dirs, "src"), rust)
+    every = F.when((F.col("language") == "Python") & (F.col("level") > 0), relative).when(F.col("language").isin(*SCRIPTS) & bare.startswith("."), script).when((F.col("language") == "Rust") & F.array_contains(dirs, "src"), rust)
     return found.select("*", F.posexplode(every).alias("priority", "target"))
 
 
@@ -137,9 +143,41 @@ def go(found: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
     return own.join(out, "id", "left").select("id", F.when(F.col("ours").isNull(), "external").when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("kind"), "target")
 
 
+def plain_json(text: Column) -> Column:
+    """JSON without comments (of whole lines or blocks) and trailing commas."""
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*//[^\n]*$|(?s:/\*.*?\*/)", "")
+    return F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+
+
+def script_aliases(contents: DataFrame) -> DataFrame:
+    """repo_id, prefix, ord, place: path aliases that end with a star, of tsconfig and jsconfig files; places are tried in
+    order of ord, the first file's first."""
+    options = F.from_json(plain_json(F.col("text")), "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>")
+    files = contents.filter(P.name(F.col("path")).isin("tsconfig.json", "jsconfig.json")).select("repo_id", "path", options["compilerOptions"].alias("o"))
+    each = files.select("repo_id", "path", joined(P.parent(F.col("path")), F.coalesce("o.baseUrl", F.lit("."))).alias("base"), F.explode("o.paths").alias("alias", "targets")).filter(F.col("alias").endswith("*") & (F.length("alias") > 1))
+    places = each.select("repo_id", "path", "alias", "base", F.posexplode("targets").alias("n", "target"))
+    first = F.row_number().over(W.partitionBy("repo_id").orderBy("path", "alias", "n"))
+    return places.select("repo_id", F.regexp_replace("alias", r"\*$", "").alias("prefix"), first.alias("ord"), joined(F.col("base"), F.regexp_replace("target", r"\*+$", "")).alias("place"))
+
+
+def aliased(found: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
+    """Outcomes of script imports by a path alias: a file at the first place that has one, else unresolved."""
+    own = found.filter(F.col("language").isin(*SCRIPTS) & ~F.col("spec").startswith(".")).select("id", "repo_id", F.element_at(F.split("spec", r"\?", 2), 1).alias("bare"))
+    aliases = script_aliases(contents)
+    # a prefix is joined by equality: all beginnings of an import are tried
+    starts = own.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare"))), lambda i: F.left(F.col("bare"), i))))
+    by = starts.join(aliases, ["repo_id", "prefix"])
+    least = by.groupBy("id").agg(F.min_by("prefix", "ord").alias("prefix"))
+    path = joined(F.col("place"), F.substring(F.col("bare"), F.length("prefix") + 1, F.length("bare")))
+    tried = by.join(least, ["id", "prefix"]).select("id", "repo_id", "ord", F.posexplode(script_places(path)).alias("nth", "target"))
+    files = known.filter("is_file").select("repo_id", "target")
+    hit = tried.join(files, ["repo_id", "target"]).groupBy("id").agg(F.min_by("target", F.struct("ord", "nth")).alias("target"))
+    return least.select("id").join(hit, "id", "left").select("id", F.when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("kind"), "target")
+
+
 def js_packages(found: DataFrame, contents: DataFrame) -> DataFrame:
     """Outcomes of imports of workspace packages by name: nested packages only; others are external."""
-    own = found.filter(F.col("language").isin("JavaScript", "TypeScript", "Vue", "Svelte") & ~F.col("spec").startswith("."))
+    own = found.filter(F.col("language").isin(*SCRIPTS) & ~F.col("spec").startswith("."))
     package = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/]+)", 1)
     named = contents.filter((P.name(F.col("path")) == "package.json") & F.col("path").contains("/")).select("repo_id", F.get_json_object("text", "$.name").alias("package"), P.parent(F.col("path")).alias("target")).filter("package is not null").groupBy("repo_id", "package").agg(F.max("target").alias("target"))
     return own.withColumn("package", package).join(named, ["repo_id", "package"], "left").select("id", F.when(F.col("target").isNull(), "external").otherwise("internal").alias("kind"), "target")
@@ -155,8 +193,9 @@ def resolved(tree: DataFrame, contents: DataFrame) -> DataFrame:
     valid = by_place.filter(F.col("is_file") | (F.col("language") == "Python"))
     first = valid.groupBy("id").agg(F.min_by("target", "priority").alias("target"))
     placed = candidates(once).select("id").distinct().join(first, "id", "left").select("id", F.when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("kind"), "target")
+    by_alias = aliased(once, contents, known)
     outside = once.filter((F.col("language") == "Rust") & ~F.array_contains(P.directories(F.col("path")), "src")).select("id", F.lit("unresolved").alias("kind"), F.lit(None).cast("string").alias("target"))
-    every = placed.unionByName(absolute_python(once, known)).unionByName(jvm(once, known)).unionByName(go(once, contents, known)).unionByName(js_packages(once, contents)).unionByName(outside)
+    every = placed.unionByName(absolute_python(once, known)).unionByName(jvm(once, known)).unionByName(go(once, contents, known)).unionByName(by_alias).unionByName(js_packages(once, contents).join(by_alias.select("id"), "id", "left_anti")).unionByName(outside)
     return found.join(every, "id").select("repo_id", "path", "language", "spec", "kind", "target")
 
 

@@ -58,6 +58,13 @@ def metadata(rows: DataFrame, body: str = "body") -> DataFrame:
     return j.select(F.lower("full_name").alias("repo_id"), "full_name", F.col("owner.login").alias("owner"), "html_url", "description", "homepage", "default_branch", F.coalesce("stargazers_count", F.lit(0)).alias("stars"), F.coalesce("forks_count", F.lit(0)).alias("forks"), F.coalesce("subscribers_count", F.lit(0)).alias("watchers"), F.coalesce("open_issues_count", F.lit(0)).alias("open_issues"), F.col("language").alias("primary_language"), spdx.alias("license_spdx"), F.when(spdx.isNotNull(), F.col("license.name")).alias("license_name"), F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.col("size").alias("size_kb"), *[F.try_to_timestamp(c).alias(c) for c in ("created_at", "updated_at", "pushed_at")], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("archived", "disabled", "is_template")], F.coalesce("fork", F.lit(False)).alias("is_fork"), F.col("owner.type").alias("owner_type"))
 
 
+def head_commit(rows: DataFrame, body: str = "body") -> DataFrame:
+    """rows(repo_id, body): sha and committed_at of the newest commit in the host's JSON. A date that can't be read is null; an
+    answer without a proper sha is left out."""
+    j = rows.select("repo_id", F.from_json(F.col(body), "sha string, commit struct<committer: struct<date: string>>").alias("j"))
+    return j.filter(F.col("j.sha").rlike("^[A-Za-z0-9]+$")).select("repo_id", F.col("j.sha").alias("sha"), F.try_to_timestamp("j.commit.committer.date").alias("committed_at"))
+
+
 def raw_tree(rows: DataFrame, body: str = "body") -> DataFrame:
     """rows(repo_id, body): entries of a recursive tree listing in JSON, in order; for structure.sanitized."""
     entry = "tree array<struct<path: string, type: string, mode: string, size: long>>, truncated boolean, sha string"
@@ -104,6 +111,19 @@ def decoded(files: DataFrame, content: str = "content", max_bytes: int = 400_000
     return files.filter((F.octet_length(data) <= max_bytes) & ~binary).withColumn("text", F.make_valid_utf8(data.cast("string"))).drop(content)
 
 
+#: What can become of a selected file.
+OUTCOMES = ("fetched", "skipped_too_large", "skipped_binary", "failed", "rate_limited", "budget_exhausted")
+
+
+def fetch_stats(attempts: DataFrame) -> DataFrame:
+    """attempts(repo_id, path, outcome, bytes), a row a selected file: how many came to what, bytes fetched, and whether a rate
+    limit or the budget cut the download."""
+    was = lambda o: F.col("outcome") == o
+    counts = [F.count_if(was(o)).alias(o) for o in OUTCOMES[:4]]
+    cut = [F.coalesce(F.bool_or(was(o)), F.lit(False)).alias(o) for o in OUTCOMES[4:]]
+    return attempts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("selected"), *counts, F.coalesce(F.sum(F.when(was("fetched"), F.col("bytes"))), F.lit(0)).alias("bytes_fetched"), *cut)
+
+
 def document_links(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(repo_id, path, target): links at the root to documents, resolved to files of the same repository."""
     links = tree.filter((F.col("type") == "symlink") & ~F.col("path").contains("/") & P.stem(F.col("path")).isin(*C.DOC_STEMS)).select("repo_id", "path")

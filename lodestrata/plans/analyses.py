@@ -510,3 +510,61 @@ def f29_compact_count(spark, sf):
     n = (F.col("p_partkey") * F.col("p_size") * 37).cast("long")
     return table(spark, sf, "part").select(n.alias("n")).select("n", views.compact_count(F.col("n")).alias("short"))
 
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS repo_id, 'ab' || c_custkey AS sha, CASE WHEN c_custkey % 3 <> 0 THEN epoch_us(TIMESTAMP '2020-01-01 00:00:00' + to_seconds(c_custkey)) END AS micros FROM customer WHERE c_custkey % 4 <> 0""")
+def s03_head_commit(spark, sf):
+    """Answers of a host, every third with a bad date and every fourth without a sha."""
+    k = F.col("c_custkey")
+    date = F.when(k % 3 == 0, "soon").otherwise(F.date_format(F.timestamp_seconds(F.lit(1577836800) + k), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    body = F.to_json(F.struct(F.when(k % 4 != 0, F.concat(F.lit("ab"), k.cast("string"))).alias("sha"), F.struct(F.struct(date.alias("date")).alias("committer")).alias("commit")))
+    return selection.head_commit(table(spark, sf, "customer").select(k.cast("string").alias("repo_id"), body.alias("body"))).select("repo_id", "sha", F.unix_micros("committed_at").alias("micros"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS repo_id, count(*) AS selected, count(*) FILTER (WHERE event_type = 'view') AS fetched, count(*) FILTER (WHERE event_type = 'click') AS skipped_too_large, count(*) FILTER (WHERE event_type = 'signup') AS skipped_binary, count(*) FILTER (WHERE event_type = 'error') AS failed,
+CAST(coalesce(sum(event_id) FILTER (WHERE event_type = 'view'), 0) AS BIGINT) AS bytes_fetched, FALSE AS rate_limited, bool_or(event_type = 'purchase') AS budget_exhausted FROM events GROUP BY 1""")
+def a30_fetch_stats(spark, sf):
+    """Events as attempts: what each kind of event came to."""
+    outcome = P.lookup({"view": "fetched", "click": "skipped_too_large", "signup": "skipped_binary", "error": "failed", "purchase": "budget_exhausted"}, F.col("event_type"))
+    return selection.fetch_stats(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("repo_id"), F.col("event_id").cast("string").alias("path"), outcome.alias("outcome"), F.col("event_id").alias("bytes")))
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, 'docs' AS path, CASE n_nationkey % 4 WHEN 0 THEN 'MkDocs' WHEN 1 THEN 'Sphinx' WHEN 2 THEN 'VitePress' END AS generator FROM nation WHERE n_nationkey % 4 <> 3""")
+def f24_site_generators(spark, sf):
+    k = F.col("n_nationkey")
+    files = F.array(F.lit("docs/a.md"), R.at(["mkdocs.yml", "docs/conf.py", "docs/.vitepress/config.js", "docs/x/mkdocs.yml"], k % 4), F.when(k % 8 == 0, "docs/conf.py").otherwise("z"))
+    tree = table(spark, sf, "nation").select(F.concat(F.lit("r"), k.cast("string")).alias("repo_id"), F.posexplode(files).alias("ord", "path")).select("repo_id", "ord", "path", F.lit("file").alias("type"), F.lit(1).cast("long").alias("size"))
+    return documentation.site_generators(tree)
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, 'src/main.ts' AS path, spec, CASE WHEN spec = 'lodash' THEN 'external' WHEN spec = '@/gone' THEN 'unresolved' ELSE 'internal' END AS kind,
+CASE spec WHEN '@/lib/a' THEN CASE n_nationkey % 2 WHEN 0 THEN 'src/lib/a.ts' ELSE 'alt/lib/a.ts' END WHEN '~b/b.js' THEN 'pkg/b/b.ts' END AS target FROM nation, (VALUES ('@/lib/a'), ('@/gone'), ('~b/b.js'), ('lodash')) AS t(spec)""")
+def f31_script_aliases(spark, sf):
+    """Imports by aliases of a tsconfig with comments and trailing commas, a second place being tried after the first."""
+    k = F.col("n_nationkey")
+    files = F.array(F.lit("src/main.ts"), F.lit("tsconfig.json"), F.lit("pkg/b/b.ts"), R.at(["src/lib/a.ts", "alt/lib/a.ts"], k % 2))
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("r"), k.cast("string")).alias("repo_id"), F.posexplode(files).alias("ord", "path"))
+    config = '{\n  // aliases\n  "compilerOptions": {"baseUrl": ".", /* a\n b */ "paths": {"@/*": ["src/*", "alt/*"], "~b/*": ["./pkg/b/*",],},},\n}'
+    script = "import a from '@/lib/a'\nimport { g } from '@/gone'\nimport b from '~b/b.js'\nimport l from 'lodash'\n"
+    text = F.when(F.col("path") == "src/main.ts", script).when(F.col("path") == "tsconfig.json", config)
+    tree = rows.select("repo_id", "ord", "path", F.lit("file").alias("type"), F.lit(1).cast("long").alias("size"))
+    return graph.resolved(tree, rows.select("repo_id", "path", text.alias("text")).filter("text is not null")).drop("language")
+
+
+@query("""WITH r AS (SELECT source AS repo_id, lang AS language, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, language) AS i FROM r),
+h AS (SELECT source AS repo_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
+SELECT repo_id, (SELECT string_agg(language || ':' || n, ',' ORDER BY i) FROM t WHERE t.repo_id = s.repo_id AND i <= 8) AS languages,
+(SELECT string_agg(CASE WHEN length(x) > 40 THEN left(x, 39) || '…' ELSE x END, '|' ORDER BY i) FROM (SELECT i, regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g') AS x, repo_id FROM h) AS y WHERE y.repo_id = s.repo_id AND i <= 20) AS headings FROM (SELECT DISTINCT source AS repo_id FROM documents) s""")
+def f30_digest(spark, sf):
+    from ..sources import export
+
+    docs = table(spark, sf, "documents").select(F.col("source").alias("repo_id"), "doc_id", "lang", "n_chars", "text")
+    langs = docs.groupBy("repo_id", F.col("lang").alias("language")).agg(F.sum("n_chars").alias("n"))
+    out = export.digest({"languages": (langs, [F.desc("n"), "language"]), "headings": (docs.select("repo_id", "doc_id", "text"), ["doc_id"])}, 40)
+    said = F.array_join(F.transform("languages", lambda x: F.concat(x["language"], F.lit(":"), x["n"].cast("string"))), ",")
+    return out.select("repo_id", said.alias("languages"), F.array_join(F.transform("headings", lambda x: x["text"]), "|").alias("headings"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream, line_no, line FROM (SELECT conv_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS line_no, unnest(ls) AS line, len(ls) AS n FROM (SELECT conv_id, string_split(string_agg(text, '' ORDER BY turn), chr(10)) AS ls FROM conversations GROUP BY 1)) WHERE line_no + 1 < n OR line <> ''""")
+def r02_framing(spark, sf):
+    """Turns of a conversation as chunks of one stream of lines."""
+    return limiter.framed(table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("seq"), F.col("text").alias("chunk")))

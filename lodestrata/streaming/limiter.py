@@ -59,15 +59,20 @@ def limited(requests: DataFrame, limit: int, window: float) -> DataFrame:
 
 
 def limited_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same on a stream: a key's recent times are its state. Within a micro-batch requests are put in order."""
+    """The same on a stream: a key's recent times are its state, dropped once a window has passed without a request. Within a
+    micro-batch requests are put in order."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = deque(state.get[0]) if state.exists else deque()
         rows = sorted((float(at), int(seq)) for pdf in frames for at, seq in zip(pdf["at"], pdf["seq"], strict=True))
         yield _rows(key[0], rows, times, limit, window)
         state.update((list(times),))
+        state.setTimeoutDuration(max(1, math.ceil(window * 1000)))
 
-    return requests.select("key", "at", "seq").groupBy("key").applyInPandasWithState(step, DECISIONS, STATE, "append", "NoTimeout")
+    return requests.select("key", "at", "seq").groupBy("key").applyInPandasWithState(step, DECISIONS, STATE, "append", "ProcessingTimeTimeout")
 
 
 def cache_replay(requests: DataFrame, most: int, ttl: float) -> DataFrame:
@@ -110,6 +115,32 @@ STAGES = ("validate", "metadata", "tree", "contents", "analyze", "result")
 EVENTS = "request string, stage string, ts timestamp"
 
 
+def framed(chunks: DataFrame) -> DataFrame:
+    """chunks(stream, seq, chunk) as rows (stream, line_no, line) of newline-delimited text: a line may be split over any number
+    of chunks. A stream is gone through in order; what follows the last newline is a line if it isn't empty."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, rest, n = None, [], 0
+        for pdf in frames:
+            out = []
+            for s, chunk in zip(pdf["stream"], pdf["chunk"], strict=True):
+                if s != stream:
+                    if rest and (last := "".join(rest)):
+                        out.append((stream, n, last))
+                    stream, rest, n = s, [], 0
+                *ended, left = (chunk or "").split("\n")
+                for part in ended:
+                    out.append((s, n, "".join([*rest, part])))
+                    rest, n = [], n + 1
+                rest.append(left)
+            yield pd.DataFrame(out, columns=["stream", "line_no", "line"])
+        if rest and (last := "".join(rest)):
+            yield pd.DataFrame([(stream, n, last)], columns=["stream", "line_no", "line"])
+
+    rows = chunks.select("stream", "seq", "chunk")
+    return rows.repartition("stream").sortWithinPartitions("stream", "seq").select("stream", "chunk").mapInPandas(run, "stream string, line_no long, line string")
+
+
 def progress_source(spark, path: str, files_per_batch: int = 32) -> DataFrame:  # noqa: ANN001
     """A stream of progress events, one JSON object a line; lines may be split over writes, not over files."""
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).json(path)
