@@ -568,3 +568,127 @@ def f30_digest(spark, sf):
 def r02_framing(spark, sf):
     """Turns of a conversation as chunks of one stream of lines."""
     return limiter.framed(table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("seq"), F.col("text").alias("chunk")))
+
+
+#: Manifests of a supplier, % being its key: path, text, and the dependencies that they declare: name, version, scope, source, direct.
+MANIFESTS = {
+    "v02_requirements": ("requirements-dev.txt", "# c\na%==1.%  # x\n-r other.txt\nb[c]>=2 ; python_version > '3'\n-e git+https://h/r#egg=e%\nz @ https://h/z.whl\nhttps://h/y%.whl\n\nlone\n", [("a%", "==1.%", "development", "registry", True), ("b", ">=2", "development", "registry", True), ("e%", None, "development", "git", True), ("z", None, "development", "url", True), ("https://h/y%.whl", None, "development", "url", True), ("lone", None, "development", "registry", True)]),
+    "v03_pyproject": ("pyproject.toml", '[project]\ndependencies = ["a%>1", "b ~= 2"]\n[project.optional-dependencies]\ntest = ["c"]\nextra = ["d==%"]\n[dependency-groups]\nlint = ["e"]\n[tool.poetry.dependencies]\npython = "3"\nf = {version = "^%", optional = true}\n[tool.poetry.group.main.dependencies]\ng = "1"\n', [("a%", ">1", "production", "registry", True), ("b", "~= 2", "production", "registry", True), ("c", None, "development", "registry", True), ("d", "==%", "optional", "registry", True), ("e", None, "development", "registry", True), ("f", "^%", "optional", "registry", True), ("g", "1", "production", "registry", True)]),
+    "v04_pipfile": ("Pipfile", '[packages]\na% = "*"\nb = {git = "u"}\n[dev-packages]\nc = {path = "x", version = "%"}\n', [("a%", "*", "production", "registry", True), ("b", None, "production", "git", True), ("c", "%", "development", "path", True)]),
+    "v05_setup_cfg": ("setup.cfg", "[options]\ninstall_requires =\n  a%>1\n  b\n[options.extras_require]\ndocs = c\nfast = d<%\n", [("a%", ">1", "production", "registry", True), ("b", None, "production", "registry", True), ("c", None, "development", "registry", True), ("d", "<%", "optional", "registry", True)]),
+    "v06_pom": ("pom.xml", "<project><version>9</version><properties><v>3.%</v></properties><dependencies><dependency><groupId>g%</groupId><artifactId>a</artifactId><version>${v}</version><scope>test</scope></dependency><dependency><groupId>h</groupId><artifactId>b</artifactId><version>${project.version}</version><optional>true</optional></dependency><dependency><artifactId>c</artifactId><scope>provided</scope></dependency></dependencies></project>", [("g%:a", "3.%", "development", "registry", True), ("h:b", "9", "optional", "registry", True), ("c", None, "build", "registry", True)]),
+    "v07_gradle": ("build.gradle", "implementation 'g:a%:1'\napi(platform(\"h:b:$v\"))\nkapt \"i:c\"\ntestImplementation(group: 'j', name: 'd', version: '%')\nruntimeOnly project(':x')\n", [("g:a%", "1", "production", "registry", True), ("h:b", "$v", "production", "registry", True), ("i:c", None, "build", "registry", True), ("j:d", "%", "development", "registry", True)]),
+    "v08_cargo": ("Cargo.toml", '[dependencies]\na% = "1"\nb = {workspace = true}\nc = {package = "real", version = "%"}\n[dev-dependencies]\nd = {git = "u"}\n[build-dependencies]\ne = {path = "p"}\n', [("a%", "1", "production", "registry", True), ("b", None, "production", "workspace", True), ("real", "%", "production", "registry", True), ("d", None, "development", "git", True), ("e", None, "build", "path", True)]),
+    "v09_go_mod": ("go.mod", "module m\nrequire (\n a.b/c% v1.0.%\n d v2 // indirect\n)\nreplace (\n x v1 => y v2\n)\nrequire e v3\n", [("a.b/c%", "v1.0.%", "production", "registry", True), ("d", "v2", "production", "registry", False), ("e", "v3", "production", "registry", True)]),
+    "v10_composer": ("composer.json", '{"require": {"php": ">8", "a/b%": "%", "ext-x": "*"}, "require-dev": {"lib-y": "1", "c/d": "2"}}', [("a/b%", "%", "production", "registry", True), ("c/d", "2", "development", "registry", True)]),
+    "v11_gemfile": ("Gemfile", "gem 'a%', '~> %'\ngroup :test do\n  platforms :ruby do\n    gem 'b', path: 'x'\n  end\n  group :production do\n    gem 'c', '1.0', '< 2'\n  end\nend\nsource 's' do |x|\n  gem 'd', github: 'u/r'\nend\ngem 'e', group: :development\n", [("a%", "~> %", "production", "registry", True), ("b", None, "development", "path", True), ("c", "1.0, < 2", "production", "registry", True), ("d", None, "production", "git", True), ("e", None, "development", "registry", True)]),
+}
+
+
+def _manifest_query(name: str, path: str, text: str, want: list[tuple]) -> None:
+    said = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join("(" + ", ".join(map(said, r)) + f", {i})" for i, r in enumerate(want))
+    filled = lambda c: f"replace({c}, '%', CAST(s_suppkey AS VARCHAR)) AS {c}"
+
+    def run(spark, sf):  # noqa: ANN001, ANN202
+        key = F.col("s_suppkey").cast("string")
+        files = table(spark, sf, "supplier").select(key.alias("repo_id"), F.lit(path).alias("path"), F.replace(F.lit(text), F.lit("%"), key).alias("text"))
+        return manifests.parsed(files).filter("error is null").select("repo_id", F.posexplode("dependencies").alias("ord", "d")).select("repo_id", "ord", "d.*")
+
+    run.__name__, run.__doc__ = name, f"Dependencies of {path} files."
+    query(f"SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CAST(ord AS INTEGER) AS ord, {filled('name')}, {filled('version')}, scope, source, direct FROM supplier, (VALUES {rows}) AS t(name, version, scope, source, direct, ord)")(run)
+
+
+for _name, (_path, _text, _want) in MANIFESTS.items():
+    _manifest_query(_name, _path, _text, _want)
+
+
+def _files(spark, sf, paths: list[str]):  # noqa: ANN001, ANN202
+    """Trees of a nation each; a % in a path is its key."""
+    key = F.col("n_nationkey").cast("string")
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("r"), key).alias("repo_id"), F.col("n_nationkey").alias("k"), F.posexplode(F.array(*map(F.lit, paths))).alias("ord", "path"))
+    return rows.select("repo_id", "k", "ord", F.replace("path", F.lit("%"), F.col("k").cast("string")).alias("path"), F.lit("file").alias("type"), F.lit(1).cast("long").alias("size"))
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, replace(path, '%', CAST(n_nationkey AS VARCHAR)) AS path, title, severity, in_test FROM nation, (VALUES ('.env', 'Environment file committed', 'high', FALSE), ('a%/.env.production', 'Environment file committed', 'high', FALSE), ('k/id_rsa', 'SSH private key file committed', 'high', FALSE),
+('s%.pem', 'Key or certificate store committed', 'medium', FALSE), ('tests/1.db', 'Database file committed', 'info', TRUE), ('tests/2.db', 'Database file committed', 'info', TRUE), ('tests/3.db', 'Database file committed', 'info', TRUE), ('tests/4.db', 'Database file committed (+2 more in test/example paths)', 'info', TRUE)) AS t(path, title, severity, in_test)""")
+def w02_sensitive_files(spark, sf):
+    return security.sensitive_files(_files(spark, sf, [".env", ".env.example", "a%/.env.production", "k/id_rsa", "s%.pem", "node_modules/x.pem", "tests/1.db", "tests/2.db", "tests/3.db", "tests/4.db", "tests/5.db", "src/a.py"]))
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, n_nationkey % 5 <> 4 AS present, CASE n_nationkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN TRUE END AS env_excluded FROM nation""")
+def p33_gitignore(spark, sf):
+    """A file that excludes .env, one that doesn't, one that comments it out, one with a wider form, none."""
+    tree = _files(spark, sf, [".gitignore", "src/a.py"]).filter("k % 5 <> 4 or path <> '.gitignore'")
+    texts = tree.filter("path = '.gitignore'").select("repo_id", "path", R.at(["x\n.env\n", "x\n", "# .env\n", "/**/.env*\n"], F.col("k") % 5).alias("text"))
+    return security.gitignore(tree, texts)
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, kind, path, detail FROM nation, (VALUES ('Container image', 'Dockerfile', 'Dockerfile'), ('Docker Compose', 'compose.yml', '2 service(s)'), ('Helm chart', 'c/Chart.yaml', 'Kubernetes package'), ('Deployment config', 'Procfile', 'Procfile'), ('Kubernetes manifest', 'k.yaml', 'kind: Service'), ('Terraform', 't', '2 .tf file(s); providers: aws, gcp')) AS t(kind, path, detail)""")
+def a25_infrastructure(spark, sf):
+    files = {"Dockerfile": "FROM a", "compose.yml": "services:\n  web:\n    image: x\n  db:\n    build: .\n", "c/Chart.yaml": "name: x", "Procfile": "web: x", "k.yaml": "kind: Service\n", "t/a.tf": 'provider "aws" {}', "t/b.tf": 'provider "gcp" {}\nprovider "aws" {}'}
+    tree = _files(spark, sf, [*files, "node_modules/Dockerfile"])
+    return architecture.infrastructure(tree, tree.select("repo_id", "path", P.lookup(files, F.col("path")).alias("text")).filter("text is not null"))
+
+
+@query("""SELECT 'r' || n_nationkey AS repo_id, CAST(ord AS INTEGER) AS ord, path, type, CAST(size AS BIGINT) AS size FROM nation, (VALUES (0, 'a', 'file', 5), (2, 'c', 'symlink', 0), (3, 'd', 'submodule', 0), (5, 'f', 'file', 0), (6, 'g', 'dir', 0)) AS t(ord, path, type, size) WHERE ord < 6 OR n_nationkey % 2 = 0""")
+def s06_sanitized(spark, sf):
+    """Entries of a host's JSON, with an unsafe path, an unknown kind and a negative size; for odd keys cut short."""
+    entries = [("a", "blob", "100644", 5), ("../b", "blob", "100644", 1), ("c", "blob", "120000", 3), ("d", "commit", "160000", None), ("e", "odd", "1", 1), ("f", "blob", "100644", -4), ("g", "tree", "40000", None)]
+    listed = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(m).alias("mode"), F.lit(s).cast("long").alias("size")) for p, t, m, s in entries])
+    k = F.col("n_nationkey")
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("r"), k.cast("string")).alias("repo_id"), F.to_json(F.struct(F.when(k % 2 == 0, listed).otherwise(F.slice(listed, 1, 6)).alias("tree"))).alias("body"))
+    return structure.sanitized(selection.raw_tree(rows), 100)
+
+
+@query("""SELECT lower('O' || c_custkey || '/N') AS repo_id, 'O' || c_custkey || '/N' AS full_name, 'O' || c_custkey AS owner, CAST(c_custkey AS BIGINT) AS stars, CAST(0 AS BIGINT) AS forks, CASE WHEN c_custkey % 2 = 0 THEN 'MIT' END AS license_spdx, CASE WHEN c_custkey % 2 = 0 THEN 'MIT License' END AS license_name, c_custkey % 3 = 0 AS archived, FALSE AS is_fork, 'a,b' AS topics FROM customer""")
+def s02_metadata(spark, sf):
+    k = F.col("c_custkey")
+    license_ = F.struct(F.when(k % 2 == 0, "MIT").otherwise("NOASSERTION").alias("spdx_id"), F.when(k % 2 == 0, "MIT License").otherwise("Other").alias("name"))
+    owner = F.concat(F.lit("O"), k.cast("string"))
+    body = F.to_json(F.struct(F.concat(owner, F.lit("/N")).alias("full_name"), F.struct(owner.alias("login")).alias("owner"), k.alias("stargazers_count"), license_.alias("license"), F.when(k % 3 == 0, True).alias("archived"), F.array(F.lit("a"), F.lit("b")).alias("topics"), F.lit("soon").alias("created_at")))
+    out = selection.metadata(table(spark, sf, "customer").select(body.alias("body")))
+    return out.select("repo_id", "full_name", "owner", "stars", "forks", "license_spdx", "license_name", "archived", "is_fork", F.array_join("topics", ",").alias("topics"))
+
+
+@query(S + """SELECT repo_id, path, regexp_extract(path, '[^/]*$') AS name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, lower(string_split(regexp_extract(path, '[^/]*$'), '.')[1]) AS stem, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM t""")
+def f01_path_parts(spark, sf):
+    p = F.col("path")
+    return R.tree(spark, sf).select("repo_id", "path", P.name(p).alias("name"), P.parent(p).alias("parent"), P.stem(p).alias("stem"), P.depth(p).alias("depth"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/c' || p_partkey WHEN 1 THEN '../c' || p_partkey WHEN 2 THEN 'a/b/c' || p_partkey ELSE '' END AS path, 'x y+' || p_partkey AS decoded FROM part")
+def f02_normalized(spark, sf):
+    k = F.col("p_partkey")
+    raw = F.replace(R.at(["a/./b/../c%", "a/../../c%", "a//b/./c%", "a/b/../.."], k % 4), F.lit("%"), k.cast("string"))
+    from ..functions import text
+
+    return table(spark, sf, "part").select("p_partkey", text.normalized(raw).alias("path"), text.percent_decode(F.concat(F.lit("x%20y+"), k.cast("string"))).alias("decoded"))
+
+
+@query(S + f", {SCANNED} SELECT repo_id, path, line, rule, severity, in_test FROM z WHERE NOT in_test AND severity = 'low' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY CASE rule WHEN 'transport.insecure-http' THEN 'insecure-transport' ELSE 'supply-chain' END, path, line) <= 150")
+def p29_finding_filter(spark, sf):
+    return views.findings(security.scan(R.contents(spark, sf)), "low").select("repo_id", "path", "line", "rule", "severity", "in_test")
+
+
+@query("""WITH g AS (SELECT source AS repo_id, lang, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1, 2) SELECT repo_id, lang AS language, 'programming' AS kind, bytes, round(bytes * 100.0::DOUBLE / sum(bytes) OVER (PARTITION BY repo_id), 9) AS percent_of_bytes FROM g WHERE lang <> 'en'""")
+def p32_language_filter(spark, sf):
+    """English stands for prose here, and is left out of the shares."""
+    rows = table(spark, sf, "documents").groupBy(F.col("source").alias("repo_id"), F.col("lang").alias("language")).agg(F.sum("n_chars").alias("bytes"))
+    stats = rows.select("repo_id", "language", F.when(F.col("language") == "en", "prose").otherwise("programming").alias("kind"), "bytes", F.lit(1.0).alias("percent_of_bytes"))
+    return views.languages(stats).withColumn("percent_of_bytes", F.round("percent_of_bytes", 9))
+
+
+_ORGANIZATION = [
+    (25, "CASE WHEN lf <= 0.05 THEN 1.0::DOUBLE ELSE 1 - (lf - 0.05::DOUBLE) / 0.2::DOUBLE END"), (25, "CASE WHEN high_complexity_count <= greatest(1, floor(sm / 50.0)) THEN 1.0::DOUBLE ELSE 1 - high_complexity_count / sm::DOUBLE * 5 END"),
+    (25, _Y("linters > 0")), (15, _Y("formatters > 0")), (10, _Y("markers / sm::DOUBLE <= 5")),
+]
+
+
+@query(f"""WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id, {", ".join(_fact_sql(*f) for f in _FACTS)} FROM customer),
+y AS (SELECT *, long_file_count / greatest(1, source_files)::DOUBLE AS lf, greatest(1, sampled_source_files) AS sm FROM x),
+p AS ({" UNION ALL ".join(f"SELECT repo_id, {m} AS most, round_even({m} * least(1.0::DOUBLE, greatest(0.0::DOUBLE, {e})), 1) AS points, source_files > 0 AS applies FROM y" for m, e in _ORGANIZATION)}),
+s AS (SELECT repo_id, CASE WHEN applies THEN CAST(round_even(100.0::DOUBLE * sum(points) / sum(most), 0) AS INTEGER) END AS score FROM p GROUP BY repo_id, applies)
+SELECT repo_id, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 50 THEN 'moderate' WHEN score IS NOT NULL THEN 'weak' END AS band FROM s""")
+def h2_organization(spark, sf):
+    return health.dimensions(health.scored_checks(_facts(spark, sf))).filter("dimension = 'organization'").drop("dimension")
