@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
 CHUNK = 400
 #: Pairs compared at once.
-PORTION = 200_000
+PORTION = 100_000
 
 
 def bounds(n: int, threshold: float, tail: float) -> list[int]:
@@ -271,6 +271,7 @@ def crossing(nodes: DataFrame, labels: DataFrame, least: list[int], fewest: int
                 has[p] = has[q] = True
             if has.any():
                 yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
+        common.trim()
 
     return cells.repartition(common.fan_out(nodes), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, CELL)
 
@@ -313,6 +314,7 @@ def verified_cells(members: DataFrame, docs: DataFrame, words: int, percent: int
                     near = np.flatnonzero((100 * shared >= percent * united) & (united > 0))
                     if len(near) and (batch := tell(x[near], y[near], shared[near], united[near])):
                         yield batch
+        common.trim()
 
     return rows.repartition(common.fan_out(docs), "cell").sortWithinPartitions("cell", "node", F.xxhash64("text")).mapInArrow(run, schema)
 

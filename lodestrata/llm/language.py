@@ -97,7 +97,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 k, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-        for batch in common.pieces(batches, "text", 8 << 20):
+        for batch in common.pieces(batches, "text", 4 << 20):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 _, index, words = common.flat_words(lowered(texts), lower=False)
@@ -107,13 +107,15 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     part = summed(h, times[start : start + PORTION][owner].astype(np.int64))
                     held.setdefault(lang, []).append(part)
                     size += len(part[0])
-                    if len(held[lang]) > 8:
+                    if len(held[lang]) > 4:
                         held[lang] = [summed(np.concatenate([p[0] for p in held[lang]]), np.concatenate([p[1] for p in held[lang]]))]
                         size = sum(len(p[0]) for ps in held.values() for p in ps)
-            if size > 4_000_000:  # bounds memory; the sums are added up later
+            if size > 1_000_000:  # bounds memory; the sums are added up later
                 yield from out()
                 held, size = {}, 0
         yield from out()
+        held.clear()
+        common.trim()
 
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

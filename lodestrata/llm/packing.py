@@ -43,7 +43,7 @@ TILT, WANT, STEP = 0.02, 0.5, 1.5
 #: Slices of a length, at least; beyond so many rows of one length there are more.
 SLICES, SLICE_ROWS = 64, 1 << 18
 #: Bytes of text encoded at once.
-PIECE = 3 << 20
+PIECE = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
