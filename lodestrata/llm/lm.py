@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 3
+ORDER = 2
 MOST_DISCOUNTED = 5
 BLOCK_BYTES = 16 << 20
 BUCKET_KEYS = 1_500_000
