@@ -97,7 +97,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 k, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-        for batch in common.pieces(batches, "text", 4 << 20):
+        for batch in common.pieces(batches, "text", 2 << 20):
             for lang in pc.unique(batch.column("lang")).to_pylist():
                 texts = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
                 _, index, words = common.flat_words(lowered(texts), lower=False)
@@ -202,7 +202,7 @@ def detect(docs: DataFrame, filters: Filters, outputs: tuple[str, str] = ("lang_
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS x words x 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "text", 4 << 20):
+        for batch in common.pieces(batches, "text", 2 << 20):
             names, scores = detected(batch.column("text").cast(pa.string()), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, *outputs])
 
