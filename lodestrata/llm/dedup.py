@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,10 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
 BATCH, MISS = 16, 1e-4
 CHUNK = 400
+#: Rows with an id and a word; all others are linked with nothing.
+IN_A_SET = "set_key is not null and doc_id is not null"
 #: Pairs compared at once.
-PORTION = 100_000
+PORTION = 50_000
 
 
 def bounds(n: int, threshold: float, tail: float) -> list[int]:
@@ -157,7 +158,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64)
-        for batch in common.pieces(batches, "text", 4 << 20):
+        for batch in common.pieces(batches, "text", 1 << 20):
             if not batch.num_rows:
                 continue
             h, starts = minhash.shingled(batch.column("text"), words)
@@ -291,20 +292,28 @@ def shared_counts(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.nd
     return np.concatenate([np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(x), step)])
 
 
+def with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the shingle set, as bytes, in place of the text."""
+    for batch in common.pieces(batches, "text", 1 << 20):
+        h, starts = minhash.shingled(batch.column("text"), words)
+        sets = [minhash.distinct(h[x:y]).tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
+        at = batch.schema.get_field_index("text")
+        yield batch.remove_column(at).append_column("set", pa.array(sets, pa.large_binary()))
+
+
 def verified_cells(members: DataFrame, docs: DataFrame, words: int, percent: int, least: list[int], out: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
     """out(rows, p, q, shared, united) for the links p, q, verified on full sets, of each portion of candidates in a cell."""
     texts = texts_of(docs, members.select(F.col("node").alias("doc_id")).distinct())
     rows = members.join(texts.withColumnRenamed("doc_id", "node"), "node").select(*[c.split()[0] for c in CELL.split(", ")], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_cells(batches, 500):
+        for table in whole_cells(with_sets(batches, words), 500):
             cell, node = table.column("cell").to_numpy(), table.column("node").to_numpy()
             again = np.concatenate(([False], (cell[1:] == cell[:-1]) & (node[1:] == node[:-1])))  # rows of one id
             table = table.filter(pa.array(~again)) if again.any() else table
-            h, starts = minhash.shingled(table.column("text").combine_chunks(), words)
-            sets = [minhash.distinct(h[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
             sizes = np.array([len(x) for x in sets], np.int64)
-            table = table.drop_columns(["text"])
+            table = table.drop_columns(["set"])
             tell = out(table)
             for p, q in open_pairs(table, least):
                 for k in range(0, len(p), PORTION):
@@ -357,50 +366,27 @@ def link_counts(members: DataFrame, docs: DataFrame, words: int, percent: int, l
     return counts.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-@dataclass
-class Classes:
-    """rows(doc_id, n_shingles, node), labels(node, component) and links(a, b, common, united) between classes."""
-
-    rows: DataFrame
-    labels: DataFrame
-    links: DataFrame
-
-
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Classes:
-    """Near-duplicate components of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    rows = common.stored(signed(docs, words))
-    full = rows.filter("set_key is not null and doc_id is not null")
-    by_set = common.stored(sets_of(full))
-    # an id of several texts is one node, with the least of their signatures
-    nodes = by_set.groupBy("node").agg(F.min("signature").alias("signature"))
-    least = least_matches(BANDS * ROWS, percent / 100)
-
-    keyed = banded(nodes).select("band", "key", "node")
-    stars = keyed.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = keyed.join(stars, ["band", "key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    # rows that share an id but no set are one document
-    same = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").join(full.select("doc_id", "set_key").distinct(), "doc_id").join(by_set.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = common.stored(verified(common.stored(surviving(common.stored(pairs), nodes, least)), docs, words, percent)).filter("near").drop("near")
-    labels = common.stored(components(found.select("a", "b").union(same)))
-    members = common.stored(crossing(nodes, labels, least))
-    more = common.stored(crossing_links(members, docs, words, percent, least))
-    labels = common.stored(components(found.select("a", "b").union(same).union(more.select("a", "b"))))
-    links = found.union(more).distinct()
-    owned = rows.join(by_set.select("set_key", "node"), "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    common.release(spark)
-    return Classes(owned, labels, links)
+def sets_of(full: DataFrame) -> DataFrame:
+    """set_key, node (its smallest id), signature and number n of every class of rows with one shingle set."""
+    return full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
 
 
-def sets_of(full: DataFrame) -> DataFrame:
-    """set_key, node (its smallest id) and signature of every class of rows with one shingle set."""
-    return full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
+def beside_sets(full: DataFrame, by_set: DataFrame, sets: DataFrame) -> DataFrame:
+    """full(doc_id, n_shingles, set_key) with the columns of sets(set_key, ...), both stored. A set of many copies is dealt to
+    salts of some CHUNK rows, with its own row sent once to each, so no key is hot; by_set has the numbers of copies."""
+    salts = -(-(by_set.agg(F.max("n")).first()[0] or 0) // CHUNK)
+    rows = full.select("doc_id", "n_shingles", "set_key")
+    if salts <= 1:
+        return rows.join(sets, "set_key")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    dealt = salted.select("set_key", "salt").distinct().join(sets, "set_key")
+    return salted.join(dealt, ["set_key", "salt"]).drop("salt")
 
 
 def candidates(docs: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[int]]:
     """(classes of stored signed rows, their members of buckets with a candidate, bounds), each class a component by itself, so
     that all pairs of a bucket are compared in its cells."""
-    by_set = common.stored(sets_of(rows.filter("set_key is not null and doc_id is not null")))
+    by_set = common.stored(sets_of(rows.filter(IN_A_SET)))
     nodes = by_set.groupBy("node").agg(F.min("signature").alias("signature"))
     least = least_matches(BANDS * ROWS, percent / 100)
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
@@ -419,15 +405,37 @@ def linked_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = common.stored(signed(docs, words))
     by_set, members, least = candidates(docs, rows, percent)
     counts = link_counts(members, docs, words, percent, least)
-    named = rows.join(by_set.select("set_key", "node"), "set_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return named.join(counts, "node", "left").select("doc_id", F.col("node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = common.stored(by_set.join(counts, "node", "left").select("set_key", F.col("node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    shape = ["doc_id", "class_id", "n_links"]
+    rest = rows.filter(f"not ({IN_A_SET})").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return beside_sets(rows.filter(IN_A_SET), by_set, sets).select(shape).union(rest.select(shape))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
-    found = classes(docs, words, percent)
-    component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
-    out = found.rows.join(found.labels, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    spark = docs.sparkSession
+    rows = common.stored(signed(docs, words))
+    full = rows.filter(IN_A_SET)
+    by_set = common.stored(sets_of(full))
+    # an id of several texts is one node, with the least of their signatures
+    nodes = by_set.groupBy("node").agg(F.min("signature").alias("signature"))
+    least = least_matches(BANDS * ROWS, percent / 100)
+
+    keyed = banded(nodes).select("band", "key", "node")
+    stars = keyed.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = keyed.join(stars, ["band", "key"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    # rows that share an id but no set are one document
+    same = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").join(full.select("doc_id", "set_key").distinct(), "doc_id").join(by_set.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = common.stored(verified(common.stored(surviving(common.stored(pairs), nodes, least)), docs, words, percent)).filter("near").drop("near")
+    labels = common.stored(components(found.select("a", "b").union(same)))
+    members = common.stored(crossing(nodes, labels, least))
+    more = common.stored(crossing_links(members, docs, words, percent, least))
+    labels = common.stored(components(found.select("a", "b").union(same).union(more.select("a", "b"))))
+    sets = common.stored(by_set.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")))
+    common.release(spark)
+    shape = ["doc_id", "n_shingles", "component_id"]
+    rest = rows.filter(f"not ({IN_A_SET})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = beside_sets(full, by_set, sets).select(shape).union(rest.select(shape))
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 

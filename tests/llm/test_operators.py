@@ -295,6 +295,19 @@ def test_op5_chains_beyond_the_bucket_star(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in components(texts, 2, 80).items()}
 
 
+def test_op5_many_copies_of_one_set(spark, monkeypatch):
+    """More copies than one salt holds, beside a near copy, a set of its own, rows without a set and without an id."""
+    monkeypatch.setattr(dedup, "CHUNK", 3)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text if i % 2 else text.upper()) for i in range(5, 30)] + [(3, text + " x"), (40, "a text of its own"), (41, ""), (42, None), (None, text), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in dedup.near_duplicates(docs).collect())
+    alone = [("40", 40, True), ("41", 41, True), ("42", 42, True), ("None", None, True), ("None", None, True)]
+    assert got == sorted([(str(i), 3, i == 3) for i in (3, *range(5, 30))] + alone)
+    numbers = sorted((str(r.doc_id), r.class_id, r.n_links) for r in fingerprints.link_numbers(docs).collect())
+    assert numbers == sorted([("3", 3, 1), ("40", 40, 0), ("41", None, 0), ("42", None, 0), ("None", None, 0), ("None", None, 0)] + [(str(i), 5, 1) for i in range(5, 30)])
+
+
 def test_op5_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " x"), (3, None)], "doc_id long, text string")
