@@ -26,7 +26,7 @@ from . import common
 WINDOW = 10
 #: Windows that are broadcast, of some 150 bytes each; they are counted first.
 MOST_BROADCAST = 500_000
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS, LETTERS = (rf"[{no}\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" for no in ("", "^"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The length of the mark that every document has.
 MARK = 0
@@ -108,9 +108,9 @@ def removed(docs: DataFrame, benchmark: DataFrame, documents: bool = False, wind
         return rows.join(spans.select("row").distinct(), "row", "left_anti").select("doc.*")
     # tokens in turn: separators before a word, then the word; so the k-th word is known by the words before it
     hit = spans.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("nth")).distinct()
-    parts = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)({SEPARATORS}|(?:(?!{SEPARATORS}).)+)"), F.lit(1))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(f"({SEPARATORS}|{LETTERS})"), F.lit(1))
     dirty = rows.join(spans.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(parts).alias("k", "part"))
-    is_word = ~F.col("part").rlike(rf"^{SEPARATORS}$")
+    is_word = F.col("part").rlike(f"^{LETTERS}$")
     # a row's parts alternate, so a word's number follows from its place and from what stands first
     first = dirty.filter(F.col("k") == 0).select("row", is_word.alias("starts"))
     numbered = dirty.join(first, "row").select("row", "k", "part", "starts", is_word.alias("word"), F.floor((F.col("k") + F.when(F.col("starts"), 2).otherwise(1)) / 2).cast("int").alias("nth"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedup, fingerprints, html, language, leaks, lm, media, middles, mixing, packing, secrets, urls
+from . import audit, dedup, fingerprints, html, language, leaks, lm, media, middles, mixing, packing, secrets, urls
 
-MODULES = (dedup, fingerprints, html, language, leaks, lm, media, middles, mixing, packing, secrets, urls)
+MODULES = (audit, dedup, fingerprints, html, language, leaks, lm, media, middles, mixing, packing, secrets, urls)
 
 
 def queries() -> dict:
