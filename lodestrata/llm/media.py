@@ -87,7 +87,8 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """Blocks up to the trailer. A place from which blocks or sub-blocks were followed before is not followed again."""
     if at + 13 > len(b):
         return None
     width, height, flags = struct.unpack_from("<HHB", b, at + 6)
@@ -96,21 +97,30 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
         return None
 
     def blocks(pos: int) -> int:
-        while pos < len(b) and b[pos]:
+        walked = []
+        while pos < len(b) and b[pos] and pos not in marks.runs:
+            walked.append(pos)
             pos += 1 + b[pos]
-        return pos + 1
+        end = marks.runs.get(pos, pos + 1)
+        marks.runs.update(dict.fromkeys(walked, end))
+        return end
 
-    while pos < len(b):
+    walked, end = [], None
+    while pos < len(b) and pos not in marks.images:
+        walked.append(pos)
         if b[pos] == 0x3B:
-            return "image/gif", pos + 1 - at
+            end = pos + 1
+            break
         if b[pos] == 0x21:
             pos = blocks(pos + 2)
         elif b[pos] == 0x2C and pos + 10 <= len(b):
             local = b[pos + 9]
             pos = blocks(pos + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
         else:
-            return None
-    return None
+            break
+    end = marks.images.get(pos, end)
+    marks.images.update(dict.fromkeys(walked, end))
+    return ("image/gif", end - at) if end else None
 
 
 def _riff(b: bytes, at: int) -> tuple[str, int] | None:
@@ -185,6 +195,9 @@ class Marks:
         every = lambda mark: [m.start() for m in re.finditer(re.escape(mark), b)]
         self.eofs, self.crosses, self.heads = every(b"%%EOF"), every(b"startxref"), every(b"%PDF-")
         self.archives: dict[int, int] = {}
+        self.pages: dict[int, int | None] = {}  # where the stream of the Ogg page here ends, None if it doesn't
+        self.images: dict[int, int | None] = {}  # the same for blocks of GIF
+        self.runs: dict[int, int] = {}  # where the sub-blocks from here end
         for end in every(b"PK\x05\x06"):
             if end + 22 <= len(b):
                 size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -261,18 +274,24 @@ def _flac(b: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/flac", pos - at) if found >= known else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    pos = at
-    while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b):
+def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """Pages up to the last one of the stream. A head within a walk that was made is not walked again."""
+    walked, pos = [], at
+    while pos not in marks.pages:
+        walked.append(pos)
+        if b[pos : pos + 4] != b"OggS" or pos + 27 > len(b):
+            marks.pages[pos] = None
+            break
         n = b[pos + 26]
         end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
         if b[pos + 4] or end > len(b):
-            return None
-        last = b[pos + 5] & 4
-        pos = end
-        if last:
-            return "audio/ogg", pos - at
-    return None
+            marks.pages[pos] = None
+        elif b[pos + 5] & 4:
+            marks.pages[pos] = end
+        pos = pos if pos in marks.pages else end
+    end = marks.pages[pos]
+    marks.pages |= dict.fromkeys(walked, end)
+    return ("audio/ogg", end - at) if end else None
 
 
 VALIDATORS: dict[str, Callable[..., tuple[str, int] | None]] = {
@@ -299,7 +318,7 @@ def sniffed(blob: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, in
         at = last + 1 - n
         if at < closed:
             continue
-        if kind in ("application/pdf", "application/zip"):
+        if kind in ("application/pdf", "application/zip", "audio/ogg", "image/gif"):
             marks = marks or Marks(blob)
             found = VALIDATORS[kind](blob, at, marks)
         else:

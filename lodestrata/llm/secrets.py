@@ -39,7 +39,8 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 # Weak parts: an identifier that is named, an unnamed secret of mixed letters and digits, an endpoint.
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:(?<!secret[._-])access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:[_-]?name)?|login|account(?:[_-]?name)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::\d+)?|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", re.A)
+# A host is tried from the beginning of its labels alone, so a text of labels is read once.
+ENDPOINT = re.compile(r"\bhttps?://[A-Za-z0-9.-]+(?::\d+)?|\b(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?\b|(?<![a-z0-9-])(?<![a-z0-9-]\.)(?:(?<=\w)[a-z0-9]+\.?)?-*\b(?P<host>[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b)", re.A)
 #: RE2; what no weak or base pattern could match without.
 MAYBE = r"""(?i:password|passwd|secret|token|api_?key|access[_-]?key|client[_-]?id|user|login|account|name|id)["']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}"""
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
@@ -80,7 +81,7 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     starts = [a for a, _ in secrets]
     cut = [(k, a, b) for k, a, b in found if (i := bisect.bisect_left(starts, b)) and secrets[i - 1][1] > b]
     found = sorted(set(found) - set(cut)) + [("secret", a, b) for a, b in secrets]
-    found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    found += [("endpoint", m.start("host") if m["host"] else m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     base_starts = [a for _, a, _ in sorted(base, key=lambda s: s[1])]
     base_ends = list(itertools.accumulate((b for _, _, b in sorted(base, key=lambda s: s[1])), max))
     own: list[tuple[int, int]] = []  # apart from each other, so the last one before a place ends last
@@ -161,6 +162,7 @@ MASK = "[secret]"
 MOST_LINKED = 100_000
 
 
+@common.fenced
 def redacted(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every found span of text replaced by MASK, and n_chars, if there, set anew. Rows are never dropped.
 
