@@ -37,8 +37,10 @@ LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP = 200
 #: Bytes of text read at once, and counts of a block.
-HELD = 4 << 20
+HELD = 8 << 20
 BLOCK = 1 << 16
+#: Slices hashed at once.
+PORTION = 1 << 16
 
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -63,7 +65,10 @@ def slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def grouped(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
     """The first slice of each distinct term, and each slice's term."""
     whole = buffer.tobytes()
-    hashes = np.fromiter((hashed(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    hashes = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), PORTION):
+        own = slice(k, k + PORTION)
+        hashes[own] = [hashed(whole[a:b]) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
     _, first, term = np.unique(hashes, return_index=True, return_inverse=True)
     size = ends - starts
     same = size == size[first[term]]
@@ -86,7 +91,7 @@ def grouped(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed=xxh
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, docs) of each piece: occurrences and documents."""
-    for batch in common.pieces(common.gathered(batches, "text", HELD // 2), "text", HELD):
+    for batch in common.pieces(common.gathered(batches, "text", HELD), "text", HELD):
         buffer, starts, ends, row = slices(batch.column("text"))
         if not len(starts):
             continue

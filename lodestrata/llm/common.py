@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,23 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return back
 
 
+#: Columns of documents that operators work on.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def fenced(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that returns the columns of its documents: all others than OWN bear names of no helper column within."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **settings) -> DataFrame:
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        inner = {c: c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(docs.select(*[quoted(c).alias(x) for c, x in inner.items()]), *args, **settings)
+        return out.select(*[F.col(x).alias(c) for c, x in inner.items()])
+
+    return run
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes the files of stored() tables that are no longer read."""
     for df in frames:

@@ -439,6 +439,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+@common.fenced
 def unique(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that have a near-duplicate of a smaller id in their component; of several rows that bear one id, the least text's."""
     found = common.stored(near_duplicates(docs, words, percent))

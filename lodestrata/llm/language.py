@@ -213,6 +213,7 @@ def detect(docs: DataFrame, filters: Filters, outputs: tuple[str, str] = ("lang_
 LEAST_SCORE = 0.25
 
 
+@common.fenced
 def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs with a detected language, learned from the lang of those outside the held-out fold. Rejected are
     texts without letters and those of whose n-grams less than least_score are known to the language found."""

@@ -88,6 +88,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+@common.fenced
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. The copies planned for rows of one id are dealt to them in the
     order of their texts. The plan (an id and a number) is broadcast if its counted rows are few."""
