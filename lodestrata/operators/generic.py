@@ -77,14 +77,6 @@ def contracted(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str
     return edges.filter(F.col(src) != F.col(dst)).groupBy(src, dst).agg(F.sum(weight).alias(weight))
 
 
-def budget_fold(rows: Column, budget: int) -> Column:
-    """rows: array<struct<id, size>> in order. Taken greedily: one too big for what is left is passed over, later ones may
-    still fit. Gives the ids taken."""
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda acc, r: F.when(r["size"] <= acc["left"], F.struct((acc["left"] - r["size"]).cast("long").alias("left"), F.array_append(acc["ids"], r["id"].cast("long")).alias("ids"))).otherwise(acc)
-    return F.aggregate(rows, start, step, lambda acc: acc["ids"])
-
-
 def weighted_scores(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """checks(keys, dimension, max_points, fraction; null fraction: not applicable) as score per dimension."""
     earned = F.sum(F.col("max_points") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction"))))

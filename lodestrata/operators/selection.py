@@ -15,6 +15,7 @@ from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as T
 from . import generic as G
+from . import ordered
 from .structure import analyzed_files, classified
 
 # Names of the host's own pages, which no owner bears.
@@ -96,11 +97,8 @@ def selected(tree: DataFrame, most: int = 300, max_file_bytes: int = 400_000) ->
 
 
 def within_budget(chosen: DataFrame, budget: int = 20_000_000) -> DataFrame:
-    """chosen taken in order of rank as long as bytes are left; one too big is passed over. Ranks and sizes of the few
-    hundred files of a repository make one row; paths are joined to what is taken."""
-    rows = chosen.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("rank", "size"))).alias("rows"))
-    taken = rows.select("repo_id", F.explode(G.budget_fold(F.transform("rows", lambda r: F.struct(r["rank"].alias("id"), r["size"].alias("size"))), budget)).alias("rank")).withColumn("rank", F.col("rank").cast("int"))
-    return chosen.join(taken, ["repo_id", "rank"], "left_semi")
+    """chosen taken in order of rank as long as bytes are left; one too big is passed over."""
+    return ordered.budgeted(chosen, "size", budget, ["rank"], ["repo_id"])
 
 
 def decoded(files: DataFrame, content: str = "content", max_bytes: int = 400_000) -> DataFrame:

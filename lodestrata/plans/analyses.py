@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, selection, structure, views
+from ..operators import architecture, components, dependencies, documentation, graph, health, languages, quality, security, selection, structure, views
 from ..sources import manifests
 from ..streaming import limiter
 from . import repository as R
@@ -323,16 +323,36 @@ def j22_connected_modules(spark, sf):
     return views.connected(modules, short)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS d FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey < c_nationkey),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS d FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT s AS node FROM e UNION SELECT d FROM e),
-w AS (SELECT node, 0 AS layer FROM n UNION SELECT e.d, w.layer + 1 FROM w JOIN e ON e.s = w.node)
-SELECT 'r' AS repo_id, lpad(CAST(node AS VARCHAR), 2, '0') AS node, CAST(max(layer) AS INTEGER) AS layer FROM w GROUP BY node""")
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.d FROM r JOIN e ON e.s = r.b),
+c AS (SELECT x.a AS node, min(x.b) AS c FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+g AS (SELECT DISTINCT x.c AS s, y.c AS d FROM e JOIN c x ON x.node = e.s JOIN c y ON y.node = e.d WHERE x.c <> y.c),
+w AS (SELECT c AS node, 0 AS layer FROM c UNION SELECT g.d, w.layer + 1 FROM w JOIN g ON g.s = w.node)
+SELECT 'r' AS repo_id, lpad(CAST(c.node AS VARCHAR), 2, '0') AS node, lpad(CAST(c AS VARCHAR), 2, '0') AS component, CAST(max(layer) AS INTEGER) AS layer FROM c JOIN w ON w.node = c.c GROUP BY ALL""")
 def g10_layering(spark, sf):
-    """Layers by longest path of all edges from nations to those of greater keys; with the rest there would be cycles."""
+    """Layers by longest path of all edges between nations, cycles contracted."""
     name = lambda c: F.lpad(F.regexp_extract(c, "n([0-9]+)/", 1), 2, "0")
-    edges = _orders(spark, sf).select("repo_id", name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst")).filter("src < dst").distinct()
+    edges = _orders(spark, sf).select("repo_id", name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst")).distinct()
     nodes = edges.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graph.layered(edges, nodes).select("repo_id", "node", "layer")
+    return components.layers(edges, nodes)
+
+
+@query("""WITH RECURSIVE l AS (SELECT o_custkey AS repo_id, p_brand AS b, lead(p_brand) OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+e AS MATERIALIZED (SELECT DISTINCT repo_id, b AS s, d FROM l WHERE d IS NOT NULL),
+n AS (SELECT repo_id, b AS node FROM l GROUP BY ALL),
+r AS (SELECT repo_id, node AS a, node AS b FROM n UNION SELECT r.repo_id, r.a, e.d FROM r JOIN e ON e.repo_id = r.repo_id AND e.s = r.b),
+c AS MATERIALIZED (SELECT x.repo_id, x.a AS node, min(x.b) AS c FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT e.repo_id, x.c AS s, y.c AS d FROM e JOIN c x ON x.repo_id = e.repo_id AND x.node = e.s JOIN c y ON y.repo_id = e.repo_id AND y.node = e.d WHERE x.c <> y.c),
+w AS (SELECT repo_id, c AS node, 0 AS layer FROM c UNION SELECT g.repo_id, g.d, w.layer + 1 FROM w JOIN g ON g.repo_id = w.repo_id AND g.s = w.node)
+SELECT CAST(c.repo_id AS VARCHAR) AS repo_id, c.node, c AS component, CAST(max(layer) AS INTEGER) AS layer FROM c JOIN w ON w.repo_id = c.repo_id AND w.node = c.c GROUP BY ALL""")
+def g09_cycles(spark, sf):
+    """Brands in the order in which each customer buys them, a graph a customer: its cycles contracted, the rest in layers."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("repo_id"))
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("src"))
+    rows = items.join(orders, "l_orderkey").join(brands, "l_partkey").select("repo_id", "src", F.lead("src").over(W.partitionBy("repo_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("dst"))
+    return components.layers(rows.filter("dst is not null").distinct(), rows.select("repo_id", F.col("src").alias("node")))
 
 
 @query(S + """, ok AS (SELECT *, len(string_split(path, '/')) AS depth, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM own WHERE size BETWEEN 1 AND 400000),

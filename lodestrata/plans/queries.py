@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import generic as G
+from ..operators import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,7 +80,7 @@ SELECT CAST(ts AS DATE) AS day, ts, event_id, event_type = 'error' AS hit, row_n
 WHERE hit GROUP BY day, run HAVING count(*) >= 2""")
 def w06_islands(spark, sf):
     events = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
-    return G.islands(events, F.col("event_type") == "error", ["ts", "event_id"], ["day"])
+    return ordered.islands(events, F.col("event_type") == "error", ["ts", "event_id"], ["day"])
 
 
 PREFIXES = ("/en", "/fr", "/de", "/es", "/en/1", "/en/2")
@@ -136,10 +137,11 @@ f AS (SELECT source, doc_id, i, CASE WHEN n_chars <= {BUDGET} THEN {BUDGET} - n_
 UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN d.n_chars <= f.rest THEN f.rest - d.n_chars ELSE f.rest END, d.n_chars <= f.rest FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
 SELECT source, doc_id FROM f WHERE taken""")
 def s08_budget_fold(spark, sf):
-    """A budget a source. The fold is a sequence by nature: a source's ids and sizes, not its texts, meet in one row."""
-    docs = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows"))
-    rows = F.transform("rows", lambda r: F.struct(r["doc_id"].alias("id"), r["n_chars"].alias("size")))
-    return docs.select("source", F.explode(G.budget_fold(rows, BUDGET)).alias("doc_id"))
+    """A budget a source, spent on its documents in order of their ids."""
+    from ..operators import selection
+
+    docs = table(spark, sf, "documents").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("rank"), F.col("n_chars").alias("size"))
+    return selection.within_budget(docs, BUDGET).select(F.col("repo_id").alias("source"), F.col("rank").alias("doc_id"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -157,6 +159,20 @@ def w11_sliding_limit(spark, sf):
     return limiter.limited(events, 3, 43200.0).select(F.col("seq").alias("event_id"), "allowed", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
 
 
+@query(ORACLE["w11_sliding_limit"])
+def r04_stream(spark, sf):
+    """The same limit on a stream: events in files by time, several batches, held in state until the watermark passes them."""
+    from ..streaming import limiter
+    from .shared import folder
+
+    window, delay, source = 43200.0, 3600.0, folder(spark)
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), F.col("event_id").alias("seq"))
+    limiter.dealt(events, source, 4, delay, window)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    limiter.run_to_end(limiter.limited_stream(stream, 3, window, delay), out := folder(spark), folder(spark))
+    return spark.read.parquet(out).select(F.col("seq").alias("event_id"), "allowed", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
 PATH = r"regexp_extract(url, '^https?://[^/?#]*/([^?#]*)', 1)"
 
 

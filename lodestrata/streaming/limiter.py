@@ -6,6 +6,7 @@ requests are gone through in order. Keys are independent; a key's state is at mo
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import OrderedDict, deque
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DECISIONS = "key string, at double, seq long, allowed boolean, retry_after long"
-STATE = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
+HELD = T.StructType([T.StructField("at", T.DoubleType()), T.StructField("seq", T.LongType())])
+STATE = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType())), T.StructField("held", T.ArrayType(HELD))])
 
 
 def decided(times: deque[float], now: float, limit: int, window: float) -> int | None:
@@ -58,21 +60,60 @@ def limited(requests: DataFrame, limit: int, window: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "at", "seq").mapInPandas(run, DECISIONS)
 
 
-def limited_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same on a stream: a key's recent times are its state, dropped once a window has passed without a request. Within a
-    micro-batch requests are put in order."""
+def limited_stream(requests: DataFrame, limit: int, window: float, delay: float) -> DataFrame:
+    """The same on a stream, whose requests may come up to `delay` seconds out of order. A request is held in its key's state
+    until the watermark has passed it, when no earlier one can come; then all those held are decided in order of at, seq. So
+    what is decided doesn't depend on how requests were cut into batches. Timers of event time wake a key for its next held
+    request, and drop its state once its last one has left the window. Requests that come later than `delay` are left out, as
+    Spark leaves out late rows; the last ones are decided when the watermark passes them (see `ended`).
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            state.remove()
+        seen, held = ([*state.get[0]], [tuple(x) for x in state.get[1]]) if state.exists else ([], [])
+        passed, times = state.getCurrentWatermarkMs(), deque(seen)
+        held += [(float(at), int(seq)) for pdf in frames for at, seq in zip(pdf["at"], pdf["seq"], strict=True)]
+        held.sort()
+        n = bisect.bisect_right(held, (passed / 1000, math.inf))
+        if n:
+            yield _rows(key[0], held[:n], times, limit, window)
+        held = held[n:]
+        wake = held[0][0] if held else times[-1] + window if times else 0.0
+        if not held and wake * 1000 <= passed:
+            if state.exists:
+                state.remove()
             return
-        times = deque(state.get[0]) if state.exists else deque()
-        rows = sorted((float(at), int(seq)) for pdf in frames for at, seq in zip(pdf["at"], pdf["seq"], strict=True))
-        yield _rows(key[0], rows, times, limit, window)
-        state.update((list(times),))
-        state.setTimeoutDuration(max(1, math.ceil(window * 1000)))
+        state.update((list(times), held))
+        state.setTimeoutTimestamp(max(passed + 1, math.ceil(wake * 1000)))
+
+    rows = requests.select("key", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"))
+    timed = rows.withColumn("time", F.col("at").cast("timestamp")).withWatermark("time", f"{math.ceil(delay * 1000)} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(step, DECISIONS, STATE, "append", "EventTimeTimeout").filter(F.col("key") != END)
+
+
+#: The key of the request that ends a stream.
+END = "\x00end"
+
+
+def ended(requests: DataFrame, window: float, delay: float) -> DataFrame:
+    """One request that moves the watermark beyond all of requests(key, at, seq), for the end of a stream that has one."""
+    last = requests.agg(F.max("at").alias("at")).filter("at is not null")
+    return last.select(F.lit(END).alias("key"), (F.col("at") + F.lit(2 * delay + window + 2)).cast("double").alias("at"), F.lit(-1).cast("long").alias("seq"))
+
+
+def dealt(requests: DataFrame, path: str, parts: int, delay: float, window: float) -> None:
+    """requests(key, at, seq) written to a folder in so many steps of time, oldest first, and then the end: what a collector
+    would have left there, to be read as a stream."""
+    cuts = requests.approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
+    lows, highs = [-math.inf, *cuts], [*cuts, math.inf]
+    for low, high in zip(lows, highs, strict=True):
+        requests.filter((F.col("at") >= low) & (F.col("at") < high)).coalesce(1).write.mode("append").parquet(path)
+    ended(requests, window, delay).coalesce(1).write.mode("append").parquet(path)
+
 
-    return requests.select("key", "at", "seq").groupBy("key").applyInPandasWithState(step, DECISIONS, STATE, "append", "ProcessingTimeTimeout")
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Everything that is there now, in as many batches as the source gives, appended to Parquet files at path. Started again
+    with the same checkpoint it goes on where it stopped, even within a batch: a batch's files count once it is committed."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def cache_replay(requests: DataFrame, most: int, ttl: float) -> DataFrame:
