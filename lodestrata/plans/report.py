@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, structure
+from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, structure, workspaces
 
 ARTIFACTS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "coverage")
 BOTS = (".github/dependabot.yml", ".github/dependabot.yaml", "renovate.json", ".renovaterc", ".renovaterc.json", ".github/renovate.json", "renovate.json5")
@@ -55,7 +55,7 @@ def report(s: Snapshot, now: Column) -> Report:
     readmes = documentation.readmes(s.tree, s.contents)
     community = documentation.community_files(s.tree)
     tools = architecture.tooling(s.tree, s.contents, deps.dependencies)
-    packages = architecture.monorepos(s.tree, s.contents).select("repo_id", "packages")
+    packages = workspaces.monorepos(s.tree, s.contents).select("repo_id", "packages")
     modules = architecture.modules(s.tree, packages)
     entries = architecture.entry_points(s.tree, s.contents)
     outcomes = graph.resolved(s.tree, s.contents)

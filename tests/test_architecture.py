@@ -1,4 +1,4 @@
-from lodestrata.operators import architecture, dependencies
+from lodestrata.operators import architecture, dependencies, workspaces
 from tests.test_analyses import contents_of, rows, tree_of
 
 
@@ -23,17 +23,28 @@ def test_frameworks_tooling_and_entry_points(spark):
 def test_monorepo_and_modules(spark):
     files = {"pnpm-workspace.yaml": "packages:\n  - 'packages/*'\n  - '!packages/old'\n", "packages/a/package.json": "{}", "packages/b/package.json": "{}", "packages/old/package.json": "{}", "packages/a/src/x.ts": "", "packages/a/lib/z.ts": "", "packages/b/y.ts": "", "docs/i.md": "", "top.ts": ""}
     tree = tree_of(spark, files)
-    found = architecture.monorepos(tree, contents_of(spark, files))
+    found = workspaces.monorepos(tree, contents_of(spark, files))
     assert [tuple(r) for r in found.collect()] == [("r", "pnpm workspaces", ["packages/a", "packages/b"])]
     got = {r.module: (r.files, r.role) for r in architecture.modules(tree, found.select("repo_id", "packages")).collect()}
     assert got["packages/a/src"] == (1, None) and got["docs"] == (1, "Documentation / examples") and got["."] == (2, None) and got["packages/b"] == (2, None)
 
 
-def test_globs():
-    import re
+def test_globs(spark):
+    globs = ["packages/*", "apps/**", "./l?b/", "!packages/old", "x.y/a*/**/z", "tools"]
+    paths = {"packages/a": True, "packages/a/b": False, "packages/old": False, "packages": False, "apps": True, "apps/x/y": True, "apps2": False, "lib": True, "lb": False, "x.y/ab/q/z": True, "xzy/ab/q/z": False, "x.y/ab/q/r/z": True, "tools": True, "tools/x": False}
+    frame = lambda rows, name: spark.createDataFrame([("r", x) for x in rows] + [("other", x) for x in rows if name == "path"], f"repo_id string, {name} string")
+    assert sorted((r.repo_id, r.path) for r in workspaces.matched(frame(paths, "path"), frame(globs, "glob")).collect()) == sorted(("r", p) for p, yes in paths.items() if yes)
 
-    for glob, path, want in (("packages/*", "packages/a", True), ("packages/*", "packages/a/b", False), ("apps/**", "apps/x/y", True), ("apps/**", "apps", True), ("./l?b/", "lib", True)):
-        assert bool(re.fullmatch(architecture.glob_pattern(glob), path)) is want
+
+def test_declared_globs(spark):
+    files = {
+        "pnpm-workspace.yaml": "name: x\npackages:\n  - 'a/*'  # note\n\n  - \"!b\"\n  - c\nother:\n  - no\n", "package.json": '{"workspaces": {"packages": ["d/*", "e"]}}', "lerna.json": '{"packages": ["f"]}',
+        "Cargo.toml": "[workspace]\nmembers = [\n 'g/*', # g\n 'h']\n", "go.work": "go 1.2\nuse (\n  ./i\n  ./j/k\n)\nuse ./l\n", "sub/package.json": '{"workspaces": ["no"]}',
+    }
+    found = [r.glob for r in workspaces.declared(contents_of(spark, files)).collect()]
+    assert sorted(found) == sorted(["a/*", "!b", "c", "d/*", "e", "f", "g/*", "h", "i", "j/k", "l"])
+    broken = {"package.json": '{"workspaces": 3', "lerna.json": "[]", "Cargo.toml": "[workspace", "pnpm-workspace.yaml": ""}
+    assert workspaces.declared(contents_of(spark, broken)).count() == 0
 
 
 def test_infrastructure(spark):
