@@ -202,6 +202,14 @@ def env_uses(contents: DataFrame) -> DataFrame:
     return own.select("repo_id", "path", F.explode(F.array_distinct(names)).alias("name"))
 
 
+def env_inventory(uses: DataFrame, most: int = 150) -> DataFrame:
+    """uses(repo_id, path, name) rolled up: repo_id, variables (distinct names), files that read any, names (the first ones,
+    sorted)."""
+    counts = uses.groupBy("repo_id").agg(F.count_distinct("name").alias("variables"), F.count_distinct("path").alias("files"))
+    names = G.cap_per_group(uses.select("repo_id", "name").distinct(), ["repo_id"], ["name"], most).groupBy("repo_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return counts.join(names, "repo_id")
+
+
 def client_exposed(uses: DataFrame) -> DataFrame:
     name = F.col("name")
     return uses.filter(P.starts_with_any(name, PUBLIC) & name.rlike(SECRET_NAME) & ~name.rlike(PUBLIC_OK)).select("repo_id", "name").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import architecture, components, dependencies, documentation, graph, health, languages, quality, security, selection, structure, views
+from ..operators import architecture, components, dependencies, documentation, graph, health, languages, quality, security, selection, structure, views, workspaces
 from ..sources import manifests
 from ..streaming import limiter
 from . import repository as R
@@ -222,6 +222,31 @@ def f20_env_uses(spark, sf):
     return security.env_uses(R.contents(spark, sf))
 
 
+@query(S + f", u AS (SELECT DISTINCT repo_id, path, 'KEY_' || (k % 4) AS name FROM c WHERE f = {R.PY} AND category = 'source' AND NOT aux) SELECT repo_id, count(DISTINCT name) AS variables, count(DISTINCT path) AS files, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM u GROUP BY 1")
+def a20_env_inventory(spark, sf):
+    return security.env_inventory(security.env_uses(R.contents(spark, sf))).withColumn("names", F.array_join("names", ","))
+
+
+@query(S + f", {FRAMEWORKS} SELECT repo_id, framework, category, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE category WHEN 'frontend' THEN 0 ELSE 1 END, framework) AS INTEGER) AS rank FROM w")
+def t29_frameworks(spark, sf):
+    tree, contents = R.tree(spark, sf), R.contents(spark, sf)
+    return architecture.in_order(architecture.frameworks(tree, dependencies.analyze(tree, contents).dependencies)).select("repo_id", "framework", "category", "rank")
+
+
+GLOBS = ("en/*", "*/1**", "fr/*.html", "de/?", "!en/9*", "!*/1?2")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS repo_id, rtrim(regexp_extract(url, '^https?://[^/?#]*/([^?#]*)', 1), '/') AS path FROM pages)
+SELECT repo_id, path FROM p WHERE regexp_full_match(path, 'en/[^/]*|[^/]*/1.*|fr/[^/]*[.]html|de/[^/]') AND NOT regexp_full_match(path, 'en/9[^/]*|[^/]*/1[^/]2')""")
+def j16_globs(spark, sf):
+    """Paths of pages that globs pick and none that excludes rules out, the same globs for each host."""
+    pages = table(spark, sf, "pages")
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    paths = pages.select(host.alias("repo_id"), F.rtrim(F.regexp_extract("url", "^https?://[^/?#]*/([^?#]*)", 1), F.lit("/")).alias("path")).distinct()
+    globs = paths.select("repo_id").distinct().select("repo_id", F.explode(F.array(*map(F.lit, GLOBS))).alias("glob"))
+    return workspaces.matched(paths, globs)
+
+
 SCANNED = f"""s AS (SELECT repo_id, path, CAST(6 AS INTEGER) AS line, 'transport.insecure-http' AS rule, 'low' AS severity, aux AS in_test FROM c WHERE f = {R.TS} AND category = 'source'
 UNION ALL SELECT repo_id, path, CAST(1 AS INTEGER), 'docker.unpinned-base-image', 'low', aux FROM c WHERE f = {R.DOCKER} UNION ALL SELECT repo_id, path, CAST(4 AS INTEGER), 'docker.unpinned-base-image', 'low', aux FROM c WHERE f = {R.DOCKER}),
 z AS (SELECT repo_id, path, line, rule, CASE WHEN in_test THEN 'info' ELSE severity END AS severity, in_test FROM s)"""
