@@ -173,7 +173,10 @@ def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     return ("application/zip", whole) if whole else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    flags = b[at + 3] if at + 3 < len(b) else 0
+    if flags & 0xE0 or flags & 0x18 and marks.last_zero <= at:  # bits that mean nothing; a name or comment without an end
+        return None
     view, pos = memoryview(b), at
     try:
         inflate = zlib.decompressobj(31)
@@ -194,6 +197,7 @@ class Marks:
     def __init__(self, b: bytes) -> None:
         every = lambda mark: [m.start() for m in re.finditer(re.escape(mark), b)]
         self.eofs, self.crosses, self.heads = every(b"%%EOF"), every(b"startxref"), every(b"%PDF-")
+        self.last_zero = b.rfind(b"\0")
         self.archives: dict[int, int] = {}
         self.pages: dict[int, int | None] = {}  # where the stream of the Ogg page here ends, None if it doesn't
         self.images: dict[int, int | None] = {}  # the same for blocks of GIF
@@ -318,7 +322,7 @@ def sniffed(blob: bytes, find: ahocorasick.Automaton) -> list[tuple[str, int, in
         at = last + 1 - n
         if at < closed:
             continue
-        if kind in ("application/pdf", "application/zip", "audio/ogg", "image/gif"):
+        if kind in ("application/pdf", "application/zip", "application/gzip", "audio/ogg", "image/gif"):
             marks = marks or Marks(blob)
             found = VALIDATORS[kind](blob, at, marks)
         else:
