@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..plans.shared import stored
 from . import generic as G
 from .quality import python_facts
 from .structure import analyzed_files, classified
@@ -39,7 +40,6 @@ ROOTS = ("", "src", "lib", "source")
 STDLIB = tuple(sorted(sys.stdlib_module_names))
 
 
-
 def imports(contents: DataFrame) -> DataFrame:
     """repo_id, path, language, spec, level (of a relative Python import) of every import statement."""
     lang = P.classified_language(F.col("path"))
@@ -98,36 +98,49 @@ def candidates(found: DataFrame) -> DataFrame:
     return found.select("*", F.posexplode(every).alias("priority", "target"))
 
 
+def suffixes(parts: Column, sep: str = "/") -> Column:
+    """All suffixes of an array of names, joined by sep, and the path of what stands before each, as structs: suffix, root."""
+    every = F.sequence(F.lit(1), F.size(parts))
+    return F.transform(every, lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), sep).alias("suffix"), F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("root")))
+
+
 def absolute_python(found: DataFrame, known: DataFrame) -> DataFrame:
     """Outcomes of absolute Python imports. A dotted name matches a file from a root on the path: the repository's, a usual
-    source root, or a directory above the importer. The longest prefix that matches decides, one match being needed."""
-    files = known.filter(F.col("is_file") & F.col("target").endswith(".py"))
-    parts = F.split(F.regexp_replace(F.regexp_replace("target", r"\.py$", ""), r"/__init__$", ""), "/")
-    index = files.select("repo_id", "target", parts.alias("parts")).select("repo_id", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(F.array_join(F.slice("parts", i, F.size("parts")), ".").alias("dotted"), F.array_join(F.slice("parts", F.lit(1), i - 1), "/").alias("root")))).alias("k")).select("repo_id", "target", "k.*")
-    spaces = known.filter(~F.col("is_file")).select("repo_id", "target", F.split("target", "/").alias("parts")).select("repo_id", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(F.array_join(F.slice("parts", i, F.size("parts")), ".").alias("dotted"), F.array_join(F.slice("parts", F.lit(1), i - 1), "/").alias("root")))).alias("k")).select("repo_id", "target", "k.*")
-    index = index.withColumn("is_file", F.lit(True)).union(spaces.withColumn("is_file", F.lit(False)))
+    source root, or a directory above the importer. The longest prefix that matches decides, one match being needed.
+
+    Names are joined together with the root they start from, and the index has a row for each such pair, so a name that many
+    packages share (utils) meets the few roots of its importer and no others."""
+    is_file = F.col("is_file")
+    own_parts = F.when(is_file, F.split(F.regexp_replace(F.regexp_replace("target", r"\.py$", ""), r"/__init__$", ""), "/")).otherwise(F.split("target", "/"))
+    placed = known.filter(~is_file | F.col("target").endswith(".py")).select("repo_id", "is_file", "target", F.explode(suffixes(own_parts, ".")).alias("k"))
+    file, space = F.when(is_file, F.col("target")), F.when(~is_file, F.col("target"))
+    index = placed.groupBy("repo_id", "k.suffix", "k.root").agg(F.min(file).alias("first"), F.max(file).alias("last"), F.min(space).alias("space"))
     own = found.filter((F.col("language") == "Python") & (F.col("level") == 0))
-    head = F.element_at(F.split("spec", r"\."), 1)
-    open_ = own.filter(~head.isin(*STDLIB) & (F.col("spec") != ""))
-    tries = open_.select("id", "repo_id", "path", F.explode(F.transform(prefixes(F.split("spec", r"\.")), lambda p: F.struct(F.array_join(p, ".").alias("dotted"), F.size(p).alias("n")))).alias("k")).select("id", "repo_id", "path", "k.*")
-    roots = F.concat(F.array(*map(F.lit, ROOTS)), G.ancestors(F.col("path")))
-    hits = tries.join(index, ["repo_id", "dotted"]).filter(F.array_contains(roots, F.col("root")))
-    per = hits.groupBy("id", "n").agg(F.count_distinct(F.when(F.col("is_file"), F.col("target"))).alias("files"), F.min(F.when(F.col("is_file"), F.col("target"))).alias("file"), F.min_by("target", F.when(~F.col("is_file"), F.struct(F.length("root"), "root"))).alias("space"))
-    best = per.groupBy("id").agg(F.max_by(F.struct("files", "file", "space"), "n").alias("b"))
-    kind = F.when(F.col("b").isNull(), "external").when(F.col("b.files") > 1, "unresolved").otherwise("internal")
-    return own.join(best, "id", "left").select("id", kind.alias("kind"), F.when(kind == "internal", F.coalesce("b.file", "b.space")).alias("target"))
+    names = F.split("spec", r"\.")
+    open_ = own.filter(~F.element_at(names, 1).isin(*STDLIB) & (F.col("spec") != ""))
+    roots = F.array_distinct(F.concat(F.array(*map(F.lit, ROOTS)), G.ancestors(F.col("path"))))
+    starts = open_.select("id", "repo_id", names.alias("names"), F.explode(roots).alias("root"))
+    tries = starts.select("id", "repo_id", "root", F.explode(F.transform(prefixes(F.col("names")), lambda p: F.struct(F.array_join(p, ".").alias("suffix"), F.size(p).alias("n")))).alias("k")).select("id", "repo_id", "root", "k.*")
+    per = tries.join(index, ["repo_id", "suffix", "root"]).groupBy("id", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("space", F.when(F.col("space").isNotNull(), F.struct(F.length("root"), "root"))).alias("space"))
+    best = per.groupBy("id").agg(F.max_by(F.struct("first", "last", "space"), "n").alias("b"))
+    kind = F.when(F.col("b").isNull(), "external").when(F.col("b.first") < F.col("b.last"), "unresolved").otherwise("internal")
+    return own.join(best, "id", "left").select("id", kind.alias("kind"), F.when(kind == "internal", F.coalesce("b.first", "b.space")).alias("target"))
 
 
 def jvm(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Outcomes of JVM imports: a class's file, or a package's directory, by suffix; exactly one must match."""
-    own = found.filter(F.col("language").isin("Java", "Kotlin", "Scala")).withColumn("package", F.col("spec").endswith(".*"))
-    as_path = F.replace(F.regexp_replace("spec", r"\.\*$", ""), F.lit("."), F.lit("/"))
-    want = own.select("id", "repo_id", "package", as_path.alias("suffix")).withColumn("name", F.element_at(F.split("suffix", "/"), -1))
-    bare = F.regexp_replace("target", r"\.[^./]+$", "")
-    have = known.filter(~F.col("is_file") | F.col("target").rlike(r"\.(java|kt|scala)$")).select("repo_id", (~F.col("is_file")).alias("package"), "target", F.when(F.col("is_file"), bare).otherwise(F.col("target")).alias("own")).withColumn("name", F.element_at(F.split("own", "/"), -1))
-    hits = want.join(have, ["repo_id", "package", "name"]).filter(F.concat(F.lit("/"), "own").endswith(F.concat(F.lit("/"), "suffix")))
-    per = hits.groupBy("id").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-    return own.join(per, "id", "left").select("id", F.when(F.col("n").isNull(), "external").when(F.col("n") > 1, "unresolved").otherwise("internal").alias("kind"), F.when(F.col("n") == 1, F.col("target")).alias("target"))
+    """Outcomes of JVM imports: a class's file, or a package's directory, by suffix; exactly one must match.
+
+    The index has one row a suffix, with the first and the last of the paths that end in it: they differ if several do. So a
+    class name of which there are many (Utils) is a row of the join, and the counting ends before the shuffle."""
+    own = found.filter(F.col("language").isin("Java", "Kotlin", "Scala"))
+    want = own.select("id", "repo_id", F.col("spec").endswith(".*").alias("package"), F.replace(F.regexp_replace("spec", r"\.\*$", ""), F.lit("."), F.lit("/")).alias("suffix"))
+    is_file = F.col("is_file")
+    parts = F.split(F.when(is_file, F.regexp_replace("target", r"\.[^./]+$", "")).otherwise(F.col("target")), "/")
+    placed = known.filter(~is_file | F.col("target").rlike(r"\.(java|kt|scala)$")).select("repo_id", (~is_file).alias("package"), "target", F.explode(suffixes(parts)).alias("k"))
+    index = placed.groupBy("repo_id", "package", "k.suffix").agg(F.min("target").alias("first"), F.max("target").alias("last"))
+    hits = want.join(index, ["repo_id", "package", "suffix"]).select("id", "first", "last")
+    kind = F.when(F.col("first").isNull(), "external").when(F.col("first") < F.col("last"), "unresolved").otherwise("internal")
+    return own.join(hits, "id", "left").select("id", kind.alias("kind"), F.when(kind == "internal", F.col("first")).alias("target"))
 
 
 def go(found: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
@@ -185,9 +198,11 @@ def js_packages(found: DataFrame, contents: DataFrame) -> DataFrame:
 
 def resolved(tree: DataFrame, contents: DataFrame) -> DataFrame:
     """repo_id, path, language, spec, kind (internal, external, unresolved), target of every import."""
-    found = imports(contents).withColumn("id", F.xxhash64("repo_id", "path", "language", "spec", "level"))
+    # texts are read and parsed once; what follows joins narrow rows. 128 bits name an import among any number of them
+    key = F.unhex(F.md5(F.to_json(F.struct("repo_id", "path", "language", "spec", "level"))))
+    found = stored(imports(contents).withColumn("id", key))
     once = found.dropDuplicates(["id"])
-    known = nodes(tree)
+    known = stored(nodes(tree).distinct())
     by_place = candidates(once).join(known, ["repo_id", "target"])
     # a directory stands for a Python package without a file of its own; scripts and crates need files
     valid = by_place.filter(F.col("is_file") | (F.col("language") == "Python"))
