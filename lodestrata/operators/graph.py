@@ -188,12 +188,19 @@ def aliased(found: DataFrame, contents: DataFrame, known: DataFrame) -> DataFram
     return least.select("id").join(hit, "id", "left").select("id", F.when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("kind"), "target")
 
 
-def js_packages(found: DataFrame, contents: DataFrame) -> DataFrame:
-    """Outcomes of imports of workspace packages by name: nested packages only; others are external."""
-    own = found.filter(F.col("language").isin(*SCRIPTS) & ~F.col("spec").startswith("."))
-    package = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/]+)", 1)
-    named = contents.filter((P.name(F.col("path")) == "package.json") & F.col("path").contains("/")).select("repo_id", F.get_json_object("text", "$.name").alias("package"), P.parent(F.col("path")).alias("target")).filter("package is not null").groupBy("repo_id", "package").agg(F.max("target").alias("target"))
-    return own.withColumn("package", package).join(named, ["repo_id", "package"], "left").select("id", F.when(F.col("target").isNull(), "external").otherwise("internal").alias("kind"), "target")
+def js_packages(found: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
+    """Outcomes of imports of nested workspace packages by name; others are external. What follows the name is a file below
+    the package or its src; without such a file, the package's directory stands for the import."""
+    bare = F.element_at(F.split("spec", r"\?", 2), 1)
+    own = found.filter(F.col("language").isin(*SCRIPTS) & ~F.col("spec").startswith(".")).select("id", "repo_id", bare.alias("bare"), F.regexp_extract(bare, r"^(@[^/]+/[^/]+|[^/]+)", 1).alias("package"))
+    named = contents.filter((P.name(F.col("path")) == "package.json") & F.col("path").contains("/")).select("repo_id", F.get_json_object("text", "$.name").alias("package"), P.parent(F.col("path")).alias("root")).filter("package is not null").groupBy("repo_id", "package").agg(F.max("root").alias("root"))
+    placed = own.join(named, ["repo_id", "package"], "left").withColumn("sub", F.regexp_replace(F.substring(F.col("bare"), F.length("package") + 1, F.length("bare")), "^/+", ""))
+    root, sub = F.col("root"), F.col("sub")
+    places = F.concat(script_places(joined(root, sub)), script_places(joined(root, F.lit("src"), sub)))
+    tried = placed.filter("root is not null and sub <> ''").select("id", "repo_id", F.posexplode(places).alias("nth", "target"))
+    files = known.filter("is_file").select("repo_id", "target")
+    hit = tried.join(files, ["repo_id", "target"]).groupBy("id").agg(F.min_by("target", "nth").alias("file"))
+    return placed.join(hit, "id", "left").select("id", F.when(root.isNull(), "external").otherwise("internal").alias("kind"), F.coalesce("file", "root").alias("target"))
 
 
 def resolved(tree: DataFrame, contents: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def resolved(tree: DataFrame, contents: DataFrame) -> DataFrame:
     placed = candidates(once).select("id").distinct().join(first, "id", "left").select("id", F.when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("kind"), "target")
     by_alias = aliased(once, contents, known)
     outside = once.filter((F.col("language") == "Rust") & ~F.array_contains(P.directories(F.col("path")), "src")).select("id", F.lit("unresolved").alias("kind"), F.lit(None).cast("string").alias("target"))
-    every = placed.unionByName(absolute_python(once, known)).unionByName(jvm(once, known)).unionByName(go(once, contents, known)).unionByName(by_alias).unionByName(js_packages(once, contents).join(by_alias.select("id"), "id", "left_anti")).unionByName(outside)
+    every = placed.unionByName(absolute_python(once, known)).unionByName(jvm(once, known)).unionByName(go(once, contents, known)).unionByName(by_alias).unionByName(js_packages(once, contents, known).join(by_alias.select("id"), "id", "left_anti")).unionByName(outside)
     return found.join(every, "id").select("repo_id", "path", "language", "spec", "kind", "target")
 
 

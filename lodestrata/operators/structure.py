@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths as P
+from ..plans.shared import stored
 from . import generic as G
 
 
@@ -91,65 +91,38 @@ def analyze(tree: DataFrame, max_file_bytes: int = 400_000) -> Structure:
     )
 
 
-NODES = "repo_id string, rank int, path string, parent string, name string, type string, size long, files long, ignored boolean, omitted_children int"
+def tree_nodes(tree: DataFrame) -> DataFrame:
+    """repo_id, path, type, size, files, ignored of every node: listed entries, directories above them, and the root (an empty
+    path). What lies in an ignored directory is counted in it and in all above, and isn't a node. A path is listed once."""
+    root = P.ignored_root(F.col("path"), F.col("type") == "dir")
+    is_file = F.col("type") == "file"
+    entries = tree.filter("path is not null").select(
+        "repo_id", F.coalesce(root, F.col("path")).alias("at"), F.when(root.isNull() & (F.col("type") != "dir"), F.col("type")).alias("leaf"),
+        F.when(is_file, F.col("size")).otherwise(0).cast("long").alias("bytes"), is_file.cast("long").alias("file"), (root.isNotNull() & F.col("type").isin("dir", "file")).alias("hidden"),
+    )
+    own = F.struct(F.col("at").alias("path"), F.col("leaf"), F.col("hidden"))
+    above = F.transform(F.concat(F.array(F.lit("")), G.ancestors(F.col("at"))), lambda p: F.struct(p.alias("path"), F.lit(None).cast("string").alias("leaf"), F.lit(False).alias("hidden")))
+    each = entries.select("repo_id", "bytes", "file", F.explode(F.concat(above, F.array(own))).alias("n"))
+    summed = each.groupBy("repo_id", "n.path").agg(F.max("n.leaf").alias("leaf"), F.sum("bytes").alias("size"), F.sum("file").alias("files"), F.bool_or("n.hidden").alias("ignored"))
+    return summed.select("repo_id", "path", F.coalesce("leaf", F.lit("dir")).alias("type"), "size", F.when(F.col("leaf").isNull(), F.col("files")).otherwise(0).alias("files"), "ignored")
 
 
 def bounded_tree(tree: DataFrame, budget: int = C.NODE_BUDGET) -> DataFrame:
-    """A repository's nodes in breadth-first order, directories first, up to budget; a node tells how many of its children
-    were left out. A tree has a bounded number of entries (see sanitized), so one meets in a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes: dict[str, dict] = {}
-        children: dict[str, list[str]] = {"": []}
-
-        def put(path: str, kind: str, size: int) -> None:
-            up = path.rpartition("/")[0]
-            if up and up not in nodes:
-                put(up, "dir", 0)
-            if path not in nodes:
-                nodes[path] = {"type": kind, "size": size, "files": 0, "ignored": False}
-                children.setdefault(up, []).append(path)
-            elif kind != "dir":
-                nodes[path].update(type=kind, size=size)
-
-        hidden: dict[str, list[int]] = {}
-        for r in pdf.sort_values("ord").itertuples():
-            root = r.ignored_root if isinstance(r.ignored_root, str) else None
-            if root:
-                put(root, "dir", 0)
-                if r.type in ("dir", "file"):
-                    seen = hidden.setdefault(root, [0, 0])
-                    seen[0] += r.type == "file"
-                    seen[1] += r.size if r.type == "file" else 0
-            else:
-                put(r.path, r.type, int(r.size) if r.type == "file" else 0)
-        for path, (files, size) in hidden.items():
-            nodes[path].update(ignored=True, files=files, size=size)
-        for path in sorted(nodes, key=lambda p: -p.count("/")):
-            node, up = nodes[path], path.rpartition("/")[0]
-            if up and not nodes[up]["ignored"] and node["type"] in ("file", "dir"):
-                nodes[up]["size"] += node["size"]
-                nodes[up]["files"] += node["files"] if node["type"] == "dir" else 1
-        out, level, left = [], [""], budget
-        omitted: dict[str, int] = {}
-        while level:
-            after = []
-            for up in level:
-                below = sorted(children.get(up, []), key=lambda p: (nodes[p]["type"] != "dir", p.rpartition("/")[2].lower()))
-                for path in below[:left]:
-                    node = nodes[path]
-                    out.append([path, up, path.rpartition("/")[2], node["type"], node["size"], node["files"], node["ignored"]])
-                    if node["type"] == "dir" and not node["ignored"]:
-                        after.append(path)
-                omitted[up] = max(0, len(below) - left)
-                left = max(0, left - len(below))
-            level = after
-        repo = pdf["repo_id"].iloc[0]
-        top = [nodes[p] for p in children[""] if nodes[p]["type"] in ("file", "dir")]
-        whole = sum(x["size"] for x in top), sum(x["files"] if x["type"] == "dir" else 1 for x in top)
-        rows = [(repo, 0, "", None, "", "dir", *whole, False, omitted.get("", 0))]
-        rows += [(repo, i, *x, omitted.get(x[0], 0)) for i, x in enumerate(out, 1)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-
-    rows = tree.withColumn("ignored_root", P.ignored_root(F.col("path"), F.col("type") == "dir"))
-    return rows.select("repo_id", "ord", "path", "type", "size", "ignored_root").groupBy("repo_id").applyInPandas(run, NODES)
+    """A repository's nodes in breadth-first order, directories first, then by name in lower case (equal ones by name), up to
+    budget: repo_id, rank (0: the root), path, parent, name, type, size, files, ignored, omitted_children. The last is the
+    number of a node's children that were left out; what is below a node that was left out is neither shown nor counted.
+
+    Nodes of one depth follow their parents' order, so their place is that of the names above them, compared one by one: the
+    walk is a sort by depth and names, within a repository, whose entries are capped (see sanitized). Up to the threshold of
+    spark.sql.optimizer.windowGroupLimitThreshold each task keeps its first `budget` rows of it before they are shuffled."""
+    nodes = stored(tree_nodes(tree))
+    parts = F.split("path", "/")
+    n = F.size(parts)
+    named = nodes.filter("path <> ''").select("*", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, F.lit(1), n - 1), "/").alias("parent"), n.alias("_depth"), F.transform(F.slice(parts, F.lit(1), n - 1), lambda x: F.struct(F.lower(x), x)).alias("_above"))
+    shown = G.cap_per_group(named, ["repo_id"], ["_depth", "_above", F.col("type") != "dir", F.lower("name"), "name"], budget, "rank")
+    top = nodes.filter("path = ''").select("repo_id", F.lit(0).alias("rank"), "path", F.lit(None).cast("string").alias("parent"), F.lit("").alias("name"), "type", "size", "files", "ignored")
+    kept = shown.select(*top.columns).unionByName(top)
+    children = lambda df, name: df.filter("parent is not null").groupBy("repo_id", F.col("parent").alias("path")).agg(F.count(F.lit(1)).alias(name))
+    counts = children(named, "_all").join(children(kept, "_shown"), ["repo_id", "path"], "left")
+    left_out = (F.coalesce("_all", F.lit(0)) - F.coalesce("_shown", F.lit(0))).cast("int")
+    return kept.join(counts, ["repo_id", "path"], "left").select("repo_id", "rank", "path", "parent", "name", "type", "size", "files", "ignored", left_out.alias("omitted_children"))
