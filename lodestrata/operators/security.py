@@ -1,6 +1,8 @@
 """Security indicators: rules over lines, sensitive files, environment variables and hygiene of .gitignore.
 
-All rules of a line are tried in one projection; there is no join of rules and lines. What is shown of a secret is redacted.
+All rules of a line are tried in one projection; there is no join of rules and lines. A rule's pattern is tried only on lines
+that hold one of its literals, and texts and lines without any literal are left out first. What is shown of a secret is
+redacted.
 """
 
 from __future__ import annotations
@@ -93,6 +95,30 @@ PUBLIC_OK = "PUBLISHABLE|PUBLIC_KEY|ANON_KEY|SITE_KEY|RECAPTCHA|MAPS|ANALYTICS"
 SEVERITIES = ("high", "medium", "low", "info")
 
 
+# Literals of which a line that a rule matches has one, in lower case. They are looked for before the pattern is tried.
+NEEDS = {
+    "secret.private-key": ("-----begin ",), "secret.aws-access-key": ("akia", "asia"), "secret.github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    "secret.slack-token": ("xox",), "secret.stripe-live-key": ("_live_",), "secret.google-api-key": ("aiza",), "secret.llm-api-key": ("sk-",), "secret.npm-token": ("npm_",),
+    "secret.sendgrid-key": ("sg.",), "secret.connection-string": ("://",), "secret.generic-assignment": ("passw", "pwd", "secret", "key", "token"),
+    "code.python-eval": ("eval", "exec"), "code.python-shell-true": ("subprocess.",), "code.python-os-system": ("os.system",), "code.python-pickle": ("pickle.load", "dill.load"),
+    "code.python-yaml-load": ("yaml.load",), "code.tls-verify-disabled": ("verify", "rejectunauthorized", "node_tls_reject_unauthorized", "curlopt_ssl_verifypeer"),
+    "code.js-eval": ("eval", "function"), "code.js-inner-html": ("dangerouslysetinnerhtml", "html"), "code.js-child-process": ("exec",),
+    "code.php-dangerous": ("eval", "unserialize", "shell_exec", "passthru", "system", "exec"), "code.cors-wildcard": ("access-control-allow-origin", "allow_origins", "origin"),
+    "config.debug-enabled": ("debug",), "docker.curl-pipe-shell": ("curl", "wget"), "ci.pull-request-target": ("pull_request_target",), "ci.script-injection": ("github.event.", "${{"),
+    "ci.unpinned-action": ("uses:",), "ci.write-all-permissions": ("write-all",), "transport.insecure-http": ("http://",),
+}
+
+
+def literals() -> list[str]:
+    """All of them, each once and none that holds another: whoever has none of these has no match of any rule."""
+    every = sorted({x for need in NEEDS.values() for x in need}, key=lambda x: (len(x), x))
+    return [x for i, x in enumerate(every) if not any(y in x for y in every[:i])]
+
+
+def has_one(lowered: Column, of: tuple[str, ...] | list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [lowered.contains(x) for x in of])
+
+
 def applies(rule: Rule, path: Column, language: Column) -> Column:
     if rule.files:
         return reduce(lambda a, b: a | b, [path.startswith(f) if f.endswith("/") else P.name(path).startswith(f) for f in rule.files])
@@ -114,21 +140,26 @@ def scan(contents: DataFrame) -> DataFrame:
     a rule and file, the first ones."""
     path = F.col("path")
     files = contents.withColumns({"category": P.category(path), "language": P.classified_language(path), "in_test": P.is_test(path) | P.is_auxiliary(path)}).filter(~F.col("category").isin("binary", "asset", "lockfile"))
-    lines = files.select("repo_id", "path", "category", "language", "in_test", F.posexplode(T.lines(F.col("text"))).alias("line", "raw")).withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, C.MAX_LINE)})
-    raw, docs = F.col("raw"), F.col("category") == "documentation"
+    # most texts and most lines have none of the literals: they end here, before any pattern is tried
+    every = literals()
+    some = files.filter(has_one(F.lower("text"), every))
+    lines = some.select("repo_id", "path", "category", "language", "in_test", F.posexplode(T.lines(F.col("text"))).alias("line", "raw")).withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, C.MAX_LINE)})
+    lines = lines.withColumn("low", F.lower("raw")).filter(has_one(F.col("low"), every))
+    raw, low, docs = F.col("raw"), F.col("low"), F.col("category") == "documentation"
+    needs = lambda rule: has_one(low, NEEDS[rule.id])
     hits = []
     for n, rule in enumerate(SECRETS):
         severity: Column = F.lit(rule.severity)
-        found = raw.rlike(rule.pattern)
+        found = needs(rule) & raw.rlike(rule.pattern)
         if rule.id == "secret.connection-string":
             found = found & ~F.regexp_extract(raw, rule.pattern, 1).rlike(PLACEHOLDER)
             severity = F.when(F.regexp_extract(raw, rule.pattern, 2).rlike(LOCAL_HOST), "low").otherwise("medium")
         hits.append(F.array(F.when(found, hit(rule, severity, n))))
     values = F.filter(F.regexp_extract_all(raw, F.lit(ASSIGNMENT), F.lit(2)), lambda v: ~v.rlike(PLACEHOLDER) & (T.entropy(v) >= 3.0))
-    hits.append(F.transform(F.when(docs, F.array().cast("array<string>")).otherwise(values), lambda v, i: hit(OTHERS[0], F.lit("medium"), 50, i)))
+    hits.append(F.transform(F.when(~docs & needs(OTHERS[0]), values).otherwise(F.array().cast("array<string>")), lambda v, i: hit(OTHERS[0], F.lit("medium"), 50, i)))
     bare = F.regexp_replace(raw, LITERAL, " ")
     for n, rule in enumerate(CODE, 100):
-        hits.append(F.array(F.when(~docs & applies(rule, path, F.col("language")) & (bare if rule.languages else raw).rlike(rule.pattern), hit(rule, F.lit(rule.severity), n))))
+        hits.append(F.array(F.when(~docs & applies(rule, path, F.col("language")) & needs(rule) & (bare if rule.languages else raw).rlike(rule.pattern), hit(rule, F.lit(rule.severity), n))))
     hosts = F.regexp_extract_all(raw, F.lit(OTHERS[1].pattern), F.lit(1))
     plain = F.col("category").isin("source", "config") & raw.contains("http://") & F.exists(hosts, lambda h: ~h.rlike(SAFE_HOST))
     hits.append(F.array(F.when(plain, hit(OTHERS[1], F.lit("low"), 200))))
