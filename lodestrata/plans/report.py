@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, structure, workspaces
+from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, structure, views, workspaces
+from ..sources import documents as D
+from ..sources.export import CAPS
 
 ARTIFACTS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "coverage")
 BOTS = (".github/dependabot.yml", ".github/dependabot.yaml", "renovate.json", ".renovaterc", ".renovaterc.json", ".github/renovate.json", "renovate.json5")
@@ -97,3 +99,45 @@ def report(s: Snapshot, now: Column) -> Report:
     checks = health.scored_checks(facts)
     dimensions = health.dimensions(checks)
     return Report(made, languages.stats(s.tree, s.contents), deps, readmes, found, architecture.frameworks(s.tree, deps.dependencies), modules, outcomes, edges, entries, facts, checks, dimensions, health.overall(dimensions))
+
+
+def blocks(s: Snapshot, r: Report) -> DataFrame:
+    """A report's document: what each analysis found, as blocks of documents.py. repos may hold description and html_url."""
+    count = lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0)), 0)
+    said = lambda c, other: F.coalesce(c.cast("string"), F.lit(other))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    named = lambda df, name, title: df.groupBy("repo_id").agg(text(f"{title}: ", F.concat_ws(", ", F.array_sort(F.collect_set(name)))).alias("said"))
+    repos, totals, deps = s.repos, r.structure.totals, r.dependencies
+    quality_totals = quality.totals(s.tree, s.contents)
+    labels = [(c, label) for c, label in (("html_url", "Repository"), ("license_spdx", "License"), ("pushed_at", "Last push"), ("archived", "Archived")) if c in repos.columns]
+    fields = repos.select("repo_id", F.posexplode(F.array(*[F.struct(F.lit(label).alias("field"), said(F.col(c), "—").alias("value")) for c, label in labels])).alias("n", "f"))
+    place = F.concat("path", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")))
+    rank = F.array_position(F.array(*map(F.lit, security.SEVERITIES)), F.col("severity"))
+    parts = [
+        D.said(repos, 10, F.coalesce("description", F.lit("No description.")) if "description" in repos.columns else "No description."),
+        D.listing(fields, 11, {"Field": F.col("f.field"), "Value": F.col("f.value")}, ["n"], len(labels)),
+        D.heading(repos, 20, "Health indicators"),
+        D.said(r.overall, 21, text("Overall: ", said(F.col("overall"), "n/a"), " (unweighted mean of applicable dimensions).")),
+        D.listing(r.dimensions, 22, {"Dimension": F.col("dimension"), "Score": said(F.col("score"), "n/a")}, ["dimension"], 20, ["Score"]),
+        D.listing(r.checks, 23, {"Check": F.col("id"), "Result": F.when(F.col("passed"), "pass").otherwise("fail"), "Points": F.col("points")}, ["id"], 200, ["Points"]),
+        D.heading(totals, 30, "Structure"),
+        D.bullets(totals, 31, text(count("total_files"), " files (", count("analyzed_files"), " analyzed, ", count("ignored_files"), " in ignored directories)"), text(count("total_directories"), " directories, max depth ", F.col("max_depth").cast("string")), text("Size: ", views.compact_bytes(F.col("total_size_bytes")))),
+        D.listing(r.structure.categories, 32, {"Category": F.col("category"), "Files": count("files")}, [F.desc("files"), "category"], 20, ["Files"]),
+        D.listing(r.structure.ignored_directories, 33, {"Ignored directory": F.col("path"), "Files": count("files")}, [F.desc("files"), "path"], 50, ["Files"]),
+        D.heading(r.languages.select("repo_id").distinct(), 40, "Languages"),
+        D.listing(r.languages, 41, {"Language": F.col("language"), "Files": count("files"), "Lines": text(F.when(F.col("lines_estimated"), "≈").otherwise(""), count("lines")), "Share of bytes": text(F.round("percent_of_bytes", 1).cast("string"), "%")}, [F.desc("bytes"), "language"], CAPS["languages"], ["Files", "Lines", "Share of bytes"]),
+        D.heading(deps.totals, 50, "Dependencies"),
+        D.said(deps.totals, 51, text(count("total"), " declarations, ", count("unconstrained"), " without a version constraint.")),
+        D.listing(deps.ecosystems, 52, {"Ecosystem": F.col("ecosystem"), "Lockfile": F.when(F.col("has_lockfile"), "yes").otherwise("no")}, ["ecosystem"], 50),
+        D.listing(deps.dependencies, 53, {"Package": F.col("name"), "Version": said(F.col("version"), "—"), "Scope": F.col("scope"), "Ecosystem": F.col("ecosystem"), "Manifest": F.col("manifest")}, ["ecosystem", "manifest", "scope", "name"], CAPS["dependencies"]),
+        D.heading(quality_totals, 60, "Code quality"),
+        D.bullets(quality_totals, 61, text(count("source_files"), " source files, ", count("test_files"), " test files"), text(count("long_file_count"), " long files")),
+        D.listing(quality.hotspots(s.contents), 62, {"Location": place, "Complexity": F.col("complexity")}, [F.desc("complexity"), "path", "line"], CAPS["hotspots"], ["Complexity"]),
+        D.heading(repos, 70, "Security indicators"),
+        D.listing(r.findings.filter("not in_test"), 71, {"Severity": F.col("severity"), "Indicator": F.col("rule"), "Location": place, "Evidence (redacted)": F.col("evidence")}, [rank, "category", "path", F.coalesce("line", F.lit(0)), "rule"], CAPS["findings"]),
+        D.heading(repos, 80, "Architecture"),
+        D.bullets(named(r.frameworks, "framework", "Frameworks"), 81, F.col("said")),
+        D.bullets(named(r.entry_points, "path", "Entry points"), 82, F.col("said")),
+        D.listing(graph.module_edges(r.edges, r.modules.select("repo_id", "module")), 83, {"From module": F.col("src"), "To module": F.col("dst"), "Resolved imports": F.col("weight")}, [F.desc("weight"), "src", "dst"], CAPS["modules"], ["Resolved imports"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -1,13 +1,10 @@
-"""Reports as files: JSON, newline-delimited JSON, Markdown and HTML.
+"""Reports as JSON, newline-delimited JSON and digests; documents.py renders them as Markdown and HTML.
 
-Tables of a report are capped before they are rendered, so what the driver holds of a repository is bounded.
+Tables of a report are capped before their rows meet.
 """
 
 from __future__ import annotations
 
-import html
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,40 +50,3 @@ def digest(lists: dict[str, tuple[DataFrame, list]], limit: int = 200) -> DataFr
 
 def schema_json(df: DataFrame) -> str:
     return df.schema.json()
-
-
-def file_name(full_name: str, form: str) -> str:
-    return f"{re.sub('[^A-Za-z0-9._-]+', '-', full_name)}-report.{ {'markdown': 'md'}.get(form, form) }"
-
-
-def capped(df: DataFrame, kind: str, order: list) -> DataFrame:
-    from ..operators.generic import cap_per_group
-
-    return cap_per_group(df, ["repo_id"], order, CAPS[kind])
-
-
-def markdown(title: str, tables: dict[str, tuple[list[str], list[tuple]]]) -> str:
-    clean = lambda x: re.sub(r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\\1", "" if x is None else str(x)).replace("\n", " ")
-    out = [f"# {clean(title)}"]
-    for name, (columns, rows) in tables.items():
-        out += ["", f"## {clean(name)}", "", "| " + " | ".join(map(clean, columns)) + " |", "|" + " --- |" * len(columns)]
-        out += ["| " + " | ".join(map(clean, r)) + " |" for r in rows]
-    return "\n".join(out) + "\n"
-
-
-def page(title: str, tables: dict[str, tuple[list[str], list[tuple]]]) -> str:
-    clean = lambda x: html.escape("" if x is None else str(x))
-    out = [f"<!doctype html><meta charset=utf-8><title>{clean(title)}</title><h1>{clean(title)}</h1>"]
-    for name, (columns, rows) in tables.items():
-        head = "".join(f"<th>{clean(c)}" for c in columns)
-        body = "".join("<tr>" + "".join(f"<td>{clean(x)}" for x in r) for r in rows)
-        out.append(f"<h2>{clean(name)}</h2><table><tr>{head}{body}</table>")
-    return "".join(out)
-
-
-def rendered(spark, title: str, tables: dict[str, DataFrame], form: str = "markdown") -> str:  # noqa: ANN001
-    """One repository's tables, already capped, as a document."""
-    whole = {name: (df.columns, [tuple(r) for r in df.collect()]) for name, df in tables.items()}
-    return (markdown if form == "markdown" else page)(title, whole)
-
-

@@ -3,7 +3,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lodestrata.operators import health, views
-from lodestrata.plans.report import Snapshot, report
+from lodestrata.plans.report import Snapshot, blocks, report
+from lodestrata.plans.shared import stored
+from lodestrata.sources import documents
 from tests.test_analyses import contents_of, rows, tree_of
 
 FILES = {
@@ -30,6 +32,19 @@ def test_golden_repository(spark):
     assert {("app/api/routes.py", "app/services/core.py"), ("tests/test_core.py", "app/services/core.py"), ("main.py", "app/api/routes.py")} <= edges
 
 
+def test_document_of_a_repository(spark):
+    """Of blocks made by several jobs: one plan of all analyses would be a slow one to make."""
+    tree, contents = stored(tree_of(spark, FILES, 100)), stored(contents_of(spark, {p: t for p, t in FILES.items() if "node_modules" not in p}))
+    repos = stored(spark.createDataFrame([("r", "MIT", False, datetime(2024, 1, 1), datetime(2024, 1, 1), "A demo", "https://x.org/r")], "repo_id string, license_spdx string, archived boolean, pushed_at timestamp, head_commit_date timestamp, description string, html_url string"))
+    snapshot = Snapshot(repos, tree, contents)
+    every = blocks(snapshot, report(snapshot, F.lit("2024-01-15").cast("timestamp")))
+    body = documents.documents(repos.select("repo_id", F.lit("Report: r").alias("title"), F.lit("0123456").alias("subtitle")), every).first().body
+    assert body.startswith("# Report: r\n\n_0123456_\n\nA demo\n\n| Field | Value |\n| --- | --- |\n| Repository | https://x.org/r |\n| License | MIT |\n")
+    assert [x[3:] for x in body.splitlines() if x.startswith("## ")] == ["Health indicators", "Structure", "Languages", "Dependencies", "Code quality", "Security indicators", "Architecture"]
+    for line in ("| documentation | 90 |", "| tests.exist", "- 15 files (14 analyzed, 1 in ignored directories)", "| fastapi | >=1 |".replace(">", "\\>"), "| PyPI |", "- Frameworks: ", "- Entry points: "):
+        assert line in body, (line, body)
+
+
 def test_views(spark):
     stats = spark.createDataFrame([("r", "a", "programming", 60), ("r", "b", "prose", 30), ("r", "c", "programming", 10), ("r", "d", "programming", 5)], "repo_id string, language string, kind string, bytes long")
     assert rows(views.languages(stats), "language", "percent_of_bytes") == [("a", 80.0), ("c", 10 / 75 * 100), ("d", 5 / 75 * 100)]
