@@ -12,6 +12,7 @@ from ..functions import paths as P
 from ..operators import architecture, dependencies, documentation, graph, health, languages, quality, security, structure, views, workspaces
 from ..sources import documents as D
 from ..sources.export import CAPS
+from .shared import stored
 
 ARTIFACTS = ("node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "coverage")
 BOTS = (".github/dependabot.yml", ".github/dependabot.yaml", "renovate.json", ".renovaterc", ".renovaterc.json", ".github/renovate.json", "renovate.json5")
@@ -108,6 +109,9 @@ def blocks(s: Snapshot, r: Report) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     named = lambda df, name, title: df.groupBy("repo_id").agg(text(f"{title}: ", F.concat_ws(", ", F.array_sort(F.collect_set(name)))).alias("said"))
     repos, totals, deps = s.repos, r.structure.totals, r.dependencies
+    # the facts of all analyses lie behind these two: made once, in jobs of their own
+    checks, edges = stored(r.checks), stored(r.edges)
+    dimensions = health.dimensions(checks)
     quality_totals = quality.totals(s.tree, s.contents)
     labels = [(c, label) for c, label in (("html_url", "Repository"), ("license_spdx", "License"), ("pushed_at", "Last push"), ("archived", "Archived")) if c in repos.columns]
     fields = repos.select("repo_id", F.posexplode(F.array(*[F.struct(F.lit(label).alias("field"), said(F.col(c), "—").alias("value")) for c, label in labels])).alias("n", "f"))
@@ -117,9 +121,9 @@ def blocks(s: Snapshot, r: Report) -> DataFrame:
         D.said(repos, 10, F.coalesce("description", F.lit("No description.")) if "description" in repos.columns else "No description."),
         D.listing(fields, 11, {"Field": F.col("f.field"), "Value": F.col("f.value")}, ["n"], len(labels)),
         D.heading(repos, 20, "Health indicators"),
-        D.said(r.overall, 21, text("Overall: ", said(F.col("overall"), "n/a"), " (unweighted mean of applicable dimensions).")),
-        D.listing(r.dimensions, 22, {"Dimension": F.col("dimension"), "Score": said(F.col("score"), "n/a")}, ["dimension"], 20, ["Score"]),
-        D.listing(r.checks, 23, {"Check": F.col("id"), "Result": F.when(F.col("passed"), "pass").otherwise("fail"), "Points": F.col("points")}, ["id"], 200, ["Points"]),
+        D.said(health.overall(dimensions), 21, text("Overall: ", said(F.col("overall"), "n/a"), " (unweighted mean of applicable dimensions).")),
+        D.listing(dimensions, 22, {"Dimension": F.col("dimension"), "Score": said(F.col("score"), "n/a")}, ["dimension"], 20, ["Score"]),
+        D.listing(checks, 23, {"Check": F.col("id"), "Result": F.when(F.col("passed"), "pass").otherwise("fail"), "Points": F.col("points")}, ["id"], 200, ["Points"]),
         D.heading(totals, 30, "Structure"),
         D.bullets(totals, 31, text(count("total_files"), " files (", count("analyzed_files"), " analyzed, ", count("ignored_files"), " in ignored directories)"), text(count("total_directories"), " directories, max depth ", F.col("max_depth").cast("string")), text("Size: ", views.compact_bytes(F.col("total_size_bytes")))),
         D.listing(r.structure.categories, 32, {"Category": F.col("category"), "Files": count("files")}, [F.desc("files"), "category"], 20, ["Files"]),
@@ -138,6 +142,6 @@ def blocks(s: Snapshot, r: Report) -> DataFrame:
         D.heading(repos, 80, "Architecture"),
         D.bullets(named(r.frameworks, "framework", "Frameworks"), 81, F.col("said")),
         D.bullets(named(r.entry_points, "path", "Entry points"), 82, F.col("said")),
-        D.listing(graph.module_edges(r.edges, r.modules.select("repo_id", "module")), 83, {"From module": F.col("src"), "To module": F.col("dst"), "Resolved imports": F.col("weight")}, [F.desc("weight"), "src", "dst"], CAPS["modules"], ["Resolved imports"]),
+        D.listing(graph.module_edges(edges, r.modules.select("repo_id", "module")), 83, {"From module": F.col("src"), "To module": F.col("dst"), "Resolved imports": F.col("weight")}, [F.desc("weight"), "src", "dst"], CAPS["modules"], ["Resolved imports"]),
     ]
     return reduce(DataFrame.unionByName, parts)
