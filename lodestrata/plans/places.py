@@ -62,7 +62,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     wild = F.when(t % 2 == 0, join("com.n", s(7, t))).otherwise(join("mod", s(13, t), ".src.com.n", s(7, t)))
     text = (
         F.when(k % 6 == 0, join("import com.n", s(5, t), ".C", s(50, t), ";\nimport ", wild, ".*;\n")).when(k % 6 == 1, join('import "ex.com/svc', s(9, k + 1), "/pkg", s(8, t), '"\n'))
-        .when(k % 6 == 2, join("use crate::m", s(25), "::r", (k - 30).cast("string"), "::Thing;\n")).when(k % 6 == 3, join("from ..s", s(7, t), ".p", (k - 60).cast("string"), " import x\n"))
+        .when(k % 6 == 2, join("use crate::m", s(25), "::r", (k + 30).cast("string"), "::Thing;\n")).when(k % 6 == 3, join("from ..s", s(7, t), ".p", (k + 60).cast("string"), " import x\n"))
         .when(k % 6 == 4, join("import utils.u", s(40, t), "\n")).otherwise(join("module ex.com/", F.element_at(F.split("path", "/"), 1), "\n"))
     )
     return files.select("repo_id", "path", text.alias("text"))
@@ -78,14 +78,13 @@ jvm AS (SELECT j.repo_id, j.path, 'Java' AS language, j.spec, CASE count(h.path)
  FROM j LEFT JOIN have h ON h.repo_id = j.repo_id AND NOT j.package AND ends_with('/' || h.own, '/' || replace(j.spec, '.', '/')) GROUP BY ALL),
 g AS (SELECT repo_id, path, 'svc' || ((k + 1) % 9) AS svc, 'pkg' || (t % 8) AS pkg FROM f WHERE kind = 1),
 go AS (SELECT g.repo_id, g.path, 'Go', 'ex.com/' || g.svc || '/' || g.pkg, CASE WHEN m.path IS NULL THEN 'external' WHEN d.path IS NULL THEN 'unresolved' ELSE 'internal' END, CASE WHEN m.path IS NOT NULL THEN d.path END FROM g LEFT JOIN f m ON m.repo_id = g.repo_id AND m.path = g.svc || '/go.mod' LEFT JOIN dirs d ON d.repo_id = g.repo_id AND d.path = g.svc || '/' || g.pkg),
-rust AS (SELECT a.repo_id, a.path, 'Rust', 'm' || (a.k % 25) || '::r' || (a.k - 30) || '::Thing', CASE WHEN b.path IS NULL THEN 'unresolved' ELSE 'internal' END, b.path FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.path = 'cr' || (a.k % 3) || '/src/m' || (a.k % 25) || '/r' || (a.k - 30) || '.rs' WHERE a.kind = 2 AND a.k >= 30),
-rel AS (SELECT a.repo_id, a.path, 'Python', 's' || (a.t % 7) || '.p' || (a.k - 60) || '.x', 'internal', coalesce(b.path, d.path, 'pk' || (a.k % 4)) FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.path = 'pk' || (a.k % 4) || '/s' || (a.t % 7) || '/p' || (a.k - 60) || '.py' LEFT JOIN dirs d ON d.repo_id = a.repo_id AND d.path = 'pk' || (a.k % 4) || '/s' || (a.t % 7) WHERE a.kind = 3 AND a.k >= 60),
+rust AS (SELECT a.repo_id, a.path, 'Rust', 'm' || (a.k % 25) || '::r' || (a.k + 30) || '::Thing', CASE WHEN b.path IS NULL THEN 'unresolved' ELSE 'internal' END, b.path FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.path = 'cr' || (a.k % 3) || '/src/m' || (a.k % 25) || '/r' || (a.k + 30) || '.rs' WHERE a.kind = 2),
+rel AS (SELECT a.repo_id, a.path, 'Python', 's' || (a.t % 7) || '.p' || (a.k + 60) || '.x', 'internal', coalesce(b.path, d.path, 'pk' || (a.k % 4)) FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.path = 'pk' || (a.k % 4) || '/s' || (a.t % 7) || '/p' || (a.k + 60) || '.py' LEFT JOIN dirs d ON d.repo_id = a.repo_id AND d.path = 'pk' || (a.k % 4) || '/s' || (a.t % 7) WHERE a.kind = 3),
 absolute AS (SELECT a.repo_id, a.path, 'Python', 'utils.u' || (a.t % 40), 'internal', coalesce(b.path, string_split(a.path, '/')[1] || '/utils') FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.path = string_split(a.path, '/')[1] || '/utils/u' || (a.t % 40) || '.py' WHERE a.kind = 4)
 SELECT * FROM jvm UNION ALL SELECT * FROM go UNION ALL SELECT * FROM rust UNION ALL SELECT * FROM rel UNION ALL SELECT * FROM absolute""")
 def g02_resolved_by_suffix(spark, sf):
     """Java (ambiguous classes among them), Go, Rust, relative and absolute Python imports. The fixed pattern of an import reads
     a wildcard up to its last dot, so it is external."""
-    contents = sources(spark, sf).filter(~F.col("text").rlike("r-|p-"))
-    whole = sources(spark, sf)
-    tree = whole.select("repo_id", F.lit(0).alias("ord"), "path", F.lit("file").alias("type"), F.length("text").cast("long").alias("size"))
+    contents = sources(spark, sf)
+    tree = contents.select("repo_id", F.lit(0).alias("ord"), "path", F.lit("file").alias("type"), F.length("text").cast("long").alias("size"))
     return graph.resolved(tree, contents)
