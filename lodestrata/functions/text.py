@@ -54,17 +54,6 @@ def host(url: Column) -> Column:
     return F.regexp_extract(url, "^https?://([^/?#:]*)", 1)
 
 
-def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
-
-
-def escape_html(text: Column) -> Column:
-    out = text
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 def clean(text: Column, limit: int = 200) -> Column:
     """Control characters as spaces, cut to limit."""
     return F.substring(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " "), 1, limit)
