@@ -1,15 +1,16 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 The histogram has at most `capacity` lengths whatever the input's size, so the program is solved on the driver: minimise
-the number of sequences, a configuration being a multiset of lengths that fits into one. Columns start with those of best
-fit; in every round a knapsack dynamic program over the capacity finds, at the current prices, the most valuable
-configuration that holds each length, and these join the columns. Multiplicative weights then scale each column's use by what
+the number of sequences, a configuration being a multiset of lengths that fits into one. In every round a knapsack dynamic program
+over the capacity finds, at the current prices, the most valuable configuration that holds each length, and these join the
+columns. Multiplicative weights then scale each column's use by what
 a sequence of it is worth: the sum over its tokens of how much their length still lacks, 1 where demand is met exactly. So
 columns with gaps shrink, and lengths in want raise both their columns' use and, by their price, the next round's columns.
 
-Rounding takes whole multiples of all columns, fullest first, and solves the program again for what is left; best fit packs
-the rest. The result is the best of these and best fit alone, so it is never worse than that; `least` gives a lower bound
-from the knapsack's prices and from the lengths above half of the capacity. No step depends on how many pieces there are.
+Rounding takes whole multiples of all columns, fullest first; best fit packs only what that leaves. Where the result misses the
+lower bound (`least`, from the lengths above half of the capacity), the program is solved again for what is left, and then once
+more from the start with the columns of best fit among its own. Best fit alone is the last check: its plan is taken only if it
+has fewer sequences than every program's. No step depends on how many pieces there are.
 Pieces are then dealt to places by their rank within their length; ranks come from counts per (length, slice).
 
 Defined results: null and empty texts are one piece of the end id alone; documents longer than a sequence are cut, the first
@@ -37,7 +38,7 @@ from . import common
 CAPACITY = 2048
 END = 0
 #: Rounds of pricing, of weights after each, and programs solved one after another for what rounding leaves.
-ROUNDS, UPDATES, PROGRAMS = 8, 60, 3
+ROUNDS, UPDATES, PROGRAMS = 12, 60, 3
 #: How much more than in proportion a long piece is worth at first; the power of a length's want in its price and in weights.
 TILT, WANT, STEP = 0.02, 0.5, 1.5
 #: Slices of a length, at least; beyond so many rows of one length there are more.
@@ -281,18 +282,24 @@ def least(counts: dict[int, int], capacity: int = CAPACITY) -> int:
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
     """Whole configurations that hold every piece exactly once."""
-    left = histogram(counts, capacity)
-    best = start = fill(left.copy(), capacity)
     number = lambda configs: sum(n for _, n in configs)
-    out: list[tuple[Config, int]] = []
-    for _ in range(PROGRAMS):
-        if number(best) <= least(counts, capacity):
-            break
-        columns, _ = solve(left, capacity, start, rounds)
-        out += rounded(columns, left, capacity)
-        start = fill(left.copy(), capacity)
-        best = min(best, out + start, key=number)
-    return best
+    whole, bound = histogram(counts, capacity), least(counts, capacity)
+    alone = fill(whole.copy(), capacity)
+    best: list[tuple[Config, int]] | None = None
+    for start in ([], alone):
+        left, out, columns_of = whole.copy(), [], start
+        for _ in range(PROGRAMS):
+            if not left.any():
+                break
+            columns, _ = solve(left, capacity, columns_of, rounds)
+            out += rounded(columns, left, capacity)
+            rest = fill(left.copy(), capacity)
+            if best is None or number(out) + number(rest) < number(best):
+                best = out + rest
+            if number(best) <= bound:
+                return best
+            columns_of = rest if start else []
+    return best if best is not None and number(best) <= number(alone) else alone
 
 
 def rounded(columns: Columns, left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
