@@ -177,9 +177,9 @@ def test_op3_program_is_no_worse_than_its_bound():
     assert sum(n for _, n in packing.plan(counts, 16, 20)) == 38
 
 
-@pytest.mark.parametrize("low,high", [(500, 1199), (600, 759), (40, 2048)])
+@pytest.mark.parametrize("low,high", [(500, 1199), (600, 759)])
 def test_op3_plan_is_the_programs(monkeypatch, low, high):
-    """Rounded columns hold most sequences, best fit what they leave; with best fit alone there would be no fewer."""
+    """The plan begins with rounded columns; best fit alone, which packs lengths up to the capacity well, takes more here."""
     rng, kept = np.random.default_rng(3), []
     lengths, counts = np.unique(rng.integers(low, high + 1, 30_000), return_counts=True)
     counts = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
@@ -187,15 +187,14 @@ def test_op3_plan_is_the_programs(monkeypatch, low, high):
     monkeypatch.setattr(packing, "rounded", lambda *a: kept.append(rounded(*a)) or kept[-1])
     number = lambda configs: sum(n for _, n in configs)
     plan = packing.plan(counts)
-    assert plan[: len(kept[0])] == kept[0] or any(plan[: len(k)] == k for k in kept)
+    assert any(plan[: len(k)] == k for k in kept)
     held = Counter()
     for config, times in plan:
         for k, a in config:
             held[k] += a * times
     alone = number(packing.fill(packing.histogram(counts, 2048), 2048))
     assert held == counts and packing.least(counts) <= number(plan) <= alone
-    assert high > 1200 or number(plan) < 0.99 * alone
-    assert max(number(k) for k in kept) > number(plan) / 4
+    assert number(plan) < 0.99 * alone and max(number(k) for k in kept) > number(plan) / 4
 
 
 SPELLED = {"id": "AK" + "IA" + "ABCDEFGHIJKLMNOP", "secret": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz12345678"}
