@@ -2,13 +2,17 @@
 
 A page is cut into blocks, each with the path of tags (and first class names) from the root to its leaf. Text length outside
 links and punctuation are summed per path and divided by the path's blocks; both ratios are smoothed over sibling paths and
-fused as a product. What markup says of an element is a prior that this is multiplied by: small below menus, footers, forms,
-comments and the like, smaller than one below names that such parts often bear, and outside of article and main elements
-where a page has them. Paths that reach the ratios' mean or spread, whichever is less, are chosen; their blocks are the content nodes.
+fused as a product. What markup says of an element is a prior that this is multiplied by: next to nothing for menus, footers,
+forms, comments and the like by their tag or role, or by a name that is wholly such a part's; a third where a name is doubtful,
+and outside of article and main elements where a page has them. Names weigh on whole elements by what is in them, never on
+paragraphs, headings or parts of a sentence: inside the article, headers with a heading stay, and doubtful or menu-like parts
+are kept unless half of their text is links. Paths that reach the ratios' mean or spread, whichever is less, are chosen; their
+blocks are the content nodes.
 
 The article is the lowest element around the content nodes and the headings. All of its blocks stay that no prior speaks
 against, such as short ones and lists of links, whose own ratios are low; elsewhere, and where a prior does, blocks stay by
-their path alone. A page is read in time and memory linear in its size, however deeply it nests.
+their path alone. The only h1 of a page without article element is its title, even in a header. Buttons are read where they
+stand in a sentence. A page is read in time and memory linear in its size, however deeply it nests.
 
 Defined results: null or empty html gives an empty text; a page with no markup is one block; unclosed and stray tags are
 taken as browsers do for paragraphs, lists and tables; repeated rows repeat; extra columns are carried along, and one that is
@@ -39,12 +43,22 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
 # What markup says against an element: its tag, its role, names of parts that aren't the article, names that some have.
-DROP_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "svg", "canvas", "audio", "video", "head", "search", "input"}
+DROP_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "head", "search"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status"}
-DROP_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "comment", "comments", "commentlist", "disqus", "discussion", "responses", "replies", "reply", "pagination", "pager", "searchform", "outbrain", "taboola", "notice", "banner"}
-DOUBT_WORDS = {"promo", "promoted", "promotion", "rail", "notification", "alert", "overlay", "social", "share", "sharing", "related", "recommended", "recommendations", "widget", "skip", "legal", "copyright", "search", "tags"}
-#: Factors of the fused ratio: where markup speaks against an element, where its name does so weakly, beside a page's article.
-AGAINST, DOUBTED, BESIDE = 1e-6, 0.1, 0.25
+DROP_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "sidebar", "aside", "rail", "footer", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "comment", "comments", "commentlist", "disqus", "discussion", "responses", "replies", "reply", "searchform", "outbrain", "taboola", "notice", "notification", "alert"}
+HEADER_WORDS = {"header", "masthead", "banner", "topbar"}
+LINK_WORDS = {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "toolbar", "pagination", "pager"}
+DOUBT_WORDS = {"promotion", "social", "share", "sharing", "related", "recommended", "recommendations", "widget", "skip", "legal", "copyright", "search", "tags"}
+#: Words that say where or how a part stands: a name made of these and of one above is that part's; other compounds are doubtful.
+LAYOUT_WORDS = {"site", "page", "main", "top", "bottom", "left", "right", "container", "wrapper", "wrap", "box", "block", "list", "area", "section", "bar", "slot", "post", "article", "inner", "outer", "content", "widget", "link", "links", "global", "primary", "secondary", "mobile", "desktop", "fixed", "sticky", "item", "items", "unit", "module", "panel", "form", "thread", "column", "group", "entry", "blog", "message"}
+#: Elements that make a sentence or a title: their own names don't count. Elements whose text is none of the page's.
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "caption", "figcaption", "summary", "legend"}
+SENTENCES = LEAVES | {"li", "dd", "td", "th", "blockquote"}
+MUTED = {"svg", "canvas", "audio", "video", "select", "datalist", "option"}
+#: Factors of the fused ratio: what markup excludes; where a name is doubtful, or beside a page's article.
+AGAINST, DOUBTED, BESIDE = 1e-6, 1 / 3, 1 / 3
+#: What boilerplate() says of an element.
+NEUTRAL, NAMED, EXCLUDED, DOUBTFUL, HEADER, LINKS, ARTICLE_NAMED = 0, 1, 2, 3, 4, 5, 6
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
@@ -53,12 +67,13 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 class Node:
     """An element: path numbers its tag path, block is the block element that it is or stands in, drop what boilerplate() says,
-    holds 2 if it is or holds an article, 1 if the title of one. A node's number is less than those inside it."""
+    holds 2 if it is or holds an article, 1 if the title of one; titled if it is or holds a heading. A node's number is less
+    than those inside it."""
 
-    __slots__ = ("tag", "up", "path", "drop", "holds", "block", "number")
+    __slots__ = ("tag", "up", "path", "drop", "holds", "titled", "block", "number")
 
     def __init__(self, tag: str, up: Node | None, path: int, drop: int, number: int) -> None:
-        self.tag, self.up, self.path, self.drop, self.holds, self.number = tag, up, path, drop, 0, number
+        self.tag, self.up, self.path, self.drop, self.holds, self.titled, self.number = tag, up, path, drop, 0, tag in HEADINGS, number
         self.block = self if up is None or tag in BLOCK or drop else up.block
 
 
@@ -66,25 +81,37 @@ def names_of(attributes: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
 
 
-def boilerplate(tag: str, found: dict[str, str]) -> int:
-    """2: by its tag or role, 1: by name, unless an article lies inside; 3: doubtful by name; -1: an article named so as a
-    whole; 0: not."""
+def boilerplate(tag: str, found: dict[str, str], within: str = "") -> int:
+    """What an element's markup says: EXCLUDED by its tag, role or being hidden; HEADER, LINKS or NAMED as a part that isn't
+    the article, DOUBTFUL by a name that such parts may bear; ARTICLE_NAMED for an article named so as a whole. within is the
+    tag of the block around it: names of paragraphs, headings and what stands inside of them say nothing."""
     if tag in DROP_TAGS:
-        return 2
-    if tag == "header":
-        return 1
+        return EXCLUDED
     if not found:
-        return 0
+        return HEADER if tag == "header" else NEUTRAL
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return 2
+        return EXCLUDED
     if found.get("role", "").strip().lower() in DROP_ROLES:
-        return 2
+        return EXCLUDED
+    if tag == "header":
+        return HEADER
     names = f"{found.get('class', '')} {found.get('id', '')}"
     if tag in ("html", "body", "article", "main"):
-        whole = names.lower().split()
-        return -int(tag == "article" and not (DROP_WORDS.isdisjoint(whole) and DOUBT_WORDS.isdisjoint(whole)))
-    words = WORDS.findall(CAMEL.sub("-", names).lower())
-    return 0 if not words else 1 if not DROP_WORDS.isdisjoint(words) else 3 if not DOUBT_WORDS.isdisjoint(words) else 0
+        whole = set(names.lower().split())
+        return ARTICLE_NAMED if tag == "article" and whole & (DROP_WORDS | HEADER_WORDS | LINK_WORDS | DOUBT_WORDS) else NEUTRAL
+    if tag in LEAVES or tag not in BLOCK and within in SENTENCES:
+        return NEUTRAL
+    said = NEUTRAL
+    for name in names.split():
+        words = set(WORDS.findall(CAMEL.sub("-", name).lower()))
+        for kind, telling in ((NAMED, DROP_WORDS), (HEADER, HEADER_WORDS), (LINKS, LINK_WORDS)):
+            if words & telling:
+                if words <= telling | LAYOUT_WORDS | DROP_WORDS:
+                    return kind
+                said = DOUBTFUL
+        if words & DOUBT_WORDS:
+            said = DOUBTFUL
+    return said
 
 
 Block = tuple[Node, str, int]
@@ -94,24 +121,34 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
     """All elements, outer ones first, and (block element, text with single spaces, code points inside links) of every block
     with text."""
     root = Node("", None, 0, 0, 0)
-    nodes, stack, out, texts, linked, links, at, worded = [root], [root], [], [], 0, 0, 0, False
+    nodes, stack, out, texts, linked, links, muted, at, worded = [root], [root], [], [], 0, 0, 0, 0, False
+    pressed: list[int] = []  # texts of buttons, which are a sentence's where it has other words
+    beside_buttons = False
     paths: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
     block = root
 
     def flush() -> None:
-        nonlocal linked, worded
+        nonlocal linked, worded, beside_buttons
         if texts:
+            if pressed and not (beside_buttons and block.tag in SENTENCES):
+                for i in pressed:
+                    texts[i] = " "
             text = " ".join("".join(texts).split())
             if text:  # what stands between links alone, as bars in a menu, counts as linked
                 out.append((block, text, len(text) if linked and not worded else linked))
             texts.clear()
-            linked, worded = 0, False
+            pressed.clear()
+            linked, worded, beside_buttons = 0, False, False
 
     def say(raw: str) -> None:
-        nonlocal linked, worded
-        if raw:
+        nonlocal linked, worded, beside_buttons
+        if raw and not muted:
             text = entities.unescape(raw) if "&" in raw else raw
+            if opened["button"]:
+                pressed.append(len(texts))
+            elif not beside_buttons:
+                beside_buttons = any(map(str.isalnum, text))
             texts.append(text)
             if links:
                 linked += len(text.strip())
@@ -119,12 +156,13 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
                 worded = any(map(str.isalnum, text))
 
     def close_to(i: int) -> None:
-        nonlocal links, block
+        nonlocal links, muted, block
         if any(n.block is n for n in stack[i:]):
             flush()
         for n in stack[i:]:
             opened[n.tag] -= 1
             links -= n.tag == "a"
+            muted -= n.tag in MUTED
         del stack[i:]
         block = stack[-1].block
 
@@ -180,21 +218,23 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
                 close_to(last)
         found = names_of(attributes)
         label = f"{tag}.{' '.join(found.get('class', '').split()[:1])}"
-        node = Node(tag, stack[-1], paths.setdefault((stack[-1].path, label), len(paths) + 1), boilerplate(tag, found), len(nodes))
+        node = Node(tag, stack[-1], paths.setdefault((stack[-1].path, label), len(paths) + 1), boilerplate(tag, found, block.tag), len(nodes))
         nodes.append(node)
         if node.block is node:
             flush()
             block = node
         inside = opened["article"] + opened["main"]
         node.holds = 2 if tag in ("article", "main") else int(tag == "h1" and inside > 0)
-        links += tag == "a"
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "path"):
+            links += tag == "a"
+            muted += tag in MUTED
             stack.append(node)
             opened[tag] += 1
     say(page[at:])
     flush()
     for n in reversed(nodes[1:]):
         n.up.holds = max(n.up.holds, n.holds)
+        n.up.titled |= n.titled
     return nodes, out
 
 
@@ -216,24 +256,49 @@ def inherited(nodes: list[Node], own: Callable[[Node], float]) -> list[float]:
     return out
 
 
-def priors(nodes: list[Node], found: list[Block], by_name: bool) -> list[float]:
-    """By number of node: what markup says, 1 where it says nothing."""
+def priors(nodes: list[Node], found: list[Block], by_name: bool) -> tuple[list[float], list[bool]]:
+    """By number of node: what markup says, 1 where it says nothing; and whether nothing speaks against or is doubtful.
+
+    Names weigh on a whole element by what is in it. Inside an article, a header with a heading is the article's, and what
+    bears a doubtful name or that of a menu is kept unless half of its text is links. Nothing that holds the greater part of
+    a page's text is dropped by name.
+    """
+    marked = [False] * len(nodes)
+    for n in nodes[1:]:
+        marked[n.number] = marked[n.up.number] or n.tag in ("article", "main")
+    own_text = summed(nodes, found, [float(len(text)) for _, text, _ in found])
+    in_links = summed(nodes, found, [float(linked) for _, _, linked in found])
 
     def own(n: Node) -> float:
-        if n.drop == 2:
+        inner = marked[n.up.number] if n.up else False
+        if n.drop == EXCLUDED:
             return AGAINST
-        return {1: AGAINST, 3: DOUBTED}.get(n.drop, 1.0) if by_name and not n.holds else 1.0
+        if not by_name or n.drop in (NEUTRAL, ARTICLE_NAMED) or n.holds:
+            return 1.0
+        if n.drop == HEADER:
+            return 1.0 if inner and n.titled else AGAINST
+        if n.drop in (LINKS, DOUBTFUL) and inner:
+            return AGAINST if 2 * in_links[n.number] >= own_text[n.number] else 1.0
+        return DOUBTED if n.drop == DOUBTFUL else AGAINST
 
     out = inherited(nodes, own)
     # parts named as boilerplate that are made of articles, as comments and related pages often are, unless most text is there
     held = summed(nodes, found, [(len(text) - linked) * (out[node.number] == 1.0) for node, text, linked in found])
-    apart = inherited(nodes, lambda n: AGAINST if (n.drop == -1 or n.drop in (1, 3) and n.holds == 2) and 2 * held[n.number] < held[0] else 1.0)
-    marked = [False] * len(nodes)
-    for n in nodes[1:]:
-        marked[n.number] = marked[n.up.number] or n.tag in ("article", "main")
+    parts = (NAMED, DOUBTFUL, HEADER, LINKS)
+    apart = inherited(nodes, lambda n: AGAINST if (n.drop == ARTICLE_NAMED or n.drop in parts and n.holds == 2) and 2 * held[n.number] < held[0] else 1.0)
     within = sum(held[n.number] for n in nodes if n.tag in ("article", "main") and not marked[n.up.number])
     beside = BESIDE if 2 * within >= held[0] > 0 else 1.0
-    return [min(x, y) * (1.0 if m else beside) for x, y, m in zip(out, apart, marked, strict=True)]
+    least = [min(x, y) for x, y in zip(out, apart, strict=True)]
+    return [x * (1.0 if m else beside) for x, m in zip(least, marked, strict=True)], [x == 1.0 for x in least]
+
+
+def titles(nodes: list[Node], found: list[Block], free: list[bool]) -> list[bool]:
+    """Whether each block is the title of a page without article or main element that stands in a header: its only h1 that is no link."""
+    h1 = [node.tag == "h1" and linked < len(text) for node, text, linked in found]
+    if sum(h1) != 1 or nodes[0].holds == 2:
+        return [False] * len(found)
+    barred = inherited(nodes, lambda n: 0.0 if n.drop in (EXCLUDED, NAMED, LINKS) else 1.0)
+    return [h and not free[node.number] and barred[node.number] > 0 for (node, _, _), h in zip(found, h1, strict=True)]
 
 
 def ratios(found: list[Block], nodes: list[Node]) -> dict[int, float]:
@@ -274,20 +339,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes, found = blocks_of(page)
-    prior = priors(nodes, found, True)
+    prior, open_to = priors(nodes, found, True)
     if not any(prior[node.number] > AGAINST for node, _, _ in found):
-        prior = priors(nodes, found, False)
+        prior, open_to = priors(nodes, found, False)
         if not any(prior[node.number] > AGAINST for node, _, _ in found):
             return ""
     content = chosen(found, ratios(found, nodes), prior)
-    free = [prior[node.number] > DOUBTED for node, _, _ in found]
+    free = [open_to[node.number] for node, _, _ in found]
+    title = titles(nodes, found, open_to)
     heads = [ok and node.tag in HEADINGS for (node, _, _), ok in zip(found, free, strict=True)]
     around = [c or h for c, h in zip(content, heads, strict=True)]
     article = common_ancestor(nodes, found, around if any(around) else free)
     inside = [False] * len(nodes)
     for n in nodes:
         inside[n.number] = n is article or n.up is not None and inside[n.up.number]
-    return "\n".join(text for (node, text, _), c, h, ok in zip(found, content, heads, free, strict=True) if c or h or ok and inside[node.number])
+    return "\n".join(text for (node, text, _), c, h, t, ok in zip(found, content, heads, title, free, strict=True) if c or h or t or ok and inside[node.number])
 
 
 def common_ancestor(nodes: list[Node], found: list[Block], wanted: list[bool]) -> Node:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -567,6 +568,59 @@ def test_op10_ratios_choose_where_markup_is_silent(monkeypatch):
     assert "Buy it now." in html.main_text(plain)
 
 
+KEPT = {
+    '<p class="legal">Legal text, here.</p>': ["Legal text, here."], '<p class="search">Search text.</p>': ["Search text."], '<div class="share-prices"><p>Prices rose.</p></div>': ["Prices rose."],
+    '<section class="related-work"><p>Others did this.</p></section>': ["Others did this."], '<p id="header-files">Header files.</p>': ["Header files."], '<h2 id="menu">Menu</h2>': ["Menu"],
+    '<h2 id="related-work">Related work</h2>': ["Related work"], "<p>Press <button>Start</button> now</p>": ["Press Start now"], "<p>A <svg><text>q</text></svg> B</p>": ["A B"],
+    '<div class="section-header"><h2>Part two</h2></div>': ["Part two"], "<header><h2>Part</h2><p>By Jane</p></header>": ["Part", "By Jane"], '<section id="menu"><p>Soup, and fish.</p></section>': ["Soup, and fish."],
+    '<div class="share"><a href=x>Tweet</a> <a href=y>Post</a></div>': [], '<div class="ad">Buy now!</div>': [], "<section class=comments><h3>Comments</h3><p>I agree, great post.</p></section>": [],
+    '<div class="cookie-notice">We use, ok?</div>': [], '<div class="promo-box"><p>Sale, now.</p></div>': [], "<p><button>Go</button></p>": [], "<div><button><b>Go</b></button></div>": [],
+    '<ul class="menu"><li><a href=/a>A</a></ul>': [], "<select><option>One<option>Two</select>": [], '<div class="related"><a href=/x>Read this, too</a></div>': [], "<div class=header><a href=/>Home</a></div>": [],
+}
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_op10_names_weigh_on_whole_parts_by_what_is_in_them(part):
+    page = f"<html><body><nav><a href=/>x</a></nav><article><h1>T</h1><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>F, x.</footer></body></html>"
+    assert html.main_text(page).split("\n") == ["T", LONG.strip(), *KEPT[part], LONG.strip()]
+
+
+def test_op10_titles_in_headers():
+    long = LONG.strip()
+    assert html.main_text(f'<body><div class="main-header"><h1>Title</h1><p>Tag, line.</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div>All rights, 2024.</div></body>').split("\n") == ["Title", long, long]
+    assert html.main_text(f'<body><div class="post"><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div></body>').split("\n") == ["Title", long, long]
+    assert html.main_text(f"<body><header><h1><a href=/>Site</a></h1></header><div><h1>Title</h1><p>{LONG}</p></div></body>").split("\n") == ["Title", long]
+    assert html.main_text(f"<body><header><h1>Site</h1></header><article><h2>Title</h2><p>{LONG}</p></article></body>").split("\n") == ["Title", long]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_op10_choice_and_ancestor_against_definitions(seed):
+    rng = random.Random(seed)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "p", "h2"] if depth else ["p", "h2"])
+        own = " ".join(rng.choice(["word", "other, word.", "<a href=/>link</a>"]) for _ in range(rng.randint(0, 9)))
+        return f"<{tag} class={rng.choice('ab')}>{own}{''.join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if tag in ('div', 'section') else ''}</{tag}>"
+
+    nodes, found = html.blocks_of(f"<body>{tree(4)}{tree(4)}<p>Last, one.</p></body>")
+    prior, fused = [rng.choice([1.0, 1 / 3]) for _ in nodes], html.ratios(found, nodes)
+    paths = {(n.path, prior[n.number]): fused[n.path] * prior[n.number] for n, _, _ in found}
+    threshold = min(np.mean(list(paths.values())), np.std(list(paths.values())))
+    got = html.chosen(found, fused, prior)
+    assert all(g == (fused[n.path] * prior[n.number] >= threshold) or abs(fused[n.path] * prior[n.number] - threshold) < 1e-9 for g, (n, _, _) in zip(got, found, strict=True))
+    wanted = [rng.random() < 0.3 for _ in found]
+    wanted[-1] |= not any(wanted)
+
+    def line(n):
+        return [*line(n.up), n] if n.up else [n]
+
+    lines = [line(n) for (n, _, _), w in zip(found, wanted, strict=True) if w]
+    low = [level[0] for level in zip(*lines) if len({n.number for n in level}) == 1][-1]
+    while low.tag in {"p", "h2"} and low.up.tag:
+        low = low.up
+    assert html.common_ancestor(nodes, found, wanted) is low
+
+
 def test_op10_keeps_formulas_objects_and_labels():
     page = "<article><p>Formula <math>a<mi>x</mi></math> is given.</p><object>Drawn, as text.</object><label>A label.</label><fieldset>A set.</fieldset></article>"
     assert html.main_text(page) == "Formula ax is given.\nDrawn, as text.A label.\nA set."
