@@ -9,7 +9,7 @@ from ..functions import paths as P
 from ..operators import architecture, components, dependencies, documentation, graph, health, languages, quality, security, selection, structure, views, workspaces
 from ..sources import manifests
 from ..streaming import limiter
-from . import papers, places, scans  # noqa: F401  register their queries
+from . import declared, papers, places, scans  # noqa: F401  register their queries
 from . import repository as R
 from .queries import query, table
 
