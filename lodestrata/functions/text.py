@@ -29,11 +29,13 @@ def newline_count(text: Column) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for an empty string."""
+    """Shannon entropy of the characters, in bits; 0 for an empty string. Sorted, equal characters are one run."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    terms = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double") / n)
-    return -F.aggregate(terms, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(chars), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    share = lambda run, n: F.length(run).cast("double") / n
+    summed = lambda x: -F.aggregate(x["runs"], F.lit(0.0), lambda acc, run: acc + share(run, x["n"]) * F.log2(share(run, x["n"])))
+    # one element, so that runs and their number of characters are found once a value
+    return F.get(F.transform(F.array(F.struct(runs.alias("runs"), F.size(chars).cast("double").alias("n"))), summed), F.lit(0))
 
 
 def redact(secret: Column) -> Column:
