@@ -12,6 +12,7 @@ from ..streaming import limiter
 from . import declared, papers, places, scans  # noqa: F401  register their queries
 from . import repository as R
 from .queries import query, table
+from .shared import stored
 
 S = R.SQL
 
@@ -378,7 +379,8 @@ def g09_cycles(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("repo_id"))
     brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("src"))
     rows = items.join(orders, "l_orderkey").join(brands, "l_partkey").select("repo_id", "src", F.lead("src").over(W.partitionBy("repo_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("dst"))
-    return components.layers(rows.filter("dst is not null").distinct(), rows.select("repo_id", F.col("src").alias("node")))
+    rows = stored(rows.distinct())
+    return components.layers(rows.filter("dst is not null"), rows.select("repo_id", F.col("src").alias("node")))
 
 
 @query(S + """, ok AS (SELECT *, len(string_split(path, '/')) AS depth, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM own WHERE size BETWEEN 1 AND 400000),

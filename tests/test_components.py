@@ -45,6 +45,25 @@ def test_components_and_layers(spark):
     assert components.layers(edges.limit(0), nodes.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [64, 12])
+def test_small_graphs_are_a_row_and_others_take_rounds(spark, monkeypatch, most):
+    rng = random.Random(11)
+    graphs = {f"g{n}-{m}": ([(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)], {f"n{i}" for i in range(n)}) for n, m in [(2, 2), (12, 13), (13, 15), (63, 70), (64, 66), (64, 120), (65, 70)]}
+    in_rounds, size = [], components.layers_in_rounds
+    monkeypatch.setattr(components, "MOST_BITS", most)
+    monkeypatch.setattr(components, "layers_in_rounds", lambda es, ns: in_rounds.extend(r.repo_id for r in ns.select("repo_id").distinct().collect()) or size(es, ns))
+    edges = spark.createDataFrame([(k, *e) for k, (es, _) in graphs.items() for e in es], "repo_id string, src string, dst string")
+    nodes = spark.createDataFrame([(k, n) for k, (_, ns) in graphs.items() for n in ns], "repo_id string, node string")
+    got = {}
+    for r in components.layers(edges, nodes).collect():
+        got.setdefault(r.repo_id, {})[r.node] = (r.component, r.layer)
+    assert got == {k: plain_layers(es, ns) for k, (es, ns) in graphs.items()}
+    assert sorted(in_rounds) == sorted(k for k, (_, ns) in graphs.items() if len(ns) > most)
+    if most == 64:
+        found = {(r.repo_id, r.node): r.component for r in components.strong_components(edges, nodes).collect()}
+        assert found == {(k, n): c for k, rows in got.items() for n, (c, _) in rows.items()}
+
+
 @pytest.fixture
 def sequence(spark):
     rng = random.Random(10)
