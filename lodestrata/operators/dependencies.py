@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.values import once
 from ..sources import manifests as M
 from . import generic as G
 from .structure import analyzed_files, classified
@@ -19,7 +20,11 @@ SEMVER = r"^v?\d+(\.\d+){0,3}([-+][\w.]+)?$"
 
 def constraint(source: Column, version: Column, ecosystem: Column) -> Column:
     """exact, range, none, managed or external, decided in this order."""
-    v = T.strip(F.coalesce(version, F.lit("")))
+    return once(T.strip(F.coalesce(version, F.lit(""))), lambda v: constraint_of(source, v, ecosystem))
+
+
+def constraint_of(source: Column, v: Column, ecosystem: Column) -> Column:
+    """constraint() of a version that is stripped and not null."""
     kind = lambda exact: F.when(exact, "exact").otherwise("range")
     return (
         F.when(source != "registry", "external")
@@ -48,7 +53,7 @@ class Dependencies:
 
 def listed(parsed: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """A row a dependency, with its constraint; names and versions are cut to 200 and 100 characters."""
-    rows = parsed.select("repo_id", F.col("path").alias("manifest"), "ecosystem", F.posexplode("dependencies").alias("ord", "d")).select("repo_id", "manifest", "ecosystem", "ord", "d.*")
+    rows = M.each(parsed.withColumnRenamed("path", "manifest"), "repo_id", "manifest", "ecosystem")
     source = F.when(F.col("version").startswith("workspace:"), "workspace").otherwise(F.col("source"))
     cut = rows.withColumns({"source": source, "name": F.substring("name", 1, 200), "version": F.when(F.col("version") != "", F.substring("version", 1, 100))})
     return cut.withColumn("constraint", constraint(F.col("source"), F.col("version"), F.col("ecosystem")))

@@ -641,7 +641,7 @@ def _manifest_query(name: str, path: str, text: str, want: list[tuple]) -> None:
     def run(spark, sf):  # noqa: ANN001, ANN202
         key = F.col("s_suppkey").cast("string")
         files = table(spark, sf, "supplier").select(key.alias("repo_id"), F.lit(path).alias("path"), F.replace(F.lit(text), F.lit("%"), key).alias("text"))
-        return manifests.parsed(files).filter("error is null").select("repo_id", F.posexplode("dependencies").alias("ord", "d")).select("repo_id", "ord", "d.*")
+        return manifests.parsed(files).transform(manifests.each, "repo_id", "error").filter("error is null").drop("error")
 
     run.__name__, run.__doc__ = name, f"Dependencies of {path} files."
     query(f"SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CAST(ord AS INTEGER) AS ord, {filled('name')}, {filled('version')}, scope, source, direct FROM supplier, (VALUES {rows}) AS t(name, version, scope, source, direct, ord)")(run)

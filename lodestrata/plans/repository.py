@@ -1,11 +1,16 @@
 """Repositories made from the driver's tables: `part` gives a file tree and contents, of which every operator of repository
-analyses can be run on whole tables and said again in SQL. Rules are stated as fixed tables in both."""
+analyses can be run on whole tables and said again in SQL. Rules are stated as fixed tables in both.
+
+Paths and texts are stored, as those of real repositories are: expressions then read them and don't make them again at each
+place where they are named. Keys are dealt to many tasks before, since a file of parts is small and what is made of it isn't."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread, stored
+
 # Directories (ignored root, auxiliary, of tests) and kinds of files (text before and after the key, language
 # and category of such a file).
 DIRS = [
@@ -32,9 +37,10 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, repo_id, kind, path and size of each part's file."""
     k = F.col("p_partkey")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), (k % 16).cast("int").alias("kind"), F.floor(k / 3).cast("long").alias("d"), (F.col("p_size").cast("long") * 997).alias("size"))
+    parts = spread(parts, "k")
     folder = at([d for d, *_ in DIRS], F.col("d") % len(DIRS))
     name = F.concat(at([a for a, *_ in FILES], F.col("kind")), F.col("k").cast("string"), at([b for _, b, *_ in FILES], F.col("kind")))
-    return parts.select("k", F.concat(F.lit("r"), (F.col("k") % 5).cast("string")).alias("repo_id"), "kind", F.concat(folder, F.when(folder != "", "/").otherwise(""), name).alias("path"), "size")
+    return stored(parts.select("k", F.concat(F.lit("r"), (F.col("k") % 5).cast("string")).alias("repo_id"), "kind", F.concat(folder, F.when(folder != "", "/").otherwise(""), name).alias("path"), "size"))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def text_of(kind: Column, k: Column) -> Column:
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the files that have one and lie outside ignored directories."""
     rows = numbered(spark, sf_dir).withColumn("text", text_of(F.col("kind"), F.col("k"))).filter("text is not null")
-    return rows.filter(~F.col("path").rlike("^(node_modules|build)/")).select("repo_id", "path", "text")
+    return stored(rows.filter(~F.col("path").rlike("^(node_modules|build)/")).select("repo_id", "path", "text"))
 
 
 def _values(rows: list[tuple]) -> str:

@@ -24,6 +24,12 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as a shuffle has: a file of short rows is read by few tasks, which would do all the
+    work its rows need. Filters after it move before it, unless it is stored."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written and read back: cuts the lineage and survives lost executors."""
     path = folder(df.sparkSession)

@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import dependencies
+from lodestrata.plans import repository
 from lodestrata.sources import manifests
 
 SPECS = ["1", "", "git+https://h/r", "github:a/b", "owner/name", "owner/name#v1", "a/b/c", "file:../x", "link:x", "portal:x", "http://h/x", "https://h/x.tgz", "workspace:*", 5, 1.5, None, True, {"version": "1"}, ["1"], "é\"\\n", "null"]
@@ -50,3 +52,19 @@ def test_json_manifests_need_no_python(spark):
     rows = spark.createDataFrame([("r", "package.json", "npm", "{}")], "repo_id string, path string, ecosystem string, text string")
     plan = manifests.by_columns(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_json_is_parsed_once_a_text(spark):
+    """What explodes or filters dependencies mustn't parse their texts again."""
+    rows = spark.createDataFrame([("r", "package.json", '{"dependencies": {"a": "1"}}')], "repo_id string, path string, text string").localCheckpoint()
+    listed = dependencies.listed(manifests.parsed(rows))
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3  # the check, and the sections of two formats
+    assert not any("from_json(" in line for line in plan.splitlines() if "Filter" in line)
+    assert [(r.ord, r.name, r.constraint) for r in listed.collect()] == [(0, "a", "exact")]
+
+
+def test_repositories_rows_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id as int) as p_partkey", "1 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert len(repository.numbered(spark, str(tmp_path)).inputFiles()) > 1
+    assert len(repository.contents(spark, str(tmp_path)).inputFiles()) > 1
