@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.values import once
 from . import generic as G
 from . import ordered
 from .structure import analyzed_files, classified
@@ -25,28 +26,42 @@ NAME = r"^[A-Za-z0-9._-]{1,100}$"
 
 
 def repository_key(raw: Column) -> Column:
-    """struct(owner, name, error) of an URL, an ssh address or owner/name; what follows the name is passed over."""
-    value = T.strip(F.coalesce(raw, F.lit("")))
-    web = value.contains("://") | F.lower(value).rlike(r"^(www\.)?github\.com/")
-    scheme = F.lower(F.regexp_extract(value, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    rest = F.regexp_replace(value, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    place = F.lower(F.regexp_extract(rest, "^([^/?#]*)", 1))
-    ssh = F.regexp_extract(value, r"(?i)^git@github\.com:(\S+)$", 1)
-    path = F.when(ssh != "", ssh).when(web, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(value)
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    owner, name = F.try_element_at(parts, F.lit(1)), F.regexp_replace(F.try_element_at(parts, F.lit(2)), r"(?i)\.git$", "")
-    error = (
-        F.when(value == "", "empty")
-        .when(F.length(value) > 512, "too long")
-        .when(value.rlike(r"[\s\x00-\x1f]"), "white space")
-        .when((ssh == "") & web & (scheme != "") & ~scheme.isin("http", "https"), "scheme")
-        .when((ssh == "") & web & place.rlike("[@:]") & F.regexp_replace(place, "^.*@|:.*$", "").isin("github.com", "www.github.com"), "credentials or port")
-        .when((ssh == "") & web & ~place.isin("github.com", "www.github.com"), "host")
-        .when(F.size(parts) < 2, "no repository")
-        .when(F.lower(owner).isin(*RESERVED) | ~owner.rlike(OWNER), "owner")
-        .when(~name.rlike(NAME) | name.isin(".", ".."), "name")
-    )
-    return F.struct(F.when(error.isNull(), owner).alias("owner"), F.when(error.isNull(), name).alias("name"), error.alias("error"))
+    """struct(owner, name, error) of an URL, an ssh address or owner/name; what follows the name is passed over. Its steps
+    are found once a row each, whatever of them the next ones name."""
+
+    def stated(value: Column) -> Column:
+        web = value.contains("://") | F.lower(value).rlike(r"^(www\.)?github\.com/")
+        scheme = F.lower(F.regexp_extract(value, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        rest = F.regexp_replace(value, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+        ssh = F.regexp_extract(value, r"(?i)^git@github\.com:(\S+)$", 1)
+        return once(F.struct(value.alias("value"), web.alias("web"), scheme.alias("scheme"), rest.alias("rest"), ssh.alias("ssh")), placed)
+
+    def placed(x: Column) -> Column:
+        place = F.lower(F.regexp_extract(x["rest"], "^([^/?#]*)", 1))
+        path = F.when(x["ssh"] != "", x["ssh"]).when(x["web"], F.regexp_extract(x["rest"], r"^[^/?#]*([^?#]*)", 1)).otherwise(x["value"])
+        parts = F.filter(F.split(path, "/"), lambda s: s != "")
+        return once(F.struct(x["value"].alias("value"), x["scheme"].alias("scheme"), ((x["ssh"] == "") & x["web"]).alias("by_web"), place.alias("place"), parts.alias("parts")), named)
+
+    def named(x: Column) -> Column:
+        owner, name = F.try_element_at(x["parts"], F.lit(1)), F.regexp_replace(F.try_element_at(x["parts"], F.lit(2)), r"(?i)\.git$", "")
+        return once(F.struct(x.alias("x"), owner.alias("owner"), name.alias("name")), judged)
+
+    def judged(y: Column) -> Column:
+        x, owner, name = y["x"], y["owner"], y["name"]
+        error = (
+            F.when(x["value"] == "", "empty")
+            .when(F.length(x["value"]) > 512, "too long")
+            .when(x["value"].rlike(r"[\s\x00-\x1f]"), "white space")
+            .when(x["by_web"] & (x["scheme"] != "") & ~x["scheme"].isin("http", "https"), "scheme")
+            .when(x["by_web"] & x["place"].rlike("[@:]") & F.regexp_replace(x["place"], "^.*@|:.*$", "").isin("github.com", "www.github.com"), "credentials or port")
+            .when(x["by_web"] & ~x["place"].isin("github.com", "www.github.com"), "host")
+            .when(F.size(x["parts"]) < 2, "no repository")
+            .when(F.lower(owner).isin(*RESERVED) | ~owner.rlike(OWNER), "owner")
+            .when(~name.rlike(NAME) | name.isin(".", ".."), "name")
+        )
+        return once(error, lambda e: F.struct(F.when(e.isNull(), owner).alias("owner"), F.when(e.isNull(), name).alias("name"), e.alias("error")))
+
+    return once(T.strip(F.coalesce(raw, F.lit(""))), stated)
 
 
 METADATA = "full_name string, html_url string, description string, homepage string, default_branch string, stargazers_count long, forks_count long, subscribers_count long, open_issues_count long, language string, license struct<spdx_id: string, name: string>, topics array<string>, size long, created_at string, updated_at string, pushed_at string, archived boolean, disabled boolean, fork boolean, is_template boolean, owner struct<login: string, type: string, avatar_url: string>"

@@ -12,7 +12,7 @@ from ..streaming import limiter
 from . import declared, papers, places, scans  # noqa: F401  register their queries
 from . import repository as R
 from .queries import query, table
-from .shared import stored
+from .shared import spread, stored
 
 S = R.SQL
 
@@ -405,7 +405,8 @@ def s10_decoded(spark, sf):
 def s01_repository_key(spark, sf):
     k = F.col("c_custkey")
     raw = R.at(["https://github.com/o%/name.git", " git@github.com:o%/name.x.git", "https://example.org/o%/name", "o%", "-o%/name", "www.github.com/o%/a/tree/main"], k % 6)
-    return table(spark, sf, "customer").select(k.cast("long").alias("c_custkey"), selection.repository_key(F.replace(raw, F.lit("%"), k.cast("string"))).alias("r")).select("c_custkey", "r.*")
+    customers = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return customers.select(k.cast("long").alias("c_custkey"), selection.repository_key(F.replace(raw, F.lit("%"), k.cast("string"))).alias("r")).select("c_custkey", "r.*")
 
 
 @query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, user_id % 2 = 1 OR user_id % 3 = 1 AS partial, CASE WHEN user_id % 2 = 1 THEN 'the host cut the file tree;' ELSE '' END || CASE WHEN user_id % 3 = 1 THEN 'the byte budget was used up;' ELSE '' END AS notes FROM events""")

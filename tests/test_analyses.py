@@ -207,3 +207,9 @@ def test_layers(spark):
     edges = spark.createDataFrame([("r", *e) for e in ("ab", "bc", "ca", "ac")], "repo_id string, src string, dst string")
     nodes = spark.createDataFrame([("r", n) for n in "abc"], "repo_id string, node string")
     assert rows(graph.layered(edges, nodes), "node", "layer") == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_repository_keys_steps_are_found_once(spark):
+    keys = spark.range(1).select(F.col("id").cast("string").alias("u")).select(selection.repository_key(F.col("u")).alias("k"))
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("git@github") == plan.count("[^?#]") == 1
