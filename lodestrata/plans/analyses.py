@@ -488,7 +488,7 @@ def _facts(spark, sf):
         value = F.col("c_custkey") + 7 * n
         known = value % _BOUND.get(name, 3)
         out.append((value % 2 == 1 if kind == "boolean" else F.when(value % 11 != 0, known) if name.endswith("_days") else known).alias(name))
-    return table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("repo_id"), *out)
+    return spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").cast("string").alias("repo_id"), *out)
 
 
 _Y = lambda c: f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
@@ -509,12 +509,12 @@ s AS (SELECT repo_id, dimension, CASE WHEN applies THEN CAST(round_even(100.0::D
 @query(f"{_HEALTH} SELECT repo_id, dimension, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 50 THEN 'moderate' WHEN score IS NOT NULL THEN 'weak' END AS band FROM s")
 def h1_health_dimensions(spark, sf):
     """Six dimensions over facts; organization is in h2_organization."""
-    return health.dimensions(health.scored_checks(_facts(spark, sf))).filter("dimension <> 'organization'")
+    return health.scored_dimensions(_facts(spark, sf)).filter("dimension <> 'organization'")
 
 
 @query(f"{_HEALTH} SELECT repo_id, CAST(round_even(avg(score), 0) AS INTEGER) AS overall FROM s GROUP BY 1")
 def a29_overall_health(spark, sf):
-    return health.overall(health.dimensions(health.scored_checks(_facts(spark, sf))).filter("dimension <> 'organization'"))
+    return health.scored_overall(_facts(spark, sf), without=("organization",))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS request, arg_max(event_type, (ts, CASE event_type WHEN 'view' THEN 0 ELSE 0 END, event_id)) AS last_type, count(*) AS events FROM events GROUP BY 1""")
@@ -740,4 +740,4 @@ p AS ({" UNION ALL ".join(f"SELECT repo_id, {m} AS most, round_even({m} * least(
 s AS (SELECT repo_id, CASE WHEN applies THEN CAST(round_even(100.0::DOUBLE * sum(points) / sum(most), 0) AS INTEGER) END AS score FROM p GROUP BY repo_id, applies)
 SELECT repo_id, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 50 THEN 'moderate' WHEN score IS NOT NULL THEN 'weak' END AS band FROM s""")
 def h2_organization(spark, sf):
-    return health.dimensions(health.scored_checks(_facts(spark, sf))).filter("dimension = 'organization'").drop("dimension")
+    return health.scored_dimensions(_facts(spark, sf)).filter("dimension = 'organization'").drop("dimension")

@@ -213,3 +213,14 @@ def test_repository_keys_steps_are_found_once(spark):
     keys = spark.range(1).select(F.col("id").cast("string").alias("u")).select(selection.repository_key(F.col("u")).alias("k"))
     plan = keys._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("git@github") == plan.count("[^?#]") == 1
+
+
+def test_scores_are_found_in_their_row(spark):
+    value = lambda n, kind: ((F.col("id") + 7 * n) % 2 == 0) if kind == "boolean" else F.when((F.col("id") + n) % 13 != 0, (F.col("id") * 5 + 3 * n) % 31)
+    names = [x.split() for x in health.FACTS.split(", ")]
+    facts = spark.range(300).select(F.col("id").cast("string").alias("repo_id"), *[value(n, kind).cast(kind).alias(name) for n, (name, kind) in enumerate(names)])
+    grouped = health.dimensions(health.scored_checks(facts))
+    by, mean = health.scored_dimensions(facts), health.scored_overall(facts, without=("tests",))
+    assert sorted(map(str, by.collect())) == sorted(map(str, grouped.collect()))
+    assert sorted(map(str, mean.collect())) == sorted(map(str, health.overall(grouped.filter("dimension <> 'tests'")).collect()))
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (by, mean))
