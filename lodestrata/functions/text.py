@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import once
+
 # Characters at which str.splitlines() breaks, and those that str.strip() removes.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -13,10 +15,8 @@ WORD = r"[A-Za-z0-9][\p{L}\p{N}_'-]*"
 
 def lines(text: Column) -> Column:
     """str.splitlines(): no empty element after a last line break."""
-    parts = F.split(text, LINE_BREAK)
-    n = F.size(parts)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(text.isNull(), None).otherwise(F.when(last_empty, F.slice(parts, F.lit(1), n - 1)).otherwise(parts))
+    less = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(text, LINE_BREAK), less)
 
 
 def strip(text: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions.values import once
 from . import generic as G
 from .quality import source_lines
 from .structure import analyzed_files, classified
@@ -116,7 +117,7 @@ def literals() -> list[str]:
 
 
 def has_one(lowered: Column, of: tuple[str, ...] | list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [lowered.contains(x) for x in of])
+    return once(lowered, lambda low: reduce(lambda a, b: a | b, [low.contains(x) for x in of]))
 
 
 def applies(rule: Rule, path: Column, language: Column) -> Column:
@@ -143,7 +144,8 @@ def scan(contents: DataFrame) -> DataFrame:
     # most texts and most lines have none of the literals: they end here, before any pattern is tried
     every = literals()
     some = files.filter(has_one(F.lower("text"), every))
-    lines = some.select("repo_id", "path", "category", "language", "in_test", F.posexplode(T.lines(F.col("text"))).alias("line", "raw")).withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, C.MAX_LINE)})
+    # outer: else a filter before it would split every text once more
+    lines = some.select("repo_id", "path", "category", "language", "in_test", F.posexplode_outer(T.lines(F.col("text"))).alias("line", "raw")).filter("line is not null").withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, C.MAX_LINE)})
     lines = lines.withColumn("low", F.lower("raw")).filter(has_one(F.col("low"), every))
     raw, low, docs = F.col("raw"), F.col("low"), F.col("category") == "documentation"
     needs = lambda rule: has_one(low, NEEDS[rule.id])
@@ -163,7 +165,9 @@ def scan(contents: DataFrame) -> DataFrame:
     hosts = F.regexp_extract_all(raw, F.lit(OTHERS[1].pattern), F.lit(1))
     plain = F.col("category").isin("source", "config") & raw.contains("http://") & F.exists(hosts, lambda h: ~h.rlike(SAFE_HOST))
     hits.append(F.array(F.when(plain, hit(OTHERS[1], F.lit("low"), 200))))
-    found = lines.select("repo_id", "path", "line", "in_test", "raw", F.explode(F.array_compact(F.concat(*hits))).alias("h")).select("repo_id", "path", "line", "in_test", "raw", "h.*")
+    # rules are tried in a lambda, not in one generated method too long to be compiled, and, by outer, not in a filter before
+    tried = once(low, lambda _: F.array_compact(F.concat(*hits)))
+    found = lines.select("repo_id", "path", "line", "in_test", "raw", F.explode_outer(tried).alias("h")).filter("h is not null").select("repo_id", "path", "line", "in_test", "raw", "h.*")
     images = unpinned_images(contents).select("repo_id", "path", "line", (P.is_test(path) | P.is_auxiliary(path)).alias("in_test"), F.concat(F.lit("FROM "), "image").alias("raw"), hit(OTHERS[2], F.lit("low"), 300).alias("h")).select("repo_id", "path", "line", "in_test", "raw", "h.*")
     capped = G.cap_per_group(found.unionByName(images), ["repo_id", "path", "rule"], ["line", "emitted", "sub"], C.PER_RULE)
     return capped.withColumn("severity", downgraded(F.col("severity"), F.col("in_test")))

@@ -81,3 +81,10 @@ def test_evidence_holds_no_secret():
         for line in LINES[rule][0]:
             shown = security.redacted_line(line)
             assert "********(" in shown and not any(len(x) > 12 and x in line for x in re.findall(r"[A-Za-z0-9]+", shown) if x not in ("chars", "PASSWORD"))
+
+
+def test_texts_are_split_and_rules_tried_once(spark):
+    contents = spark.createDataFrame([("r", "a.py", "x = eval(y)\n")], "repo_id string, path string, text string").localCheckpoint()
+    plan = security.scan(contents)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("split(text" in line or "AKIA" in line for line in filters)
