@@ -42,9 +42,12 @@ def constraint_of(source: Column, v: Column, ecosystem: Column) -> Column:
 
 @dataclass(frozen=True)
 class Dependencies:
+    """declared: every dependency; dependencies: those that a report lists, the first MAX_DEPENDENCIES of a repository."""
+
     manifests: DataFrame
     not_analyzed: DataFrame
     lockfiles: DataFrame
+    declared: DataFrame
     dependencies: DataFrame
     totals: DataFrame
     ecosystems: DataFrame
@@ -84,6 +87,7 @@ def analyze(tree: DataFrame, contents: DataFrame) -> Dependencies:
         manifests=parsed.select("repo_id", "path", "ecosystem", F.size("dependencies").alias("dependencies"), F.col("error").alias("parse_error")),
         not_analyzed=wanted.join(contents.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select("repo_id", "path"),
         lockfiles=locks.select("repo_id", "path"),
+        declared=deps,
         dependencies=G.cap_per_group(deps, ["repo_id"], ["manifest_ord", "ord"], C.MAX_DEPENDENCIES),
         totals=totals,
         ecosystems=by.join(locked, ["repo_id", "ecosystem"], "left").withColumn("has_lockfile", F.coalesce("has_lockfile", F.lit(False))),

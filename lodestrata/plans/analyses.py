@@ -216,7 +216,7 @@ def j05_frameworks(spark, sf):
 @query(S + f", {FRAMEWORKS} SELECT repo_id, CASE category WHEN 'frontend' THEN 'Web frontend' ELSE 'Web / API service' END AS label, framework AS evidence FROM w")
 def g07_project_types(spark, sf):
     tree, contents = R.tree(spark, sf), R.contents(spark, sf)
-    return architecture.project_types(architecture.frameworks(tree, dependencies.analyze(tree, contents).dependencies))
+    return architecture.project_types(architecture.frameworks(tree, dependencies.analyze(tree, contents).declared))
 
 
 @query(S + f"SELECT repo_id, path, 'KEY_' || (k % 4) AS name FROM c WHERE f = {R.PY} AND category = 'source' AND NOT aux")
