@@ -210,7 +210,7 @@ FRAMEWORKS = f"""{DEPS}, w AS (SELECT repo_id, CASE name WHEN 'react' THEN 'Reac
 @query(S + f", {FRAMEWORKS} SELECT * FROM w")
 def j05_frameworks(spark, sf):
     tree, contents = R.tree(spark, sf), R.contents(spark, sf)
-    return architecture.frameworks(tree, dependencies.analyze(tree, contents).dependencies)
+    return architecture.frameworks(tree, dependencies.analyze(tree, contents).declared)
 
 
 @query(S + f", {FRAMEWORKS} SELECT repo_id, CASE category WHEN 'frontend' THEN 'Web frontend' ELSE 'Web / API service' END AS label, framework AS evidence FROM w")
@@ -232,7 +232,7 @@ def a20_env_inventory(spark, sf):
 @query(S + f", {FRAMEWORKS} SELECT repo_id, framework, category, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE category WHEN 'frontend' THEN 0 ELSE 1 END, framework) AS INTEGER) AS rank FROM w")
 def t29_frameworks(spark, sf):
     tree, contents = R.tree(spark, sf), R.contents(spark, sf)
-    return architecture.in_order(architecture.frameworks(tree, dependencies.analyze(tree, contents).dependencies)).select("repo_id", "framework", "category", "rank")
+    return architecture.in_order(architecture.frameworks(tree, dependencies.analyze(tree, contents).declared)).select("repo_id", "framework", "category", "rank")
 
 
 GLOBS = ("en/*", "*/1**", "fr/*.html", "de/?", "!en/9*", "!*/1?2")

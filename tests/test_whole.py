@@ -37,3 +37,7 @@ def test_project_types_name_every_framework(spark):
     names = ["Angular", "Next.js", "React", "Svelte", "Vue"]
     found = spark.createDataFrame([("r", n, "frontend", "") for n in reversed(names)], "repo_id string, framework string, category string, evidence string")
     assert rows(architecture.project_types(found), "label", "evidence") == [("Web frontend", ", ".join(names))]
+
+
+def test_frameworks_of_late_manifests(spark, manifests):
+    assert [r["framework"] for r in same_as_sql(spark, manifests, "j05_frameworks", "part")] == ["Express", "React"]
