@@ -12,11 +12,12 @@ def contains(c: Column, part: str) -> Column:
     return F.contains(F.lower(c), F.lit(part.lower()))
 
 
-def dependencies(deps: DataFrame, scope: str | None = None, ecosystem: str | None = None, part: str = "", most: int = 500) -> DataFrame:
+def dependencies(deps: DataFrame, scope: str | None = None, ecosystem: str | None = None, part: str = "") -> DataFrame:
+    """All that fit, for a reader to page through."""
     keep = F.lit(True)
     keep = keep & (F.col("scope") == scope) if scope else keep
     keep = keep & (F.col("ecosystem") == ecosystem) if ecosystem else keep
-    return G.cap_per_group(deps.filter(keep & (contains(F.col("name"), part) | contains(F.col("manifest"), part))), ["repo_id"], ["manifest_ord", "ord"], most)
+    return deps.filter(keep & (contains(F.col("name"), part) | contains(F.col("manifest"), part)))
 
 
 def findings(found: DataFrame, severity: str | None = None, include_tests: bool = False, most: int = 150) -> DataFrame:

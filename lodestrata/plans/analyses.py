@@ -198,9 +198,9 @@ def t20_lockfiles(spark, sf):
     return dependencies.analyze(R.tree(spark, sf), R.contents(spark, sf)).lockfiles
 
 
-@query(S + f""", {DEPS} SELECT repo_id, manifest, CAST(n AS INTEGER) AS ord, name, scope FROM d WHERE scope = 'production' AND (contains(lower(name), 'e') OR contains(lower(manifest), 'e')) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY manifest_ord, n) <= 500""")
+@query(S + f""", {DEPS} SELECT repo_id, manifest, CAST(n AS INTEGER) AS ord, name, scope FROM d WHERE scope = 'production' AND (contains(lower(name), 'e') OR contains(lower(manifest), 'e'))""")
 def p28_dependency_filter(spark, sf):
-    deps = dependencies.analyze(R.tree(spark, sf), R.contents(spark, sf)).dependencies
+    deps = dependencies.analyze(R.tree(spark, sf), R.contents(spark, sf)).declared
     return views.dependencies(deps, "production", "npm", "E").select("repo_id", "manifest", "ord", "name", "scope")
 
 

@@ -41,3 +41,7 @@ def test_project_types_name_every_framework(spark):
 
 def test_frameworks_of_late_manifests(spark, manifests):
     assert [r["framework"] for r in same_as_sql(spark, manifests, "j05_frameworks", "part")] == ["Express", "React"]
+
+
+def test_filtered_dependencies_are_all_there(spark, manifests):
+    assert len(same_as_sql(spark, manifests, "p28_dependency_filter", "part")) == 2 * 702
