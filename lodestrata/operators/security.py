@@ -79,6 +79,8 @@ OTHERS = [
     Rule("gitignore.env-not-excluded", "low", "gitignore", "medium", ""),
 ]
 LITERAL = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|(?:^|\s)(?:#|//).*$"""
+# The same for Java, which otherwise takes a stack frame a character of a quoted text; neither alternative gives back anything.
+POSSESSIVE = LITERAL.replace(")*", ")*+")
 SAFE_HOST = r"(?i)^(?:[A-Za-z0-9-]+|localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|[\w.-]*\.(?:local|localhost|test|example|invalid|internal)|(?:www\.)?example\.(?:com|org|net)|[\w.-]*w3\.org|[\w.-]*xmlsoap\.org|schemas\.[\w.-]+|purl\.org|json-schema\.org|[\w.-]*apache\.org|xml\.org|ns\.adobe\.com|[\w.-]*openxmlformats\.org|java\.sun\.com|xmlns\.[\w.-]+|host\.docker\.internal)$"
 SENSITIVE = [
     (r"(^|/)\.env(\.(?!example$|sample$|template$|dist$|defaults?$|test$|ci$)[\w.-]+)?$", "Environment file committed", "high"),
@@ -136,16 +138,16 @@ def hit(rule: Rule, severity: Column, n: int, sub: Column | int = 0) -> Column:
     return F.struct(F.lit(n).alias("emitted"), F.lit(sub).alias("sub") if isinstance(sub, int) else sub.alias("sub"), F.lit(rule.id).alias("rule"), severity.alias("severity"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.category).alias("category"))
 
 
-def scan(contents: DataFrame) -> DataFrame:
-    """repo_id, path, line, rule, severity, confidence, category, in_test and raw line of findings in lines: at most PER_RULE
-    a rule and file, the first ones."""
+def matches(contents: DataFrame, width: int | None = None) -> DataFrame:
+    """repo_id, path, line, rule, severity, confidence, category, in_test and raw line of all findings in lines; with width,
+    in the first characters of each."""
     path = F.col("path")
     files = contents.withColumns({"category": P.category(path), "language": P.classified_language(path), "in_test": P.is_test(path) | P.is_auxiliary(path)}).filter(~F.col("category").isin("binary", "asset", "lockfile"))
     # most texts and most lines have none of the literals: they end here, before any pattern is tried
     every = literals()
     some = files.filter(has_one(F.lower("text"), every))
     # outer: else a filter before it would split every text once more
-    lines = some.select("repo_id", "path", "category", "language", "in_test", F.posexplode_outer(T.lines(F.col("text"))).alias("line", "raw")).filter("line is not null").withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, C.MAX_LINE)})
+    lines = some.select("repo_id", "path", "category", "language", "in_test", F.posexplode_outer(T.lines(F.col("text"))).alias("line", "raw")).filter("line is not null").withColumns({"line": F.col("line") + 1, "raw": F.substring("raw", 1, width) if width else F.col("raw")})
     lines = lines.withColumn("low", F.lower("raw")).filter(has_one(F.col("low"), every))
     raw, low, docs = F.col("raw"), F.col("low"), F.col("category") == "documentation"
     needs = lambda rule: has_one(low, NEEDS[rule.id])
@@ -159,7 +161,7 @@ def scan(contents: DataFrame) -> DataFrame:
         hits.append(F.array(F.when(found, hit(rule, severity, n))))
     values = F.filter(F.regexp_extract_all(raw, F.lit(ASSIGNMENT), F.lit(2)), lambda v: ~v.rlike(PLACEHOLDER) & (T.entropy(v) >= 3.0))
     hits.append(F.transform(F.when(~docs & needs(OTHERS[0]), values).otherwise(F.array().cast("array<string>")), lambda v, i: hit(OTHERS[0], F.lit("medium"), 50, i)))
-    bare = F.regexp_replace(raw, LITERAL, " ")
+    bare = F.regexp_replace(raw, POSSESSIVE, " ")
     for n, rule in enumerate(CODE, 100):
         hits.append(F.array(F.when(~docs & applies(rule, path, F.col("language")) & needs(rule) & (bare if rule.languages else raw).rlike(rule.pattern), hit(rule, F.lit(rule.severity), n))))
     hosts = F.regexp_extract_all(raw, F.lit(OTHERS[1].pattern), F.lit(1))
@@ -169,8 +171,13 @@ def scan(contents: DataFrame) -> DataFrame:
     tried = once(low, lambda _: F.array_compact(F.concat(*hits)))
     found = lines.select("repo_id", "path", "line", "in_test", "raw", F.explode_outer(tried).alias("h")).filter("h is not null").select("repo_id", "path", "line", "in_test", "raw", "h.*")
     images = unpinned_images(contents).select("repo_id", "path", "line", (P.is_test(path) | P.is_auxiliary(path)).alias("in_test"), F.concat(F.lit("FROM "), "image").alias("raw"), hit(OTHERS[2], F.lit("low"), 300).alias("h")).select("repo_id", "path", "line", "in_test", "raw", "h.*")
-    capped = G.cap_per_group(found.unionByName(images), ["repo_id", "path", "rule"], ["line", "emitted", "sub"], C.PER_RULE)
-    return capped.withColumn("severity", downgraded(F.col("severity"), F.col("in_test")))
+    return found.unionByName(images).withColumn("severity", downgraded(F.col("severity"), F.col("in_test")))
+
+
+def scan(contents: DataFrame) -> DataFrame:
+    """matches() as a report has them: of the first MAX_LINE characters of a line, at most PER_RULE a rule and file, the first
+    ones."""
+    return G.cap_per_group(matches(contents, C.MAX_LINE), ["repo_id", "path", "rule"], ["line", "emitted", "sub"], C.PER_RULE)
 
 
 _SECRETS = [re.compile(r.pattern) for r in SECRETS]

@@ -94,4 +94,4 @@ def v16_document_findings(spark, sf):
 @query(FOUND + "SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files FROM f GROUP BY 1, 2")
 def u08_rule_findings(spark, sf):
     """Of each rule and severity."""
-    return security.scan(texts(spark, sf)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("path").alias("files"))
+    return security.matches(texts(spark, sf)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("path").alias("files"))

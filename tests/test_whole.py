@@ -20,6 +20,19 @@ def same_as_sql(spark, folder, name, table):
     return [dict(zip(columns, r)) for r in got]
 
 
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """A rule on nine lines, rules beyond 2000 characters of a line, after long quoted texts too, and long secrets' lines."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    long = "word " * 6000
+    texts = {
+        0: "x = eval(y)\n" * 9, 2: long + "AKIA" + "A1" * 8 + " end", 9: f'"{long}" + eval(z)', 18: f"'{long}", 27: f'y = "{long} eval(z)"',
+        3: f"`{long}` + eval(z)", 10: "\"" + "\\\"" * 9000 + "\" + exec(z)", 7: "get verify=False\n" * 7 + long + "passthru($x);", 36: "a " * 300 + "ghp_" + "b4" * 18 + " c" * 300,
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
 @pytest.fixture(scope="module")
 def manifests(spark, tmp_path_factory):
     """One repository with 702 manifests of three dependencies each; the last two name its only frameworks."""
@@ -45,3 +58,9 @@ def test_frameworks_of_late_manifests(spark, manifests):
 
 def test_filtered_dependencies_are_all_there(spark, manifests):
     assert len(same_as_sql(spark, manifests, "p28_dependency_filter", "part")) == 2 * 702
+
+
+def test_rules_of_whole_texts(spark, documents):
+    """Every rule's line, not the first five of a file, and all of a line."""
+    got = {r["rule"]: r["findings"] for r in same_as_sql(spark, documents, "u08_rule_findings", "documents")}
+    assert got["code.python-eval"] >= 9 + 2 and got["code.tls-verify-disabled"] >= 7 and {"code.js-eval", "code.php-dangerous", "secret.aws-access-key"} <= set(got)
