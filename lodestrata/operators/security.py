@@ -184,8 +184,8 @@ _SECRETS = [re.compile(r.pattern) for r in SECRETS]
 _ASSIGNMENT = re.compile(ASSIGNMENT)
 
 
-def redacted_line(line: str) -> str:
-    """A line as evidence: every match of every secret rule redacted, 160 characters at most."""
+def redacted_line(line: str, width: int | None = 160) -> str:
+    """A line as evidence: every match of every secret rule redacted, of width characters at most."""
 
     def stars(secret: str) -> str:
         return f"{secret[:4] if len(secret) > 8 else ''}********({len(secret)} chars)"
@@ -194,15 +194,15 @@ def redacted_line(line: str) -> str:
     for pattern in _SECRETS:
         out = pattern.sub(lambda m: stars(m[0]), out)
     out = _ASSIGNMENT.sub(lambda m: m[0].replace(m[2], stars(m[2])), out)
-    return out if len(out) <= 160 else out[:157] + "..."
+    return out if width is None or len(out) <= width else out[: width - 3] + "..."
 
 
-def with_evidence(findings: DataFrame) -> DataFrame:
-    """Evidence in place of the raw line; what is replaced depends on the match, so Python does it, on findings alone."""
+def with_evidence(findings: DataFrame, width: int | None = 160) -> DataFrame:
+    """Evidence in place of the raw line, whole without width; what is replaced depends on the match, so Python does it, on findings alone."""
 
     @F.pandas_udf("string")
     def shown(raw):  # noqa: ANN001, ANN202
-        return pd.Series([redacted_line(x) for x in raw], dtype="object")
+        return pd.Series([redacted_line(x, width) for x in raw], dtype="object")
 
     return findings.withColumn("evidence", shown("raw")).drop("raw")
 

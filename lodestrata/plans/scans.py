@@ -88,7 +88,7 @@ f AS (SELECT repo_id, path, line, rule, CASE WHEN NOT in_test THEN base WHEN bas
 
 @query(FOUND + "SELECT * FROM f")
 def v16_document_findings(spark, sf):
-    return security.with_evidence(security.scan(texts(spark, sf)).drop("emitted", "sub"))
+    return security.with_evidence(security.matches(texts(spark, sf)).drop("emitted", "sub"), None)
 
 
 @query(FOUND + "SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files FROM f GROUP BY 1, 2")

@@ -64,3 +64,10 @@ def test_rules_of_whole_texts(spark, documents):
     """Every rule's line, not the first five of a file, and all of a line."""
     got = {r["rule"]: r["findings"] for r in same_as_sql(spark, documents, "u08_rule_findings", "documents")}
     assert got["code.python-eval"] >= 9 + 2 and got["code.tls-verify-disabled"] >= 7 and {"code.js-eval", "code.php-dangerous", "secret.aws-access-key"} <= set(got)
+
+
+def test_findings_show_whole_lines(spark, documents):
+    found = same_as_sql(spark, documents, "v16_document_findings", "documents")
+    token = next(r for r in found if r["rule"] == "secret.github-token" and r["path"] == "src/d36.py")
+    assert token["evidence"].startswith("a a ") and token["evidence"].endswith("c c") and "ghp_********(40 chars)" in token["evidence"]
+    assert sum(r["rule"] == "code.python-eval" and r["path"] == "src/d0.py" for r in found) == 9
